@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing, repetition
 
 QUERIES = {
     "op1_pareto_mixing": mixing.query,
+    "op2_differencing_packing": packing.query,
     "op8_streaming_exact_dedup": exact_dedup.query,
+    "op10_suffix_array_quality": repetition.query,
 }
 
 ORACLES = {

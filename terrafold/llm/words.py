@@ -84,13 +84,17 @@ class Words:
 
     def hashes(self, lower: bool = True) -> np.ndarray:
         """A 64-bit hash per word, A-Z lower-cased first if asked for."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        powers, inverse = _power_tables(len(self.data) + 1)
-        data = _LOWER[self.data] if lower else self.data
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        return span_hashes(_LOWER[self.data] if lower else self.data, self.start, self.end)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial hash of the bytes of each span."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    powers, inverse = _power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
+    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -1,0 +1,41 @@
+"""Connected components by contraction: hook each node to its smallest neighbour, jump, merge, until no edge is left."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import saved, work_dir
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, component) of all nodes that have an edge to another node; component is the smallest node of it.
+
+    Every round writes its tables to the shared folder, so no plan grows and no round is lost with an executor.
+    Rounds grow with the logarithm of the longest path.  Null ends and loops are no edges.
+    """
+    folder = work_dir(edges.sparkSession, "components")
+    left = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u != v")
+    left = saved(left.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{folder}/edges-0")
+    labels: DataFrame | None = None
+    turn = 0
+    while not left.isEmpty():
+        turn += 1
+        both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hook = both.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("node"), F.least("u", "least").alias("up"))
+        hook = saved(hook, f"{folder}/hooks-{turn}")
+        up = hook.select(F.col("node").alias("via"), F.col("up").alias("further"))
+        jump = saved(hook.join(up, hook["up"] == up["via"]).select("node", F.col("further").alias("up")), f"{folder}/jumps-{turn}")
+        labels = jump.withColumnRenamed("up", "component") if labels is None else _moved(labels, jump)
+        labels = saved(labels, f"{folder}/labels-{turn}")
+        a, b = jump.select(F.col("node").alias("u"), F.col("up").alias("a")), jump.select(F.col("node").alias("v"), F.col("up").alias("b"))
+        left = left.join(a, "u").join(b, "v").filter("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+        left = saved(left, f"{folder}/edges-{turn}")
+    if labels is None:
+        return left.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return labels
+
+
+def _moved(labels: DataFrame, jump: DataFrame) -> DataFrame:
+    to = jump.select(F.col("node").alias("component"), F.col("up").alias("to"))
+    return labels.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, repetition
+from . import exact_dedup, jaccard_join, mixing, packing, repetition
 
 QUERIES = {
     "op1_pareto_mixing": mixing.query,
     "op2_differencing_packing": packing.query,
+    "op7_multi_order_jaccard": jaccard_join.query,
     "op8_streaming_exact_dedup": exact_dedup.query,
     "op10_suffix_array_quality": repetition.query,
 }
 
 ORACLES = {
     "op1_pareto_mixing": mixing.ORACLE,
+    "op7_multi_order_jaccard": jaccard_join.ORACLE,
     "op8_streaming_exact_dedup": exact_dedup.ORACLE,
 }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, mixing, packing, repetition
+from . import exact_dedup, jaccard_join, mixing, packing, repetition, secret_scan, url_filters
 
 QUERIES = {
     "op1_pareto_mixing": mixing.query,
     "op2_differencing_packing": packing.query,
+    "op5_bloom_cascade_urls": url_filters.query,
+    "op6_blob_ledger_secrets": secret_scan.query,
     "op7_multi_order_jaccard": jaccard_join.query,
     "op8_streaming_exact_dedup": exact_dedup.query,
     "op10_suffix_array_quality": repetition.query,
@@ -14,6 +16,8 @@ QUERIES = {
 
 ORACLES = {
     "op1_pareto_mixing": mixing.ORACLE,
+    "op5_bloom_cascade_urls": url_filters.ORACLE,
+    "op6_blob_ledger_secrets": secret_scan.ORACLE,
     "op7_multi_order_jaccard": jaccard_join.ORACLE,
     "op8_streaming_exact_dedup": exact_dedup.ORACLE,
 }

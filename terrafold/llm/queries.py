@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, kneser_ney, line_dedup, mixing, packing, repetition, secret_scan, url_filters
+from . import exact_dedup, jaccard_join, kneser_ney, language_id, line_dedup, mixing, packing, repetition, secret_scan, url_filters
 
 QUERIES = {
     "op1_pareto_mixing": mixing.query,
     "op2_differencing_packing": packing.query,
     "op3_winnowing_line_dedup": line_dedup.query,
+    "op4_ftrl_language_id": language_id.query,
     "op5_bloom_cascade_urls": url_filters.query,
     "op6_blob_ledger_secrets": secret_scan.query,
     "op7_multi_order_jaccard": jaccard_join.query,

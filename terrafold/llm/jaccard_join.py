@@ -76,8 +76,8 @@ def least_common(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def extra(n):
-    """By how many tokens less one the first filter's prefix is longer than need be."""
-    return n // 20
+    """By how many tokens less one the first filter's prefix is longer than need be: about as long as that, so that half must be common."""
+    return n // 10
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -125,7 +125,7 @@ def survivors(classes: DataFrame, percent: int) -> DataFrame:
     probes = classes.select("cls", "n", F.explode("probe").alias("token"))
     common = probes.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token")
     shared = probes.join(common, "token").groupBy("cls", "n").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.filter(F.col("shared") >= 1 + F.floor(_least(F.col("n"), percent) / 20)).select("cls")
+    return shared.filter(F.col("shared") >= 1 + F.floor(_least(F.col("n"), percent) / 10)).select("cls")
 
 
 def rarest_first(full: DataFrame, percent: int) -> DataFrame:
@@ -228,8 +228,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     folder = work_dir(spark, "jaccard")
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     sets = saved(texts.mapInArrow(lambda x: probe_rows(x, width, percent), "doc_id long, cls long, n long, probe array<long>"), f"{folder}/sets")
-    classes = saved(sets.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("probe").alias("probe")), f"{folder}/classes")
-    left = saved(survivors(classes, percent), f"{folder}/survivors")
+    some = sets.filter("n > 0").groupBy("cls")
+    classes = saved(some.agg(F.min("doc_id").alias("rep")), f"{folder}/classes")
+    left = saved(survivors(some.agg(F.first("n").alias("n"), F.first("probe").alias("probe")), percent), f"{folder}/survivors")
     reps = saved(classes.select("cls", "rep").join(left, "cls").select(F.col("rep").alias("doc_id"), "cls"), f"{folder}/reps")
     full = texts.join(small(reps.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(lambda x: token_rows(x, width, percent), "cls long, n long, tokens array<long>, other array<long>")
     full = saved(full.join(small(left), "cls", "left_semi").dropDuplicates(["cls"]), f"{folder}/full")

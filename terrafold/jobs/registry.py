@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import neighbours, voxels
+from . import graphs, neighbours, scores, voxels
 
-MODULES = (voxels, neighbours)
+MODULES = (voxels, neighbours, graphs, scores)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -2,34 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x20\x09-\x0D]+"
-BROADCAST_ROWS = 1_000_000
+from ..functions.plans import BROADCAST_ROWS, saved, shared_dir, small, work_dir
 
+__all__ = ["BROADCAST_ROWS", "WORD", "bounded_batches", "lower_ascii", "mounted_path", "saved", "shared_dir", "small", "work_dir"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir.  Only a one-process session without that setting gets one of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="terrafold-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORD = r"[^\x20\x09-\x0D]+"
+#: What a worker gets at once; a longer text comes alone.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder of this run in the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session sends workers batches of bounded bytes, so that long texts don't fill their memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def mounted_path(url: str) -> str:
@@ -40,20 +31,6 @@ def mounted_path(url: str) -> str:
     return parts.path
 
 
-def saved(df: DataFrame, path: str) -> DataFrame:
-    """The rows, written as Parquet and read again: cuts the lineage and survives the loss of executors."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has at most `rows` rows, else unchanged, for a shuffled join.
-
-    df must be cheap to read again (a written table), and its rows must be of a fixed small width.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, nothing else.  A text of one byte a character is ASCII, for which lower() says the same faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

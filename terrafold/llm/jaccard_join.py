@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, small, work_dir
-from .components import connected_components
+from ..operators.components import connected_components
+from .common import bounded_batches, saved, small, work_dir
 from .words import Words, combine, mix, slices
 
 WIDTH, PERCENT = 3, 90
@@ -225,6 +225,7 @@ def block_links(clusters: DataFrame, full: DataFrame, percent: int) -> DataFrame
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, n_links (links of its set to other sets)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = work_dir(spark, "jaccard")
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     sets = saved(texts.mapInArrow(lambda x: probe_rows(x, width, percent), "doc_id long, cls long, n long, probe array<long>"), f"{folder}/sets")

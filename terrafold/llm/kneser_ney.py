@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mounted_path, saved, work_dir
+from .common import bounded_batches, mounted_path, saved, work_dir
 from .words import Words, slices
 
 END = np.uint64(0x5DEECE66D2F1A3B7)
@@ -317,6 +317,7 @@ def trained(texts: DataFrame) -> dict:
 
 def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of SCHEMA for each row of docs; the model learns from rows where held_out is false."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     model = trained(rows.filter(~F.col("held_out")))
     return rows.mapInArrow(lambda x: score_rows(x, model), SCHEMA)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, work_dir
+from .common import bounded_batches, saved, work_dir
 from .words import slices
 
 BITS, GRAMS = 15, 3
@@ -199,6 +199,7 @@ def predicted_rows(batches: Iterable[pa.RecordBatch], model: Learned | None, kee
 
 def identified(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = PER_LABEL) -> DataFrame:
     """Per row of docs: doc_id, held_out, lang_pred, score; it learns from labelled rows where held_out is false."""
+    bounded_batches(docs.sparkSession)
     out = F.coalesce(held_out, F.lit(False))
     model = learned(docs.filter(~out).select(F.col(id_col).alias("key"), F.col(label_col).alias("label"), F.col(text_col).alias("text")), per_label)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), out.alias("held_out"), F.col(text_col).alias("text"))

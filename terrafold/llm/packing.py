@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import bounded_batches
 from .words import slices, span_hashes
 
 CAPACITY, PIECE, GROUP = 2048, 512, 1024
@@ -208,6 +209,7 @@ def pack_rows(batches: Iterable[pa.RecordBatch], path: str, end_id: int, capacit
 
 def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    bounded_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(lambda batches: pack_rows(batches, tokenizer, end_id, capacity, piece, group), SCHEMA)
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import graphs, neighbours, scores, voxels
+from . import graphs, neighbours, objects, scores, voxels
 
-MODULES = (voxels, neighbours, graphs, scores)
+MODULES = (voxels, neighbours, graphs, scores, objects)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

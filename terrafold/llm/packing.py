@@ -13,6 +13,7 @@ table gives no rows; other columns are not read.  sequence_id holds the number o
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -25,7 +26,8 @@ from .common import bounded_batches
 from .words import slices, span_hashes
 
 CAPACITY, PIECE, GROUP = 2048, 512, 1024
-CACHED_SEGMENTS = 800_000
+CACHED_SEGMENTS, JOINED = 800_000, 10_000
+SLICE_BYTES = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -37,6 +39,7 @@ class SegmentEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -45,7 +48,7 @@ class SegmentEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and where each one's ids are listed
         self.ids, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def segments(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -68,13 +71,15 @@ class SegmentEncoder:
         ends, inner = data[end - 1], data[np.minimum(start + 1, end - 1)]
         plain = (data[start] == 32) & (inner > 32) & ~((inner == 0xC2) | ((inner >= 0xE1) & (inner <= 0xE3))) & (ends > 32) & (ends < 0x80)
         first, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
-        joined = b"".join([texts[i] for i in first.tolist()]).decode("utf-8")
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        ids = np.concatenate([np.zeros(0, np.uint32)] + [self.encode_text(b"".join([texts[i] for i in part.tolist()])) for part in np.array_split(first, len(first) // JOINED + 1)])
         cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(end[first] - start[first]), "left") + 1
         others = [x.ids for x in self.tokenizer.encode_batch_fast([texts[i].decode("utf-8") for i in rest.tolist()], add_special_tokens=False)]
         size = np.concatenate([np.diff(cuts, prepend=0), np.fromiter(map(len, others), np.int64, len(others))])
         return np.concatenate([first, rest]), np.concatenate([ids, np.array([i for x in others for i in x], np.uint32)]), size
 
+    def encode_text(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8")], add_special_tokens=False)[0].ids, np.uint32)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents of a slice, and where each document's begin in them."""
         start = self.segments(data, offsets)
@@ -82,14 +87,19 @@ class SegmentEncoder:
         unique, where, inverse = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
         if len(self.known) + len(unique) > CACHED_SEGMENTS:
             self.clear()
-        known = self.known
-        index = np.array([known.get(k, -1) for k in unique.tolist()], np.int64)
+        index = np.full(len(unique), -1)
+        if len(self.known):
+            near = np.minimum(np.searchsorted(self.known, unique), len(self.known) - 1)
+            hit = self.known[near] == unique
+            index[hit] = self.slot[near[hit]]
         new = np.flatnonzero(index < 0)
         if len(new):
             order, ids, size = self.encode_new(data, start[where[new]], end[where[new]])
             new = new[order]
             index[new] = len(self.size) + np.arange(len(new))
-            self.known.update(zip(unique[new].tolist(), index[new].tolist(), strict=True))
+            known, slot = np.concatenate([self.known, unique[new]]), np.concatenate([self.slot, index[new]])
+            by_hash = np.argsort(known, kind="stable")
+            self.known, self.slot = known[by_hash], slot[by_hash]
             self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
             self.ids = np.concatenate([self.ids, ids])
@@ -187,7 +197,7 @@ def pack_rows(batches: Iterable[pa.RecordBatch], path: str, end_id: int, capacit
 
     for batch in batches:
         doc_ids = batch.column(0).to_pylist()
-        for first, last, data, offsets in slices(batch.column(1)):
+        for first, last, data, offsets in slices(batch.column(1), SLICE_BYTES):
             all_ids, bounds = made.encode(data, offsets)
             for d in range(first, last):
                 ids = np.append(all_ids[bounds[d - first] : bounds[d - first + 1]], np.uint32(end_id)).astype("<u4")

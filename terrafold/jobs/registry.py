@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import graphs, neighbours, objects, scores, voxels
+from ..streaming import windows
+from . import graphs, groups, neighbours, objects, scores, voxels
 
-MODULES = (voxels, neighbours, graphs, scores, objects)
+MODULES = (voxels, neighbours, graphs, scores, objects, groups, windows)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -103,7 +103,7 @@ ORACLES = {
             AND coalesce((SELECT sum(common) FROM found f WHERE f.scene = preds.scene AND f.pred = preds.pred AND f.gt_size < 100), 0) / pred_size <= CAST(0.5 AS DOUBLE)),
         t AS (SELECT class, sum(tp) + sum(missed) AS real FROM r GROUP BY class), a AS (SELECT class, score, sum(tp) AS tp, sum(tp + fp) AS n FROM r WHERE score IS NOT NULL GROUP BY class, score),
         c AS (SELECT class, score, sum(tp) OVER w / CAST(sum(n) OVER w AS DOUBLE) AS p, sum(tp) OVER w / CAST(real AS DOUBLE) AS q FROM a JOIN t USING (class) WINDOW w AS (PARTITION BY class ORDER BY score DESC)),
-        s AS (SELECT class, p * (coalesce(lag(q) OVER u, q) - coalesce(lead(q) OVER u, 0)) / 2 AS area FROM c WINDOW u AS (PARTITION BY class ORDER BY score))
+        s AS (SELECT class, p * (coalesce(lag(q) OVER u, q) - coalesce(lead(q) OVER u, 0)) / 2 + CASE WHEN lead(q) OVER u IS NULL THEN q / 2 ELSE 0 END AS area FROM c WINDOW u AS (PARTITION BY class ORDER BY score))
         SELECT t.class, round(CASE WHEN real > 0 THEN coalesce((SELECT sum(area) FROM s WHERE s.class = t.class), 0) END, 6) AS ap FROM t""",
     "coverage_mcov_mwcov": f"""WITH {scene_sql()}, b AS (SELECT g.scene, g.class, g.gt, gt_size, coalesce((SELECT max(iou) FROM found f WHERE f.scene = g.scene AND f.gt = g.gt), 0) AS best FROM gts g),
         s AS (SELECT scene, class, avg(best) AS cov, sum(best * gt_size) / sum(gt_size) AS w_cov FROM b GROUP BY scene, class)

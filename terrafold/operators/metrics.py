@@ -71,7 +71,8 @@ def scored_matches(gts: DataFrame, preds: DataFrame, found: DataFrame, threshold
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
-    """(class, ap) of rows (class, score, tp, fp, missed): precision times half the recall step on either side, summed over distinct scores.
+    """(class, ap) of rows (class, score, tp, fp, missed): precision times half the recall step on either side, summed over distinct scores
+    and an end point of precision 1 and recall 0.
 
     0 for a class with ground truth and no prediction, null for one without ground truth.
     """
@@ -80,10 +81,12 @@ def average_precision(rows: DataFrame) -> DataFrame:
     down = W.partitionBy("class").orderBy(F.desc("score"))
     curve = at.select("class", "score", F.sum("tp").over(down).alias("tp"), F.sum("n").over(down).alias("n")).join(totals, "class")
     curve = curve.withColumn("p", F.col("tp") / F.col("n")).withColumn("r", F.try_divide("tp", "real"))
-    # Towards higher scores recall falls, to 0 past the last one; towards lower ones it stays.
+    # Towards higher scores recall falls, to the end point of precision 1 and recall 0; towards lower ones it stays.
     up = W.partitionBy("class").orderBy("score")
-    step = F.coalesce(F.lag("r").over(up), F.col("r")) - F.coalesce(F.lead("r").over(up), F.lit(0.0))
-    area = curve.withColumn("area", F.col("p") * step / 2).groupBy("class").agg(F.sum("area").alias("ap"))
+    after = F.lead("r").over(up)
+    step = F.coalesce(F.lag("r").over(up), F.col("r")) - F.coalesce(after, F.lit(0.0))
+    end = F.when(after.isNull(), F.col("r") / 2).otherwise(0.0)
+    area = curve.withColumn("area", F.col("p") * step / 2 + end).groupBy("class").agg(F.sum("area").alias("ap"))
     return totals.join(area, "class", "left").select("class", F.when(F.col("real") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
 
 

@@ -103,10 +103,11 @@ def _regrouped(docs: DataFrame, found: DataFrame, odd: DataFrame, id_col: str, t
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    stays = exact_dedup(docs).filter("kept").select("doc_id", F.col("digest").alias("__digest"))
+    """The rows of docs that stay, with all their columns; null ids equal each other."""
+    stays = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"))
     marked = docs.withColumn("__digest", sha256(lower_ascii(F.coalesce("text", F.lit("")))))
-    return marked.join(stays, ["doc_id", "__digest"], "left_semi").dropDuplicates(["doc_id", "__digest"]).select(docs.columns)
+    same = marked["doc_id"].eqNullSafe(stays["__id"]) & (marked["__digest"] == stays["__of"])
+    return marked.join(stays, same, "left_semi").dropDuplicates(["doc_id", "__digest"]).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,9 +262,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one of the smallest id, with all columns."""
-    stays = jaccard_classes(docs).filter("doc_id = component_id").select("doc_id")
-    return docs.join(stays, "doc_id", "left_semi")
+    """One document of each group, the one of the smallest id, with all columns; documents without an id stay unless one with an id has their text."""
+    stays = jaccard_classes(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__id"))
+    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["__id"]), "left_semi")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ u comes from the MD5 of seed and doc_id, and what is summed is integers: reruns
 The prefix in rank order is found by a histogram of the ranks per source, so that only one bin of it is ever sorted by one task.
 
 Defined results: a null text has size 0, null sources form a source, the last in order; sources and documents without words
-take nothing (0 copies); rows with the same doc_id are ranked by size, then alike, and each counts; an empty table gives
+take nothing (0 copies); a document without an id gets its certain copies and is never drawn; rows with the same doc_id are ranked by size, then alike, and each counts; an empty table gives
 no rows.  Columns of docs other than the id, text and source columns are not read.
 """
 
@@ -98,8 +98,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them, with all their columns."""
-    taken = mixed(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("__copies"))
-    return docs.join(taken, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    taken = mixed(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__copies"))
+    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

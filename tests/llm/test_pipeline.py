@@ -41,3 +41,15 @@ def test_stages_on_an_empty_table(spark):
     for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, frame(spark, []), "")
         assert out.count() == 0 and (number == 4 or out.columns == [x.split()[0] for x in SCHEMA.split(", ")])
+
+
+def test_stages_with_null_ids_and_columns(spark):
+    """Documents without an id go through all stages, and one of equal texts stays."""
+    clean = [" ".join(f"{a}{i}" for i in range(30)) for a in "pqr"]
+    data = [(None, clean[0], None, None, None), (None, clean[0], None, None, None), (1, clean[1], None, None, None), (None, clean[2], None, "s", None), (2, None, None, None, None)]
+    docs = frame(spark, data)
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        docs = stage(spark, docs, "")
+        if number in (1, 2):
+            assert sorted(r["text"] for r in docs.collect()) == clean
+    assert {r["text"] for r in docs.collect()} <= set(clean)

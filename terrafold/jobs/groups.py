@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.plans import cut
-from ..operators import cluster
+from ..operators import cluster, graph, planes
 from ..operators.neighbors import distance
-from ..sources.fixtures import POINTS, points
+from ..sources.fixtures import POINTS, cloud, points
 from .neighbours import DIST, edges, edges_sql, ids
 from .scores import scene_masks, scene_sql
 
@@ -42,7 +42,17 @@ def superedge_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("scene", "a", "b", "edges", *[F.round(c, 6).alias(c) for c in found.columns[4:]])
 
 
-QUERIES = {f.__name__: f for f in (component_grouping, fragment_absorption, nms_greedy, superedge_features)}
+def wall_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to four planes of the large cloud's scenes."""
+    found = planes.walls(cloud(spark, sf_dir), 1.0, 4, 100)
+    return found.select("scene", "wall", *[F.round(c, 6).alias(c) for c in "abcd"], "points")
+
+
+def random_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.random_subgraph(cut(edges(spark, sf_dir, 3)), ids(points(spark, sf_dir)), 20)
+
+
+QUERIES = {f.__name__: f for f in (component_grouping, fragment_absorption, nms_greedy, superedge_features, wall_planes, random_subgraph)}
 
 _CROSS = ", ".join([f"round(avg(a.{c} - b.{c}), 6) AS mean_{c}" for c in "xyz"] + [f"round(stddev_pop(a.{c} - b.{c}), 6) AS std_{c}" for c in "xyz"])
 ORACLES = {

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.plans import cut
+
 UNLABELLED = -100
 
 
@@ -73,3 +75,23 @@ def propagated(edges: DataFrame, seeds: DataFrame, weight: str, hops: int) -> Da
     for _ in range(hops):
         reach = reach.join(step, (reach["scene"] == step["scene"]) & (reach["id"] == step["src"])).groupBy(reach["scene"], "seed", F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("w")).alias("score"))
     return reach
+
+
+def random_subgraph(edges: DataFrame, nodes: DataFrame, size: int, seed: int = 0) -> DataFrame:
+    """(scene, id, hops): a connected sample of up to `size` nodes per scene, breadth first from the node of the smallest hash.
+
+    Of the layer that leads past the size, the nodes of the smallest hashes are taken.  Scenes whose layers have ended drop out.
+    """
+    hashed = F.xxhash64("id", F.lit(seed)).alias("h")
+    first = nodes.select("scene", "id", hashed).groupBy("scene").agg(F.min_by("id", "h").alias("id"))
+    layer = cut(first.select("scene", "id", F.lit(0).alias("hops")), "layer")
+    taken, hops = layer, 0
+    while not layer.isEmpty():
+        hops += 1
+        room = taken.groupBy("scene").agg((F.lit(size) - F.count(F.lit(1))).alias("room"))
+        reached = layer.select("scene", F.col("id").alias("src")).join(edges.select("scene", "src", F.col("dst").alias("id")), ["scene", "src"]).select("scene", "id").distinct()
+        fresh = reached.join(taken.select("scene", "id"), ["scene", "id"], "left_anti").join(room.filter("room > 0"), "scene").withColumn("h", F.xxhash64("id", F.lit(seed)))
+        place = F.row_number().over(W.partitionBy("scene").orderBy("h", "id"))
+        layer = cut(fresh.withColumn("place", place).filter(F.col("place") <= F.col("room")).select("scene", "id", F.lit(hops).alias("hops")), "layer")
+        taken = cut(taken.unionByName(layer), "taken")
+    return taken

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrafold.operators import cluster, geometry, graph, labels, metrics, neighbors, series, voxel
+from terrafold.operators import cluster, geometry, graph, labels, metrics, neighbors, planes, series, voxel
 from terrafold.operators.components import connected_components
 
 POINT = "scene int, point_idx long, x double, y double, z double, label long"
@@ -178,3 +178,21 @@ def test_weighted_sample_takes_k_of_each_group(spark):
 def test_running_median(spark):
     df = spark.createDataFrame([(1, i, float(v), 1.0) for i, v in enumerate([5, 1, 4, 2, 8])], "k int, t int, v double, w double")
     assert [r["median"] for r in series.running(df, "k", ["t"], "v", "w", 3).orderBy("t").collect()] == [5, 3, 4, 2, 4]
+
+
+def test_walls_of_two_planes_and_noise(spark):
+    rng = random.Random(4)
+    rows = [(0, i, rng.random() * 10, rng.random() * 10, 0.0, 1) for i in range(300)] + [(0, 1000 + i, 4.0, rng.random() * 10, rng.random() * 10, 1) for i in range(200)] + [(1, 2000, 0, 0, 0, 1)]
+    got = sorted((r["wall"], r["points"], tuple(round(abs(r[c]), 3) for c in "abcd")) for r in planes.walls(points(spark, rows), 0.01, 2, 50).collect())
+    assert [(w, v) for w, _, v in got] == [(0, (0.0, 0.0, 1.0, 0.0)), (1, (1.0, 0.0, 0.0, 4.0))]
+    assert got[0][1] >= 300 and got[1][1] >= 195
+
+
+def test_random_subgraph_is_connected_and_bounded(spark):
+    pairs = [(i, i + 1) for i in range(50)] + [(100, 101)]
+    nodes = spark.createDataFrame([(0 if i < 100 else 1, i) for i in [*range(51), 100, 101]], "scene int, id long")
+    edges = spark.createDataFrame([(0 if a < 100 else 1, *p) for a, b in pairs for p in ((a, b), (b, a))], "scene int, src long, dst long")
+    got = graph.random_subgraph(edges, nodes, 8).collect()
+    line = sorted(r["id"] for r in got if r["scene"] == 0)
+    assert len(line) == 8 and line[-1] - line[0] == 7
+    assert sorted(r["id"] for r in got if r["scene"] == 1) == [100, 101]

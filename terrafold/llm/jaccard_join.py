@@ -256,6 +256,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = in_groups.groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = in_groups.join(first, "component").join(links, "cls", "left").select("cls", "component_id", "n_links")
     named = classes.select("cls", "rep").join(linked, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"), "n_links")
+    named = saved(named, f"{folder}/named")  # so that the join with a class of very many copies has two plain sides and can be split
     return sets.select("doc_id", "n", "cls").join(named, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )

@@ -4,7 +4,8 @@ The words of each document get a suffix array (prefix doubling; all documents of
 reach past their document).  From the longest common prefix of neighbours in it follow the maximal repeated
 substrings: a suffix opens a repeat as long as its longer common prefix with a neighbour.  Repeats of at least
 `min_words` words are united into spans; a document fails if the spans cover more than `max_covered` of its words
-or one repeat is longer than `max_longest` words and than `long_share` of the document.
+or one repeat is longer than `max_longest` words.  Both limits bind beyond the base rules, which allow a fifth of the words in
+repeated windows of five: few long repeats weigh more than many short ones, and a long passage given twice fails a text of any length.
 
 Defined results: a null text has no words, and a text of under 10 words fails the base rules; equal rows get equal
 verdicts; an empty table gives no rows; other columns are not read.  Everything is per document, so nothing is shuffled.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import bounded_batches
 from .words import Words, combine, slices, span_hashes
 
-MIN_WORDS, MAX_COVERED, MAX_LONGEST, LONG_SHARE = 8, 0.3, 100, 0.2
+MIN_WORDS, MAX_COVERED, MAX_LONGEST = 16, 0.1, 100
 LEAST_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 10, 5, 20
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, covered_words long, longest_repeat long"
@@ -144,9 +145,9 @@ def _in_groups(sorted_ranks: np.ndarray) -> np.ndarray:
     return flags
 
 
-def judge(data: np.ndarray, offsets: np.ndarray, limits: tuple[int, float, int, float]) -> dict[str, np.ndarray]:
+def judge(data: np.ndarray, offsets: np.ndarray, limits: tuple[int, float, int]) -> dict[str, np.ndarray]:
     """All figures and verdicts of a slice of documents."""
-    min_words, max_covered, max_longest, long_share = limits
+    min_words, max_covered, max_longest = limits
     words = Words(data, offsets)
     hashes, doc, bounds, n = words.hashes(lower=False), words.doc, words.bounds, words.counts
     separators = (data == 32) | ((data >= 9) & (data <= 13))
@@ -159,12 +160,11 @@ def judge(data: np.ndarray, offsets: np.ndarray, limits: tuple[int, float, int,
     out["longest_repeat"] = np.zeros(len(n), np.int64)
     np.maximum.at(out["longest_repeat"], doc, longest)
     out["base_failed"] = (n < LEAST_WORDS) | (100 * out["n_repeat_words"] > REPEAT_PERCENT * n)
-    too_long = (out["longest_repeat"] > max_longest) & (out["longest_repeat"] > long_share * n)
-    out["kept"] = ~out["base_failed"] & ~(out["covered_words"] > max_covered * n) & ~too_long
+    out["kept"] = ~out["base_failed"] & ~(out["covered_words"] > max_covered * n) & ~(out["longest_repeat"] > max_longest)
     return out
 
 
-def judged_rows(batches: Iterable[pa.RecordBatch], limits: tuple[int, float, int, float]) -> Iterator[pa.RecordBatch]:
+def judged_rows(batches: Iterable[pa.RecordBatch], limits: tuple[int, float, int]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     for batch in batches:
         for first, last, data, offsets in slices(batch.column(1)):
@@ -173,14 +173,14 @@ def judged_rows(batches: Iterable[pa.RecordBatch], limits: tuple[int, float, int
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, long_share: float = LONG_SHARE) -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """A row per row of docs: the columns of SCHEMA."""
     bounded_batches(docs.sparkSession)
-    limits = (min_words, max_covered, max_longest, long_share)
+    limits = (min_words, max_covered, max_longest)
     return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(lambda batches: judged_rows(batches, limits), SCHEMA)
 
 
-def _kept_rows(batches: Iterable[pa.RecordBatch], at: int, limits: tuple[int, float, int, float]) -> Iterator[pa.RecordBatch]:
+def _kept_rows(batches: Iterable[pa.RecordBatch], at: int, limits: tuple[int, float, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = [judge(data, offsets, limits)["kept"] for _, _, data, offsets in slices(batch.column(at))]
         yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
@@ -189,7 +189,7 @@ def _kept_rows(batches: Iterable[pa.RecordBatch], at: int, limits: tuple[int, fl
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     bounded_batches(spark)
-    at, limits = docs.columns.index("text"), (MIN_WORDS, MAX_COVERED, MAX_LONGEST, LONG_SHARE)
+    at, limits = docs.columns.index("text"), (MIN_WORDS, MAX_COVERED, MAX_LONGEST)
     return docs.mapInArrow(lambda batches: _kept_rows(batches, at, limits), docs.schema)
 
 

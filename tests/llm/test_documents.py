@@ -80,6 +80,24 @@ def test_repetition(spark):
     assert set(stays) == {d for d, r in got.items() if r["kept"]} and set(stays[0].asDict()) == {x.split()[0] for x in SCHEMA.split(", ")}
 
 
+def test_repetition_rejects_what_the_base_rules_keep(spark):
+    """A long passage twice, or several middling ones, under a fifth of the words; short repeats and one middling one stay."""
+
+    def text(n, *passages):
+        """n words, all different but for passages of the given lengths, each given twice."""
+        own = [f"u{i}" for i in range(n - 2 * sum(passages))]
+        repeats = [[f"p{k}x{i}" for i in range(size)] for k, size in enumerate(passages)]
+        return " ".join([*own[:20], *(w for p in repeats for w in p), *own[20:40], *(w for p in reversed(repeats) for w in p), *own[40:]])
+
+    texts = {1: text(2000, 150), 2: text(400, 16, 16), 3: text(2000), 4: text(2000, 90), 5: text(400, 10, 10, 10), 6: text(400, 16)}
+    got = collected(repetition.judged(frame(spark, [(d, t, "en", "s", 0) for d, t in texts.items()])))
+    assert not any(r["base_failed"] for r in got.values())
+    assert {d: r["kept"] for d, r in got.items()} == {1: False, 2: False, 3: True, 4: True, 5: True, 6: True}
+    for d, t in texts.items():
+        assert (got[d]["kept"], got[d]["covered_words"], got[d]["longest_repeat"]) == quality(t, repetition.MIN_WORDS, repetition.MAX_COVERED, repetition.MAX_LONGEST, 0)[6:], d
+    assert {r["doc_id"] for r in repetition.stage(spark, frame(spark, [(d, t, "en", "s", 0) for d, t in texts.items()]), "").collect()} == {3, 4, 5, 6}
+
+
 def test_mixing(spark):
     data = rows(3, 400)
     got = mixing.mixed(clashing(frame(spark, data)).drop("target")).collect()

@@ -31,6 +31,7 @@ from .common import bounded_batches, saved, small, work_dir
 from .words import Words, combine, mix, slices
 
 WIDTH, PERCENT = 3, 90
+STAGE_WIDTH, STAGE_PERCENT = 5, 80
 BUCKET, BLOCK, CHUNK = 16, 128, 8192
 _SECOND = np.uint64(0xA0761D6478BD642F)
 
@@ -263,8 +264,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one of the smallest id, with all columns; documents without an id stay unless one with an id has their text."""
-    stays = jaccard_classes(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__id"))
+    """One document of each group of near copies (five-word shingles, four fifths in common), the one of the smallest id, with all columns.
+
+    Documents without an id stay unless one with an id has their text.
+    """
+    stays = jaccard_classes(docs, width=STAGE_WIDTH, percent=STAGE_PERCENT).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__id"))
     return docs.join(stays, docs["doc_id"].eqNullSafe(stays["__id"]), "left_semi")
 
 

@@ -1,7 +1,7 @@
 """The pipeline against a version by brute force, and the registration of its stages."""
 
 import pytest
-from corpus import SCHEMA, frame, jaccard_components, lower, quality, rows
+from corpus import SCHEMA, frame, jaccard_components, lower, quality, rows, words
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -37,6 +37,32 @@ def test_stages_follow_each_other(spark, tmp_path):
     assert again.agg({"length": "sum"}).first()[0] == sum(x for x, _ in total.values())
 
 
+def test_near_copies_of_the_general_rule_go(spark):
+    """Five-word shingles, four fifths in common: one word changed in 50, a passage inserted or cut; a copy below that stays."""
+    from terrafold.llm import jaccard_join
+
+    def text(name, n):
+        return [f"{name}{i}" for i in range(n)]
+
+    a, b, c = text("a", 50), text("b", 100), text("c", 40)
+    pairs = {1: a, 2: [*a[:25], "new", *a[26:]], 3: b, 4: [*b[:50], *text("in", 12), *b[50:]], 5: [*b[:40], *b[52:]], 6: c, 7: [*c[:20], "new", *c[21:]]}
+    data = [*rows(4, 40), *((1000 + d, " ".join(w), "en", "s1", 1) for d, w in pairs.items())]
+    sets = {}
+    for d, t, *_ in data:
+        w = words(lower(t))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} - {()}
+    group = {d: d for d in sets}
+    for x in sets:
+        for y in sets:
+            both = len(sets[x] & sets[y])
+            if x < y and both and 100 * both >= 80 * len(sets[x] | sets[y]):
+                low, high = sorted((group[x], group[y]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    got = {r["doc_id"] for r in jaccard_join.stage(spark, frame(spark, data), "").collect()}
+    assert got == {d for d, g in group.items() if d == g}
+    assert {d - 1000 for d in got if d > 1000} == {1, 3, 6, 7}
+
+
 def test_stages_on_an_empty_table(spark):
     for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, frame(spark, []), "")

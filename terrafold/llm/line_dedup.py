@@ -4,7 +4,8 @@ A line is what lies between line feeds and has a word; lines of a document are n
 Fingerprints are hashes of two lines that follow each other; of every WINDOW of them the smallest is selected, so of a repeated
 run of WINDOW + 1 lines or more one is selected in each copy, whatever surrounds it.  Lines of at least `long_words` words are
 fingerprints by themselves and always selected.  The first position of each fingerprint in the order (doc_id, version, line) is joined
-with its later positions; each such match is extended both ways as long as lines are equal.  Runs of two lines or more, and
+with its later positions, and so are the first positions of the fingerprint with the line after it and with the line before it, so that
+an earlier short match hides no longer one; each such match is extended both ways as long as lines are equal.  Runs of two lines or more, and
 single long lines, are deleted where they repeat.  What is deleted always equals something that comes first, and
 that is never deleted: a line that is the first of its kind equals nothing earlier.
 
@@ -43,7 +44,13 @@ def fingerprints(arrays: DataFrame, window: int, long_words: int) -> DataFrame:
             found = found | (x == low)
         return found
 
-    picked = F.filter(F.transform("grams", lambda x, i: F.when(chosen(i, x), F.struct(i.alias("line"), x.alias("print")))), lambda s: s.isNotNull())
+    def prints(i: Column, x: Column) -> Column:
+        after = F.xxhash64(F.lit("after"), x, F.get("hash", i + 2))
+        before = F.xxhash64(F.lit("before"), x, F.get("hash", F.greatest(i - 1, F.lit(0))))
+        found = F.array(x, F.when(i + 2 < F.size("hash"), after), F.when(i > 0, before))
+        return F.transform(F.filter(found, lambda p: p.isNotNull()), lambda p: F.struct(i.alias("line"), p.alias("print")))
+
+    picked = F.flatten(F.filter(F.transform("grams", lambda x, i: F.when(chosen(i, x), prints(i, x))), lambda s: s.isNotNull()))
     long = F.filter(F.transform(F.arrays_zip(F.col("hash"), F.col("words")), lambda x, i: F.when(x["words"] >= long_words, F.struct(i.alias("line"), F.xxhash64(x["hash"]).alias("print")))), lambda s: s.isNotNull())
     return grams.select("doc_id", "version", F.inline(F.concat(picked, long)))
 

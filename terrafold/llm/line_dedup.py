@@ -1,11 +1,11 @@
 """Repeated runs of lines, found by winnowing.
 
 A line is what lies between line feeds and has a word; lines of a document are numbered from 0 and known by their hash.
-Fingerprints are hashes of two lines that follow each other; of every WINDOW of them the smallest is selected, so of a repeated
-run of WINDOW + 1 lines or more one is selected in each copy, whatever surrounds it.  Lines of at least `long_words` words are
+Of every WINDOW lines that follow each other the one of the smallest hash is selected, whatever surrounds them; fingerprints are a
+selected line with the line after it and with the line before it.  With a window of two, every repeated run of two lines
+has its fingerprint in each copy, and no earlier match hides another.  Lines of at least `long_words` words are
 fingerprints by themselves and always selected.  The first position of each fingerprint in the order (doc_id, version, line) is joined
-with its later positions, and so are the first positions of the fingerprint with the line after it and with the line before it, so that
-an earlier short match hides no longer one; each such match is extended both ways as long as lines are equal.  Runs of two lines or more, and
+with its later positions; each such match is extended both ways as long as lines are equal.  Runs of two lines or more, and
 single long lines, are deleted where they repeat.  What is deleted always equals something that comes first, and
 that is never deleted: a line that is the first of its kind equals nothing earlier.
 
@@ -33,26 +33,24 @@ def line_arrays(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def fingerprints(arrays: DataFrame, window: int, long_words: int) -> DataFrame:
     """(doc_id, version, line, print): the selected fingerprints."""
-    grams = F.transform(F.sequence(F.lit(0), F.size("hash") - 2), lambda i: F.xxhash64(F.get("hash", i), F.get("hash", i + 1)))
-    grams = arrays.withColumn("grams", F.when(F.size("hash") > 1, grams).otherwise(F.array().cast("array<bigint>")))
-
     def chosen(i: Column, x: Column) -> Column:
         """Whether x is the smallest of some full window around it (or of all there are)."""
-        whole = [F.array_min(F.slice("grams", F.greatest(i + 1 + shift, F.lit(1)), F.lit(window))) for shift in range(1 - window, 1)]
+        whole = [F.array_min(F.slice("hash", F.greatest(i + 1 + shift, F.lit(1)), F.lit(window))) for shift in range(1 - window, 1)]
         found = F.lit(False)
         for low in whole:
             found = found | (x == low)
         return found
 
-    def prints(i: Column, x: Column) -> Column:
-        after = F.xxhash64(F.lit("after"), x, F.get("hash", i + 2))
-        before = F.xxhash64(F.lit("before"), x, F.get("hash", F.greatest(i - 1, F.lit(0))))
-        found = F.array(x, F.when(i + 2 < F.size("hash"), after), F.when(i > 0, before))
-        return F.transform(F.filter(found, lambda p: p.isNotNull()), lambda p: F.struct(i.alias("line"), p.alias("print")))
+    def pair(i: Column) -> Column:
+        return F.struct(i.alias("line"), F.xxhash64(F.get("hash", i), F.get("hash", i + 1)).alias("print"))
+
+    def prints(i: Column) -> Column:
+        """The line with the one after it and with the one before it."""
+        return F.filter(F.array(F.when(i + 1 < F.size("hash"), pair(i)), F.when(i > 0, pair(F.greatest(i - 1, F.lit(0))))), lambda p: p.isNotNull())
 
-    picked = F.flatten(F.filter(F.transform("grams", lambda x, i: F.when(chosen(i, x), prints(i, x))), lambda s: s.isNotNull()))
+    picked = F.array_distinct(F.flatten(F.filter(F.transform("hash", lambda x, i: F.when(chosen(i, x), prints(i))), lambda s: s.isNotNull())))
     long = F.filter(F.transform(F.arrays_zip(F.col("hash"), F.col("words")), lambda x, i: F.when(x["words"] >= long_words, F.struct(i.alias("line"), F.xxhash64(x["hash"]).alias("print")))), lambda s: s.isNotNull())
-    return grams.select("doc_id", "version", F.inline(F.concat(picked, long)))
+    return arrays.select("doc_id", "version", F.inline(F.concat(picked, long)))
 
 
 def deletions(arrays: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:

@@ -78,20 +78,23 @@ def propagated(edges: DataFrame, seeds: DataFrame, weight: str, hops: int) -> Da
 
 
 def random_subgraph(edges: DataFrame, nodes: DataFrame, size: int, seed: int = 0) -> DataFrame:
-    """(scene, id, hops): a connected sample of up to `size` nodes per scene, breadth first from the node of the smallest hash.
+    """(scene, id, hops): a sample of `size` nodes per scene (all of a smaller one), breadth first from the node of the smallest hash.
 
-    Of the layer that leads past the size, the nodes of the smallest hashes are taken.  Scenes whose layers have ended drop out.
+    Of the layer that leads past the size, the nodes of the smallest hashes are taken.  A scene whose search ends before goes on from
+    its unseen node of the smallest hash, with hops from 0; that node is always among the scene's first `size`.
     """
     hashed = F.xxhash64("id", F.lit(seed)).alias("h")
-    first = nodes.select("scene", "id", hashed).groupBy("scene").agg(F.min_by("id", "h").alias("id"))
-    layer = cut(first.select("scene", "id", F.lit(0).alias("hops")), "layer")
-    taken, hops = layer, 0
+    order = W.partitionBy("scene").orderBy("h", "id")
+    seeds = cut(nodes.select("scene", "id", hashed).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size), "seeds")
+    layer = cut(seeds.filter("place = 1").select("scene", "id", F.lit(0).alias("hops")), "layer")
+    taken = layer
     while not layer.isEmpty():
-        hops += 1
         room = taken.groupBy("scene").agg((F.lit(size) - F.count(F.lit(1))).alias("room"))
-        reached = layer.select("scene", F.col("id").alias("src")).join(edges.select("scene", "src", F.col("dst").alias("id")), ["scene", "src"]).select("scene", "id").distinct()
+        reached = layer.select("scene", F.col("id").alias("src"), (F.col("hops") + 1).alias("hops")).join(edges.select("scene", "src", F.col("dst").alias("id")), ["scene", "src"]).groupBy("scene", "id").agg(F.min("hops").alias("hops"))
         fresh = reached.join(taken.select("scene", "id"), ["scene", "id"], "left_anti").join(room.filter("room > 0"), "scene").withColumn("h", F.xxhash64("id", F.lit(seed)))
-        place = F.row_number().over(W.partitionBy("scene").orderBy("h", "id"))
-        layer = cut(fresh.withColumn("place", place).filter(F.col("place") <= F.col("room")).select("scene", "id", F.lit(hops).alias("hops")), "layer")
+        grown = cut(fresh.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.col("room")).select("scene", "id", "hops"), "grown")
+        unseen = seeds.join(taken.select("scene", "id"), ["scene", "id"], "left_anti").join(room.filter("room > 0").select("scene"), "scene", "left_semi").join(grown.select("scene"), "scene", "left_anti")
+        again = unseen.groupBy("scene").agg(F.min_by("id", "place").alias("id")).select("scene", "id", F.lit(0).alias("hops"))
+        layer = cut(grown.unionByName(again), "layer")
         taken = cut(taken.unionByName(layer), "taken")
     return taken

@@ -196,3 +196,13 @@ def test_random_subgraph_is_connected_and_bounded(spark):
     line = sorted(r["id"] for r in got if r["scene"] == 0)
     assert len(line) == 8 and line[-1] - line[0] == 7
     assert sorted(r["id"] for r in got if r["scene"] == 1) == [100, 101]
+
+
+def test_random_subgraph_goes_on_from_a_new_seed(spark):
+    """Two components of five nodes give 8 nodes, and a smaller graph gives all of its own."""
+    nodes = spark.createDataFrame([(0, i) for i in range(10)] + [(1, i) for i in range(3)], "scene int, id long")
+    edges = spark.createDataFrame([(0, *p) for i in range(9) if i != 4 for p in ((i, i + 1), (i + 1, i))], "scene int, src long, dst long")
+    got = graph.random_subgraph(edges, nodes, 8).collect()
+    found = [{r["id"] for r in got if r["scene"] == s} for s in (0, 1)]
+    assert len(got) == 11 and len(found[0]) == 8 and found[1] == {0, 1, 2}
+    assert found[0] >= set(range(5)) or found[0] >= set(range(5, 10))

@@ -26,16 +26,46 @@ from .common import bounded_batches
 from .words import slices, span_hashes
 
 CAPACITY, PIECE, GROUP = 2048, 512, 1024
-CACHED_SEGMENTS, JOINED = 800_000, 10_000
+GENERATION, JOINED = 400_000, 10_000
 SLICE_BYTES = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Generation:
+    """Token ids of segments by the hashes of these."""
+
+    def __init__(self) -> None:
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and where each one's ids are listed
+        self.ids, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 if it isn't known."""
+        if not len(self.known):
+            return np.full(len(hashes), -1)
+        near = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[near] == hashes, self.slot[near], -1)
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        known, slot = np.concatenate([self.known, hashes]), np.concatenate([self.slot, len(self.size) + np.arange(len(hashes))])
+        order = np.argsort(known, kind="stable")
+        self.known, self.slot = known[order], slot[order]
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+
+    def listed(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these slots, one after the other, and how many each has."""
+        size = self.size[slots]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(self.first[slots] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], size
+
+
 class SegmentEncoder:
-    """Token ids of texts, with the ids of the words met before kept (at most CACHED_SEGMENTS).
+    """Token ids of texts, with the ids of the words met before kept.
 
     A text is cut before each single space between two characters that are not white space.  The pre-tokenizer of
     byte-level BPE never makes a token across such a place, so the parts can be encoded apart.
+    What is kept has two generations of at most about GENERATION segments: a full young one becomes the old one, and what is met
+    in the old one goes to the young one, so that frequent words stay.
     """
 
     def __init__(self, path: str):
@@ -45,11 +75,7 @@ class SegmentEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i)) for i in range(self.tokenizer.get_vocab_size())])  # in byte-level BPE a character stands for a byte
-        self.clear()
-
-    def clear(self) -> None:
-        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and where each one's ids are listed
-        self.ids, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.young, self.old = Generation(), Generation()
 
     def segments(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where segments start; a non-empty document starts one."""
@@ -57,8 +83,12 @@ class SegmentEncoder:
         before, after = data[at - 1], data[at + 1]
         # The bytes that lead the white space outside ASCII, all of it at U+0085, U+00A0, U+1680, U+20xx and U+3000.
         rare = (after == 0xC2) | ((after >= 0xE1) & (after <= 0xE3)) | ((before >= 0x80) & ((data[at - 2] == 0xC2) | ((data[at - 3] >= 0xE1) & (data[at - 3] <= 0xE3))))
-        at = at[(before > 32) & (after > 32) & ~rare]
-        return np.unique(np.concatenate([at[~np.isin(at + 1, offsets)], offsets[:-1][np.diff(offsets) > 0]]))
+        starts = np.zeros(len(data), bool)
+        starts[at[(before > 32) & (after > 32) & ~rare]] = True
+        filled = np.diff(offsets) > 0
+        starts[offsets[1:][filled] - 1] = False  # a space that ends a document
+        starts[offsets[:-1][filled]] = True
+        return np.flatnonzero(starts)
 
     def encode_new(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The order in which segments were encoded, their ids, and how many each has.
@@ -85,29 +115,22 @@ class SegmentEncoder:
         start = self.segments(data, offsets)
         end = np.append(start[1:], len(data))
         unique, where, inverse = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-        if len(self.known) + len(unique) > CACHED_SEGMENTS:
-            self.clear()
-        index = np.full(len(unique), -1)
-        if len(self.known):
-            near = np.minimum(np.searchsorted(self.known, unique), len(self.known) - 1)
-            hit = self.known[near] == unique
-            index[hit] = self.slot[near[hit]]
-        new = np.flatnonzero(index < 0)
+        if len(self.young.known) > GENERATION:
+            self.young, self.old = Generation(), self.young
+        index = self.young.find(unique)
+        lost = np.flatnonzero(index < 0)
+        kept = self.old.find(unique[lost])
+        again = lost[kept >= 0]
+        ids, size = self.old.listed(kept[kept >= 0])
+        new = lost[kept < 0]
         if len(new):
-            order, ids, size = self.encode_new(data, start[where[new]], end[where[new]])
-            new = new[order]
-            index[new] = len(self.size) + np.arange(len(new))
-            known, slot = np.concatenate([self.known, unique[new]]), np.concatenate([self.slot, index[new]])
-            by_hash = np.argsort(known, kind="stable")
-            self.known, self.slot = known[by_hash], slot[by_hash]
-            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.ids = np.concatenate([self.ids, ids])
-        at = index[inverse]
-        size = self.size[at]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(self.first[at] - ends[:-1], size) + np.arange(ends[-1])]
-        return ids, ends[np.searchsorted(start, offsets)]
+            order, new_ids, new_size = self.encode_new(data, start[where[new]], end[where[new]])
+            again, ids, size = np.concatenate([again, new[order]]), np.concatenate([ids, new_ids]), np.concatenate([size, new_size])
+        if len(again):
+            index[again] = len(self.young.size) + np.arange(len(again))
+            self.young.add(unique[again], ids, size)
+        ids, size = self.young.listed(index[inverse])
+        return ids, np.concatenate([[0], np.cumsum(size)])[np.searchsorted(start, offsets)]
 
 
 _encoders: dict[str, SegmentEncoder] = {}
@@ -121,29 +144,35 @@ def encoder(path: str) -> SegmentEncoder:
 
 
 def differencing(lengths: np.ndarray, k: int) -> np.ndarray:
-    """The part, 0 to k-1, of each item: Karmarkar-Karp differencing into k parts of near-equal sums."""
+    """The part, 0 to k-1, of each item: Karmarkar-Karp differencing into k parts of near-equal sums.
+
+    A partial partition is the ascending list of its parts that aren't empty, each a number with the part's sum in the high
+    bits and its first item in the low ones; the items of a part form a chain.
+    """
     n = len(lengths)
-    following, last = np.full(n + 1, n), np.arange(n + 1)  # the items of a part form a chain; item n stands for none
-    heap = []
-    for i, x in enumerate(lengths.tolist()):
-        sums, head = np.zeros(k, np.int64), np.full(k, n)
-        sums[0], head[0] = x, i
-        heap.append((-x, i, sums, head))
+    bits = max(1, n.bit_length())
+    items, following, last = (1 << bits) - 1, [-1] * n, list(range(n))
+
+    def joined(x: int, y: int) -> int:
+        head = y & items
+        following[last[x & items]], last[x & items] = head, last[head]
+        return x + y - head
+
+    heap = [(-x, i, [(x << bits) | i]) for i, x in enumerate(lengths.tolist())]
     heapq.heapify(heap)
     for number in range(n, 2 * n - 1):
-        _, _, sums, head = heapq.heappop(heap)
-        _, _, other, other_head = heapq.heappop(heap)
-        other_head = other_head[::-1]
-        both = np.flatnonzero((head < n) & (other_head < n))
-        following[last[head[both]]] = other_head[both]
-        last[head[both]] = last[other_head[both]]
-        sums, head = sums + other[::-1], np.where(head < n, head, other_head)
-        order = np.argsort(-sums, kind="stable")
-        sums, head = sums[order], head[order]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), number, sums, head))
+        _, _, one = heapq.heappop(heap)
+        _, _, two = heap[0]
+        both = max(0, len(one) + len(two) - k)
+        # Of k parts each, those that are empty included, the fullest of one joins the emptiest of the other, and so on.
+        parts = one[both:] + two[both:] + [joined(x, y) for x, y in zip(one[:both], two[:both][::-1], strict=True)]
+        parts.sort()
+        spread = (parts[-1] >> bits) - (parts[0] >> bits if len(parts) == k else 0)
+        heapq.heapreplace(heap, (-spread, number, parts))
     part = np.zeros(n, np.int64)
-    for j, i in enumerate(heap[0][3].tolist()):
-        while i < n:
+    for j, x in enumerate(heap[0][2]):
+        i = x & items
+        while i >= 0:
             part[i] = j
             i = following[i]
     return part

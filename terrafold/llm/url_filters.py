@@ -7,23 +7,26 @@ level 1 takes for listed, level 3 the listed keys that level 2 takes for those,
 universe the answer is exact.  There is a cascade for each verdict; the longest listed key gives the rule.
 
 Sizes follow the list, not the corpus: level 1 has so many bits that about as many others pass as there are listed keys, and each further level halves.
-A level of more than MAX_BITS isn't sent to the tasks: the keys are then joined with the list.
+Tasks hold the cascades of at most about PART_KEYS listed keys of a verdict at once.  A longer list is dealt into parts by a hash of its keys, and the
+urls go through the parts one after the other, each of which betters what the parts before it found: one scan a part, and still no join.
 
-Defined results: a null url, or one without ://, has empty host and path, which no rule fits; equal rows are judged alike; an empty
-table gives no rows; an empty list gives no rule; other columns are not read.
+Defined results: a null url, or one without ://, has empty host and path, which no rule fits; equal rows are judged alike; a rule with a
+null host or path fits nothing; of a key with two verdicts the first in order counts; an empty table gives no rows; an empty list gives no rule; columns that
+aren't in `keep` are not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, saved, work_dir
 
-MAX_BITS = 1 << 23
+PART_KEYS = 1 << 19
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 Level = tuple[str, int, int]
 
@@ -36,24 +39,31 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
-    return spark.createDataFrame([(v, h, p) for v, h, p in rules], "verdict string, host string, path string")
+    rows = F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in rules])
+    return spark.range(1).select(F.inline(rows.cast("array<struct<verdict:string,host:string,path:string>>")))
 
 
-def shapes(rules: DataFrame) -> list[tuple[int, int]]:
-    """The distinct (labels of the host, length of the path), longest hosts first; there are few, however long the list."""
-    found = rules.select(F.size(F.split("host", r"\.")).alias("labels"), F.char_length("path").alias("length")).distinct()
-    return sorted(((r["labels"], r["length"]) for r in found.collect()), reverse=True)
+def shapes(rules: DataFrame) -> dict[int, list[int]]:
+    """The lengths of the paths by the number of the host's labels; there are few, however long the list."""
+    found = rules.select(F.size(F.split("host", r"\.")).alias("labels"), F.char_length("path").alias("length")).dropna()
+    return {r["labels"]: r["lengths"] for r in found.groupBy("labels").agg(F.sort_array(F.collect_set("length")).alias("lengths")).collect()}
 
 
-def candidates(host: Column, path: Column, of: list[tuple[int, int]]) -> Column:
+def candidates(host: Column, path: Column, of: dict[int, list[int]]) -> Column:
     """The keys that a url could match, the longest first and, of equally long ones, that with the longest host."""
-    labels = F.size(F.split(host, r"\."))
-    keys = [
-        F.when((labels >= k) & (F.char_length(path) >= n) & (host != ""), F.struct((-F.char_length(suffix) - n).alias("order"), (-F.char_length(suffix)).alias("then"), F.concat(suffix, F.substring(path, 1, n)).alias("key")))
-        for k, n in of
-        for suffix in [F.substring_index(host, ".", -k)]
-    ]
-    return F.transform(F.sort_array(F.array_compact(F.array(*keys))), lambda x: x["key"]) if keys else F.array().cast("array<string>")
+    if not of:
+        return F.array().cast("array<string>")
+    lengths = F.create_map(*[x for k, found in of.items() for x in (F.lit(k), F.array(*map(F.lit, found)))])
+    labels = F.split(host, r"\.")
+
+    def keys(k: Column) -> Column:
+        """Those of the last k labels."""
+        suffix = F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".")
+        fitting = F.filter(F.coalesce(F.try_element_at(lengths, k), F.array().cast("array<int>")), lambda n: n <= F.char_length(path))
+        return F.transform(fitting, lambda n: F.struct((-F.char_length(suffix) - n).alias("order"), (-F.char_length(suffix)).alias("then"), F.concat(suffix, F.substr(path, F.lit(1), n)).alias("key")))
+
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.size(labels)), keys))
+    return F.when(host != "", F.transform(F.sort_array(every), lambda x: x["key"])).otherwise(F.array().cast("array<string>"))
 
 
 def positions(key: Column, level: int, hashes: int, bits: int) -> list[Column]:
@@ -62,16 +72,20 @@ def positions(key: Column, level: int, hashes: int, bits: int) -> list[Column]:
     return [F.pmod(F.pmod(a, F.lit(bits)) + i * F.pmod(b, F.lit(bits)), F.lit(bits)) for i in range(hashes)]
 
 
-def level_of(keys: DataFrame, number: int, n_keys: int, rate: float) -> Level:
-    """A Bloom filter of the column key: its words as JSON, its bits, its hashes."""
-    hashes = max(1, round(math.log2(1 / rate)))
-    bits = max(64, 64 * math.ceil(n_keys * math.log2(1 / rate) / math.log(2) / 64))
-    at = keys.select(F.explode(F.array(*positions(F.col("key"), number, hashes, bits))).alias("at"))
-    words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("value"))
-    filled = [0] * (bits // 64)
+def size_of(n_keys: int, rate: float) -> tuple[int, int]:
+    """Bits and hashes of a Bloom filter of n_keys keys at this rate of false positives."""
+    return max(64, 64 * math.ceil(n_keys * math.log2(1 / rate) / math.log(2) / 64)), max(1, round(math.log2(1 / rate)))
+
+
+def levels_of(keys: DataFrame, number: int, rates: dict[str, tuple[int, float]]) -> dict[str, Level]:
+    """A Bloom filter for each verdict of `rates` (keys and rate) of the rows (verdict, key): its words as JSON, its bits, its hashes."""
+    sizes = {v: size_of(n, rate) for v, (n, rate) in rates.items()}
+    at = reduce(DataFrame.unionByName, [keys.filter(F.col("verdict") == v).select("verdict", F.explode(F.array(*positions(F.col("key"), number, hashes, bits))).alias("at")) for v, (bits, hashes) in sizes.items()])
+    words = at.groupBy("verdict", F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("value"))
+    filled = {v: [0] * (bits // 64) for v, (bits, _) in sizes.items()}
     for row in words.collect():
-        filled[row["word"]] = row["value"]
-    return "[" + ",".join(map(str, filled)) + "]", bits, hashes
+        filled[row["verdict"]][row["word"]] = row["value"]
+    return {v: ("[" + ",".join(map(str, filled[v])) + "]", *sizes[v]) for v in sizes}
 
 
 def in_level(key: Column, number: int, level: Level) -> Column:
@@ -90,55 +104,47 @@ def listed(key: Column, cascade: list[Level]) -> Column:
     return found
 
 
-def cascade_of(keys: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) -> list[Level] | None:
-    """The levels for the listed keys, or None if one would have more than max_bits."""
-    folder = work_dir(keys.sparkSession, "cascade")
-    inside = saved(keys.select("key").distinct(), f"{folder}/listed")
-    outside = universe.select("key").distinct().join(inside, "key", "left_anti")
-    n_inside, n_outside = inside.count(), outside.count()
-    levels: list[Level] = []
-    rate = min(0.5, max(n_inside, 1) / max(1, n_outside))
-    while n_inside:
-        if n_inside * math.log2(1 / rate) / math.log(2) > max_bits:
-            return None
-        number = len(levels) + 1
-        levels.append(level_of(inside, number, n_inside, rate))
-        passed = saved(outside.filter(in_level(F.col("key"), number, levels[-1])), f"{folder}/passed-{number}")
-        inside, outside, n_inside, rate = passed, inside, passed.count(), 0.5
-    return levels
-
-
-def judged(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", keep: Sequence[str] = (), max_bits: int = MAX_BITS) -> DataFrame:
+def first_listed(keys: str, cascade: list[Level]) -> Column:
+    """The place of the first listed key, from 1; null without any."""
+    return F.nullif(F.array_position(F.transform(keys, lambda key: listed(key, cascade)), F.lit(True)), F.lit(0))
+
+
+def cascades_of(rules: DataFrame, universe: DataFrame, n_universe: int) -> dict[str, list[Level]]:
+    """The levels of each verdict for the listed keys (verdict, key); all verdicts go through a level at once."""
+    folder = work_dir(rules.sparkSession, "cascade")
+    inside, outside = saved(rules.select("verdict", "key").distinct(), f"{folder}/listed"), None
+    cascades: dict[str, list[Level]] = {}
+    number = 0
+    while counts := {r["verdict"]: r["count"] for r in inside.groupBy("verdict").count().collect()}:
+        number += 1
+        rates = {v: (n, min(0.5, n / max(1, n_universe)) if number == 1 else 0.5) for v, n in counts.items()}
+        levels = levels_of(inside, number, rates)
+        others = {v: universe.join(inside.filter(F.col("verdict") == v).select("key"), "key", "left_anti") if outside is None else outside.filter(F.col("verdict") == v) for v in levels}
+        passed = [others[v].filter(in_level(F.col("key"), number, level)).select(F.lit(v).alias("verdict"), "key") for v, level in levels.items()]
+        for v, level in levels.items():
+            cascades.setdefault(v, []).append(level)
+        inside, outside = saved(reduce(DataFrame.unionByName, passed), f"{folder}/passed-{number}"), inside
+    return cascades
+
+
+def judged(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", keep: Sequence[str] = (), part_keys: int = PART_KEYS) -> DataFrame:
     """The columns `keep` of each row, host, path, rule (null if none fits) and verdict (`default` then)."""
-    spark = pages.sparkSession
-    folder = work_dir(spark, "url-filters")
-    of = shapes(rules)
+    folder = work_dir(pages.sparkSession, "url-filters")
     host, path = url_parts(F.col(url_col))
-    parts = pages.select(*keep, host.alias("__host"), path.alias("__path")).withColumn("__keys", candidates(F.col("__host"), F.col("__path"), of))
-    universe = saved(parts.select(F.explode("__keys").alias("key")).distinct(), f"{folder}/universe")
-    named = rules.select("verdict", F.concat("host", "path").alias("key"))
-    verdicts = sorted(r["verdict"] for r in named.select("verdict").distinct().collect())
-    cascades = {v: cascade_of(named.filter(F.col("verdict") == v), universe, max_bits) for v in verdicts}
-    out = [*keep, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.coalesce("__verdict", F.lit(default)).alias("verdict")]
-    if any(c is None for c in cascades.values()):
-        return _joined(parts, named, folder).select(out)
-    if not verdicts:
-        return parts.withColumn("__rule", F.lit(None).cast("string")).withColumn("__verdict", F.lit(None).cast("string")).select(out)
-    tagged = F.array(*[F.struct(_first_listed("__keys", cascades[v]).alias("rule"), F.lit(v).alias("verdict")) for v in verdicts])
-    best = F.get(F.array_sort(F.filter(tagged, lambda x: x["rule"].isNotNull()), lambda a, b: F.array_position("__keys", a["rule"]).cast("int") - F.array_position("__keys", b["rule"]).cast("int")), F.lit(0))
-    return parts.withColumn("__best", best).withColumn("__rule", F.col("__best.rule")).withColumn("__verdict", F.col("__best.verdict")).select(out)
-
-
-def _first_listed(keys: str, cascade: list[Level]) -> Column:
-    return F.get(F.filter(keys, lambda key: listed(key, cascade)), F.lit(0))
-
-
-def _joined(parts: DataFrame, named: DataFrame, folder: str) -> DataFrame:
-    """The same rules by joining each key, for lists that are too long for filters in every task."""
-    rows = saved(parts.withColumn("__row", F.expr("uuid()")), f"{folder}/rows")
-    hits = rows.select("__row", F.posexplode("__keys").alias("__at", "key")).join(named, "key")
-    best = hits.groupBy("__row").agg(F.min(F.struct("__at", "key", "verdict")).alias("__best"))
-    return rows.join(best, "__row", "left").withColumn("__rule", F.col("__best.key")).withColumn("__verdict", F.col("__best.verdict"))
+    rows = pages.select(*keep, host.alias("__host"), path.alias("__path")).withColumn("__keys", candidates(F.col("__host"), F.col("__path"), shapes(rules)))
+    universe = saved(rows.select(F.explode("__keys").alias("key")).distinct(), f"{folder}/universe")
+    named = saved(rules.select("verdict", F.concat("host", "path").alias("key")).dropna().distinct(), f"{folder}/rules")
+    n_universe, longest = universe.count(), named.groupBy("verdict").count().agg(F.max("count")).first()[0] or 0
+    rows = rows.withColumn("__best", F.lit(None).cast("struct<at:bigint,verdict:string>"))
+    n_parts = -(-longest // part_keys)
+    for part in range(n_parts):
+        cascades = cascades_of(named.filter(F.pmod(F.xxhash64("key", F.lit("part")), F.lit(n_parts)) == part), universe, n_universe)
+        if part:
+            rows = saved(rows, f"{folder}/part-{part}")
+        found = [F.struct(first_listed("__keys", c).alias("at"), F.lit(v).alias("verdict")) for v, c in sorted(cascades.items())]
+        best = F.array_min(F.filter(F.array(F.col("__best"), *found), lambda x: x["at"].isNotNull()))
+        rows = rows.withColumn("__best", best)
+    return rows.select(*keep, F.col("__host").alias("host"), F.col("__path").alias("path"), F.get("__keys", F.col("__best.at") - 1).alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,13 +138,24 @@ def expected(url, rules):
     return (host, path, *(max(fits)[2:] if fits else (None, "allow")))
 
 
-@pytest.mark.parametrize("max_bits", [url_filters.MAX_BITS, 1])
-def test_url_filters(spark, max_bits):
-    """By filters, and by the join for lists that are too long for them."""
-    pages = spark.createDataFrame([(i, u, 1, 2) for i, u in enumerate(URLS)], "page_id long, url string, host int, rule int")
-    found = url_filters.judged(pages, url_filters.rule_table(spark), keep=["page_id"], max_bits=max_bits)
+@pytest.mark.parametrize("part_keys", [url_filters.PART_KEYS, 1])
+def test_url_filters(spark, part_keys):
+    """In one part, and with a list dealt into parts of about one key."""
+    odd = [*URLS, "http://x.example.com/en/" + "y" * 20_000, URLS[1]]
+    pages = spark.createDataFrame([(i, u, 1, 2) for i, u in enumerate(odd)], "page_id long, url string, host int, rule int")
+    found = url_filters.judged(pages, url_filters.rule_table(spark), keep=["page_id"], part_keys=part_keys)
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in found.collect()}
-    assert got == {i: expected(u, url_filters.RULES) for i, u in enumerate(URLS)}
+    assert got == {i: expected(u, url_filters.RULES) for i, u in enumerate(odd)}
+
+
+def test_url_filters_give_the_same_in_parts_of_a_long_list(spark):
+    """Many path lengths and parts: the longest key wins, whichever part has it."""
+    rules = [("block" if i % 3 else "allow", f"h{i % 40}.test", "/" + "p" * (i % 60)) for i in range(500)]
+    rules = list({(h, p): (v, h, p) for v, h, p in rules}.values())
+    pages = spark.createDataFrame([(i, f"http://www.h{i % 45}.test/" + "p" * (i % 70)) for i in range(400)], "page_id long, url string")
+    for part_keys in (url_filters.PART_KEYS, 60):
+        found = url_filters.judged(pages, url_filters.rule_table(spark, rules), keep=["page_id"], part_keys=part_keys).collect()
+        assert {r["page_id"]: (r["rule"], r["verdict"]) for r in found} == {i: expected(f"http://www.h{i % 45}.test/" + "p" * (i % 70), rules)[2:] for i in range(400)}
 
 
 def test_url_filters_with_many_rules(spark):
@@ -156,9 +167,9 @@ def test_url_filters_with_many_rules(spark):
 
 
 def test_cascade_is_exact_on_its_universe(spark):
-    keys = spark.range(0, 2000, 7).select(F.col("id").cast("string").alias("key"))
+    keys = spark.range(0, 2000, 7).select(F.lit("block").alias("verdict"), F.col("id").cast("string").alias("key"))
     universe = spark.range(2000).select(F.col("id").cast("string").alias("key"))
-    levels = url_filters.cascade_of(keys, universe)
+    levels = url_filters.cascades_of(keys, universe, 2000)["block"]
     assert len(levels) > 1
     got = universe.select("key", url_filters.listed(F.col("key"), levels).alias("listed")).collect()
     assert all(r["listed"] == (int(r["key"]) % 7 == 0) for r in got)

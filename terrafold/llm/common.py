@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from urllib.parse import urlparse
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.plans import BROADCAST_ROWS, saved, shared_dir, small, work_dir
 
-__all__ = ["BROADCAST_ROWS", "WORD", "bounded_batches", "lower_ascii", "mounted_path", "saved", "shared_dir", "small", "work_dir"]
+__all__ = ["BROADCAST_ROWS", "WORD", "bounded_batches", "lower_ascii", "mounted_path", "saved", "shared_dir", "small", "stored", "work_dir"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +23,16 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at path, empty if nothing was written there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.range(0).select(F.from_json(F.lit("{}"), schema).alias("x")).select("x.*")
+
+
 def mounted_path(url: str) -> str:
     """The path of a shared folder as every machine mounts it, for files that workers map into memory."""
     parts = urlparse(url)

@@ -1,14 +1,16 @@
 """Secret scans over an incremental ledger of blobs.
 
 A document's text is a blob, named by its SHA-256; every version of a document that ever arrived is a row (path, blob) of the ledger.
-A scan takes the blobs of which the ledger has no record for this version of the rules, finds spans in one copy of each, records
-blob and rule version, and joins the findings back to all paths that hold the blob.
+A scan takes the arrived blobs of which the ledger has no record for this version of the rules, finds spans in one copy of each, records
+blob and rule version, and joins the findings back to all paths of the ledger that hold the blob, also those of earlier calls.
+Findings are written first and versions last, so a run that breaks off loses nothing: the next one scans again what isn't recorded, and
+a span found twice counts once.
 
 Matches are leftmost and don't overlap: pieces between them come from split() and the matches from
 regexp_extract_all(), so a match starts after all pieces and matches before it.
 
-Defined results: a null text is the empty text and has no span; equal rows get equal rows; an empty table gives no rows;
-offsets are code points, ends exclusive; other columns are not read.
+Defined results: a null text is the empty text and has no span; a null path is a path; equal rows of one call get equal rows, and a
+(path, blob) that the ledger has is not entered again; an empty table gives no rows but those of the ledger; offsets are code points, ends exclusive; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import saved, small, work_dir
+from .common import saved, small, stored, work_dir
 
 
 class Rule(NamedTuple):
@@ -77,29 +79,20 @@ def spans_text(spans: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _ledger(spark: SparkSession, path: str, schema: str, version: str) -> DataFrame:
-    """What the ledger has for this version of the rules; it may have nothing yet."""
-    try:
-        return spark.read.schema(schema).parquet(path).filter(F.col("rules") == version)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, rules: tuple[Rule, ...] = RULES, version: str = VERSION) -> DataFrame:
-    """Per row of docs: path, blob, spans (start, kind, end), kind being the number of the rule.
+    """Per version of a document in the ledger: path, blob, spans (start, kind, end), kind being the number of the rule.
 
-    folder: the ledger, which grows with each call; a new one by default.
+    folder: the ledger, which grows with each call; a new one by default, whose versions are the rows of docs.
     """
     spark = docs.sparkSession
     folder = folder or work_dir(spark, "secret-ledger")
     body = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("path"), body.alias("text"), F.sha2(body.cast("binary"), 256).alias("blob"))
     arrived = saved(rows.select("path", "blob"), work_dir(spark, "secret-arrived"))
-    arrived.write.mode("append").parquet(f"{folder}/versions")
-    done = _ledger(spark, f"{folder}/scanned", "blob string, rules string", version)
-    first_time = done.isEmpty()
+    path_type = arrived.schema["path"].dataType.simpleString()
+    done = stored(spark, f"{folder}/scanned", "blob string, rules string").filter(F.col("rules") == version)
+    known = stored(spark, f"{folder}/versions", f"path {path_type}, blob string")
+    first_time, new_ledger = done.isEmpty(), known.isEmpty()
     unseen = arrived.select("blob").distinct()
     if not first_time:
         unseen = unseen.join(done, "blob", "left_anti")
@@ -115,11 +108,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder
     once = hinted.filter(may).drop("__lowered").dropDuplicates(["blob"])
     find(once, rules).withColumn("rules", F.lit(version)).write.mode("append").parquet(f"{folder}/findings")
     unseen.withColumn("rules", F.lit(version)).write.mode("append").parquet(f"{folder}/scanned")
-
-    findings = _ledger(spark, f"{folder}/findings", "blob string, kind int, start long, end long, rules string", version)
+    entered = arrived
+    if not new_ledger:
+        other = known.select(F.col("path").alias("__path"), F.col("blob").alias("__blob"))
+        entered = saved(arrived.join(other, arrived["path"].eqNullSafe(other["__path"]) & (arrived["blob"] == other["__blob"]), "left_anti"), work_dir(spark, "secret-entered"))
+    entered.write.mode("append").parquet(f"{folder}/versions")
+
+    versions = stored(spark, f"{folder}/versions", f"path {path_type}, blob string")
+    findings = stored(spark, f"{folder}/findings", "blob string, kind int, start long, end long, rules string").filter(F.col("rules") == version)
     by_blob = findings.groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("start", "kind", "end"))).alias("spans"))
     empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    return arrived.join(by_blob, "blob", "left").select("path", "blob", F.coalesce("spans", empty).alias("spans"))
+    return versions.join(by_blob, "blob", "left").select("path", "blob", F.coalesce("spans", empty).alias("spans"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,21 @@ def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
     assert {d: (r["keep_id"], r["group_size"]) for d, r in got.items()} == {d: (r["keep_id"], r["group_size"]) for d, r in once.items()}
 
 
+def test_exact_dedup_reads_only_what_arrives(spark, tmp_path):
+    """A second batch is compared with contents of the first, which need not be given again; colliding texts stay apart in later runs too."""
+    folder, same = f"file://{tmp_path}/state", lambda body: F.when(body.isin("a", "b"), F.lit("same")).otherwise(exact_dedup.sha256(body))
+    one = [(1, "A", None, None, 0), (2, "long " * 50_000, None, None, 0), (None, "x", None, None, 0)]
+    two = [(3, "b", None, None, 0), (9, "LONG " * 50_000, None, None, 0), (None, "X", None, None, 0), (None, "x", None, None, 0), (4, "a", None, None, 0)]
+    exact_dedup.exact_dedup(frame(spark, one), folder=folder, digest=same).collect()
+    found = exact_dedup.exact_dedup(frame(spark, two), folder=folder, digest=same)
+    assert sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"], r["kept"]) for r in found.collect()) == sorted(
+        [(1, 4, 2, False), (4, 4, 2, True), (3, 3, 1, True), (2, 9, 2, False), (9, 9, 2, True), (0, 0, 3, False), (0, 0, 3, False), (0, 0, 3, True)]
+    )
+    exact_dedup.exact_dedup(frame(spark, []), folder=folder, digest=same).collect()
+    again = exact_dedup.exact_dedup(frame(spark, [(5, "B", None, None, 0)]), folder=folder, digest=same)
+    assert {r["doc_id"]: r["keep_id"] for r in again.collect() if r["doc_id"] in (1, 3, 4, 5)} == {1: 4, 4: 4, 3: 5, 5: 5}
+
+
 def test_exact_dedup_keeps_one_of_repeated_rows(spark):
     data = [(1, "A b", "en", "s", 3)] * 3 + [(2, None, "en", "s", 0), (2, "", "en", "s", 0)]
     assert sum(r["kept"] for r in exact_dedup.exact_dedup(frame(spark, data)).collect()) == 2
@@ -239,6 +254,17 @@ def test_secret_scan(spark, tmp_path):
     assert spark.read.parquet(f"{folder}/scanned").count() == 4 and spark.read.parquet(f"{folder}/findings").count() == 4
 
 
+def test_secret_ledger_keeps_what_is_gone(spark, tmp_path):
+    """A finding goes back to all paths that ever held the blob: those of earlier calls, changed and removed ones included."""
+    folder = f"file://{tmp_path}/ledger"
+    secret, clean = "secret=abcdefgh " + "filler " * 30_000, "clean"
+    secret_scan.scan(frame(spark, [(1, secret, None, None, 0), (2, secret, None, None, 0), (None, clean, None, None, 0)]), folder=folder).collect()
+    got = secret_scan.scan(frame(spark, [(1, clean, None, None, 0), (3, secret, None, None, 0), (3, secret, None, None, 0), (None, clean, None, None, 0)]), folder=folder).collect()
+    found = sorted((r["path"] or 0, len(r["spans"])) for r in got)
+    assert found == [(0, 0), (1, 0), (1, 1), (2, 1), (3, 1), (3, 1)]
+    assert spark.read.parquet(f"{folder}/scanned").count() == 2 and spark.read.parquet(f"{folder}/findings").count() == 1
+
+
 @pytest.mark.parametrize("make", [exact_dedup.exact_dedup, jaccard_join.jaccard_classes, repetition.judged, mixing.mixed, line_dedup.deduplicated, secret_scan.scan, lambda d: packing.packed(d, packing.tokenizer_path())])
 def test_empty_tables(spark, make):
     assert make(frame(spark, [])).count() == 0

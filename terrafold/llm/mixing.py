@@ -17,6 +17,8 @@ no rows.  Columns of docs other than the id, text and source columns are not rea
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -27,9 +29,9 @@ WEIGHTS = (5, 2, 1)
 BUDGET, CAP, TILT, BINS = 1.5, 2.0, 0.5, 4096
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size: the words of each document."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] = ()) -> DataFrame:
+    """The columns `keep`, doc_id, source, size: the words of each document."""
+    return docs.select(*keep, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
@@ -66,10 +68,10 @@ def expected_copies(sized: DataFrame, by_source: DataFrame, cap: float = CAP, ti
     return expects.withColumn("certain", certain).withColumn("p", F.col("expects") - certain)
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP, tilt: float = TILT) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, copies."""
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP, tilt: float = TILT, keep: Sequence[str] = ()) -> DataFrame:
+    """Per row of docs: the columns `keep`, doc_id, source, size, source_size, target, copies."""
     spark = docs.sparkSession
-    sized = saved(sizes(docs, id_col, text_col, source_col), work_dir(spark, "mixing-sizes"))
+    sized = saved(sizes(docs, id_col, text_col, source_col, keep), work_dir(spark, "mixing-sizes"))
     by_source = saved(targets(sized, weights, budget, cap), work_dir(spark, "mixing-targets"))
     planned = expected_copies(sized, by_source, cap, tilt)
     u, p = unit_random(seed, F.col("doc_id")), F.col("p")
@@ -88,18 +90,19 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     in_order = W.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     fits = F.col("before") + F.sum("size").over(in_order) - F.col("size") / 2.0 <= F.col("rest")
     copies = F.col("certain") + F.coalesce("more", F.lit(0))
-    shown = ["doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies")]
+    shown = [*keep, "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies")]
     of_edge = at_edge.withColumn("more", fits.cast("long")).select(shown)
     others = planned.join(edge, F.col("source").eqNullSafe(F.col("edge_source")), "left").filter("rank is null or edge_bin is null or bin != edge_bin")
     others = others.withColumn("more", F.when(F.col("rank").isNotNull() & (F.col("edge_bin").isNull() | (F.col("bin") < F.col("edge_bin"))), 1)).select(shown)
-    wordless = sized.filter("size = 0").join(small(by_source), sized["source"].eqNullSafe(by_source["source"])).select(sized["doc_id"], sized["source"], "size", "source_size", "target", F.lit(0).cast("long").alias("copies"))
+    wordless = sized.filter("size = 0").join(small(by_source), sized["source"].eqNullSafe(by_source["source"])).select(*[sized[c] for c in keep], sized["doc_id"], sized["source"], "size", "source_size", "target", F.lit(0).cast("long").alias("copies"))
     return of_edge.unionByName(others).unionByName(wordless)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them, with all their columns."""
-    taken = mixed(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__copies"))
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    """The documents as often as the mix takes them, with all their columns.  Rows are told apart by a number, not by their ids."""
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), work_dir(spark, "mixing-rows"))
+    taken = mixed(rows.select("row", "doc.doc_id", "doc.text", "doc.source"), keep=["row"]).filter("copies > 0").select("row", F.col("copies").cast("int").alias("copies"))
+    return rows.join(taken, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

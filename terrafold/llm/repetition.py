@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import bounded_batches
-from .words import Words, combine, slices, span_hashes
+from .words import Words, combine, power_tables, slices, span_hashes
 
 MIN_WORDS, MAX_COVERED, MAX_LONGEST = 16, 0.1, 100
 LEAST_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 10, 5, 20
@@ -86,7 +86,10 @@ def covered(start: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
 
 
 def longest_repeats(hashes: np.ndarray, doc: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each word, how many words the longest substring that starts there and occurs again in its document has."""
+    """For each word, how many words the longest substring that starts there and occurs again in its document has.
+
+    Memory is a fixed number of arrays of the slice's words, however often the doubling goes on.
+    """
     n = len(hashes)
     if not n:
         return np.zeros(0, np.int64)
@@ -98,7 +101,7 @@ def longest_repeats(hashes: np.ndarray, doc: np.ndarray, bounds: np.ndarray) ->
     group = np.maximum.accumulate(np.where(fresh, place, 0))
     rank = np.empty(n, np.int64)
     rank[order] = group
-    levels, width = [rank], 1
+    width = 1
     tied = order[_in_groups(group)]
     while len(tied):
         follows = tied + width
@@ -113,23 +116,24 @@ def longest_repeats(hashes: np.ndarray, doc: np.ndarray, bounds: np.ndarray) ->
         leader = np.maximum.accumulate(np.where(opens, at, 0))
         opens[1:] |= second[1:] != second[:-1]
         begin = np.maximum.accumulate(np.where(opens, at, 0))
-        rank = rank.copy()
         rank[tied] = first + begin - leader
-        levels.append(rank)
         width *= 2
         tied = tied[_in_groups(rank[tied])]
     order = np.empty(n, np.int64)
     order[rank] = place
     left, right = order[:-1], order[1:]
-    pairs = np.flatnonzero((doc[left] == doc[right]) & (levels[0][left] == levels[0][right]))
+    pairs = np.flatnonzero((doc[left] == doc[right]) & (hashes[left] == hashes[right]))
     left, right = left[pairs], right[pairs]
+    room = np.minimum(stop[left] - left, stop[right] - right)
+    powers, inverse = power_tables(n)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers)])
     common = np.zeros(len(pairs), np.int64)
-    for level in range(len(levels) - 1, -1, -1):
-        a, b = left + common, right + common
-        ok = (a < stop[left]) & (b < stop[right])
-        a, b = np.minimum(a, n - 1), np.minimum(b, n - 1)
-        same = ok & (levels[level][a] == levels[level][b]) & (a + (1 << level) <= stop[left]) & (b + (1 << level) <= stop[right])
-        common += same * (1 << level)
+    while width:  # the common prefix, by halves, from hashes of whole spans
+        fits = common + width <= room
+        a, b = np.where(fits, left + common, 0), np.where(fits, right + common, 0)
+        reach = np.where(fits, width, 0)
+        common += reach * ((sums[a + reach] - sums[a]) * inverse[a] == (sums[b + reach] - sums[b]) * inverse[b])
+        width //= 2
     longest = np.zeros(n, np.int64)
     np.maximum.at(longest, left, common)
     np.maximum.at(longest, right, common)

@@ -23,7 +23,7 @@ _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n; kept for the next call."""
     global _powers
     if len(_powers[0]) < n:
@@ -91,7 +91,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     """A 64-bit polynomial hash of the bytes of each span."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    powers, inverse = _power_tables(len(data) + 1)
+    powers, inverse = power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))

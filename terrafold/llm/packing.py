@@ -5,9 +5,11 @@ A document that is longer than a window fills whole windows by itself; what is l
 `piece` tokens.  A group of pieces is divided among k windows: partial partitions, at first one piece each, are merged
 by pairs, those of the largest spread first, the fullest part of one with the emptiest of the other.  k starts at the
 fewest windows that could do and rises until none of them is above capacity.
+Copies of a document, such as a mix leaves side by side, go to different groups (up to POOLS), so they don't meet in a window;
+row_no tells their pieces apart.
 
 Defined results: a null or empty text is the end token alone; rows with equal ids are documents of their own; an empty
-table gives no rows; other columns are not read.  sequence_id holds the number of the task in its high bits.
+table gives no rows; other columns are not read.  sequence_id and row_no hold the number of the task in their high bits.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import bounded_batches
 from .words import slices, span_hashes
 
-CAPACITY, PIECE, GROUP = 2048, 512, 1024
+CAPACITY, PIECE, GROUP, POOLS = 2048, 512, 1024, 4
 GENERATION, JOINED = 400_000, 10_000
 SLICE_BYTES = 1 << 20
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row_no long, sequence_id long, offset long"
 
 
 class Generation:
@@ -203,19 +205,18 @@ def pieces(ids: np.ndarray, capacity: int, piece: int) -> Iterator[tuple[int, in
 def pack_rows(batches: Iterable[pa.RecordBatch], path: str, end_id: int, capacity: int, piece: int, group: int) -> Iterator[pa.RecordBatch]:
     made = encoder(path)
     base = TaskContext.get().partitionId() << 40
-    sequences = 0
-    pool: list[tuple] = []
+    sequences = rows = 0
+    pools: list[tuple[set, list[tuple]]] = [(set(), []) for _ in range(POOLS)]
     out: list[tuple] = []
 
-    def packed() -> None:
-        nonlocal sequences, pool
+    def packed(pool: list[tuple]) -> None:
+        nonlocal sequences
         part = windows(np.fromiter((p[2] for p in pool), np.int64, len(pool)), capacity)
         filled = np.zeros(int(part.max()) + 1, np.int64)
         for p, j in zip(pool, part.tolist(), strict=True):
             out.append((*p, base + sequences + j, int(filled[j])))
             filled[j] += p[2]
         sequences += len(filled)
-        pool = []
 
     def flushed() -> pa.RecordBatch:
         nonlocal out
@@ -230,24 +231,32 @@ def pack_rows(batches: Iterable[pa.RecordBatch], path: str, end_id: int, capacit
             all_ids, bounds = made.encode(data, offsets)
             for d in range(first, last):
                 ids = np.append(all_ids[bounds[d - first] : bounds[d - first + 1]], np.uint32(end_id)).astype("<u4")
+                doc_id = doc_ids[d]
+                at = next((i for i, (met, _) in enumerate(pools) if doc_id not in met), POOLS - 1)
                 for start, length in pieces(ids, capacity, piece):
-                    row = (doc_ids[d], start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids))
+                    row = (doc_id, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), base + rows)
                     if length == capacity:
                         out.append((*row, base + sequences, 0))
                         sequences += 1
-                    else:
-                        pool.append(row)
-                        if len(pool) == group:
-                            packed()
+                        continue
+                    met, pool = pools[at]
+                    pool.append(row)
+                    if doc_id is not None:
+                        met.add(doc_id)
+                    if len(pool) == group:
+                        packed(pool)
+                        pools[at] = (set(), [])
+                rows += 1
             if len(out) >= 50_000:
                 yield flushed()
-    if pool:
-        packed()
+    for _, pool in pools:
+        if pool:
+            packed(pool)
     yield flushed()
 
 
 def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, row_no, sequence_id, offset."""
     bounded_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(lambda batches: pack_rows(batches, tokenizer, end_id, capacity, piece, group), SCHEMA)
 

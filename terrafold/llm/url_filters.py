@@ -68,7 +68,7 @@ def candidates(host: Column, path: Column, of: dict[int, list[int]]) -> Column:
 
 def positions(key: Column, level: int, hashes: int, bits: int) -> list[Column]:
     """Double hashing: position i is a + i b."""
-    a, b = F.xxhash64(key, F.lit(2 * level)), F.xxhash64(key, F.lit(2 * level + 1))
+    a, b = F.xxhash64(F.lit(2 * level), key), F.xxhash64(F.lit(2 * level + 1), key)  # the number first, so that levels hash independently
     return [F.pmod(F.pmod(a, F.lit(bits)) + i * F.pmod(b, F.lit(bits)), F.lit(bits)) for i in range(hashes)]
 
 

@@ -115,7 +115,7 @@ def test_repetition_rejects_what_the_base_rules_keep(spark):
 
 def test_mixing(spark):
     data = rows(3, 400)
-    got = mixing.mixed(clashing(frame(spark, data)).drop("target")).collect()
+    got = mixing.mixed(clashing(frame(spark, data))).collect()
     size = {d: len(words(t)) for d, t, *_ in data}
     source = {d: s for d, _, _, s, _ in data}
     order = sorted(set(source.values()), key=lambda s: (s is None, s or ""))
@@ -140,6 +140,30 @@ def test_mixing(spark):
     assert mixing.stage(spark, frame(spark, data), "").count() == sum(r["copies"] for r in got)
 
 
+def test_mixing_stage_goes_by_rows(spark):
+    """Rows that share an id, or have none, are taken as often as each of them is, and clashing columns stay as they are."""
+    data = [*rows(3, 200), *((7, f"the same id {'w ' * i}", None, "s1", 0) for i in range(40)), *((None, f"no id {'w ' * i}", None, "s2", 0) for i in range(40)), (8, "long " * 50_000, None, "s3", 0)]
+    docs = clashing(frame(spark, data)).withColumn("row", F.lit("x")).withColumn("copies", F.lit("y"))
+    out = mixing.stage(spark, docs, "")
+    assert out.columns == docs.columns
+    want, got = {}, {}
+    for r in mixing.mixed(docs, keep=["text"]).filter("copies > 0").collect():
+        want.setdefault((r["doc_id"] or -1, len(words(r["text"]))), []).append(r["copies"])
+    for r in out.collect():
+        got[r["doc_id"] or -1, len(words(r["text"]))] = got.get((r["doc_id"] or -1, len(words(r["text"]))), 0) + 1
+    assert got == {k: sum(v) for k, v in want.items()}
+
+
+def test_packing_keeps_copies_apart(spark):
+    data = [(i // 3, " ".join(f"t{i // 3}x{j}" for j in range(40)), "en", "s", 0) for i in range(120)]
+    found = packing.packed(frame(spark, data).coalesce(1), packing.tokenizer_path()).collect()
+    assert len({r["row_no"] for r in found}) == 120
+    at = {}
+    for r in found:
+        at.setdefault((r["sequence_id"], r["doc_id"]), set()).add(r["row_no"])
+    assert all(len(x) == 1 for x in at.values())
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 

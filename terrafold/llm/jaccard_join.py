@@ -8,18 +8,23 @@ l tokens among the first n - ceil(t n) + l.  Three orders are used, and a pair m
 2. rarest first, by document frequencies among those sets.  Its prefix makes the candidate buckets.
 3. the order of a second hash.
 
-Equal sets are one class from the start, so copies are never compared.  Buckets of up to BUCKET classes give pairs, which is linear
-in the rows.  Classes that share larger buckets form clusters (components over those buckets), which are dealt out
-in blocks: a task compares two blocks and returns a spanning forest and the number of links, never pairs.  No link is lost.
-
-Defined results: a text without words or null has the empty set and no link (component_id is its own doc_id); texts of one or
-two words have one shingle; rows of equal ids count one by one and an id that stands for several texts belongs to several
-classes; an empty table gives no rows; other columns are not read.
+Equal sets are one class from the start, so copies are never compared.  A bucket is the classes that have a token in their prefix; one of up to
+BUCKET classes gives pairs, which is linear in the rows.  A pair all of whose common tokens in the second order have larger buckets
+consists of two classes with such tokens: among these alone, buckets are made again in the order of the hashes, and among
+those with larger buckets there, in the order of the second hash.  What shares larger buckets in every order forms clusters (components over
+the last ones), which are dealt out in blocks of near-equal set sizes: a task compares two blocks whose sizes allow a link and returns a
+spanning forest and the number of links, never pairs.  No link is lost.
+
+Defined results: a text without words or null has the empty set and no link (component_id is its own doc_id); texts with fewer words than a shingle
+have one shingle; rows of equal ids count one by one and an id that stands for several texts belongs to several
+classes; rows without an id link as others do and have the least id of their group, null if no row of it has one; an empty table gives no rows;
+columns that aren't in `keep` are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +38,7 @@ from .words import Words, combine, mix, slices
 WIDTH, PERCENT = 3, 90
 STAGE_WIDTH, STAGE_PERCENT = 5, 80
 BUCKET, BLOCK, CHUNK = 16, 128, 8192
-_SECOND = np.uint64(0xA0761D6478BD642F)
+_SECOND, _THIRD = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
 def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,11 +69,11 @@ def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens, np.searchsorted(owner, np.arange(n_docs + 1))
 
 
-def class_keys(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit key per set; equal sets have equal keys."""
-    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (tokens, mix(tokens ^ _SECOND))]
-    first, second = (s[bounds[1:]] - s[bounds[:-1]] for s in sums)
-    return combine(combine(first, second), np.diff(bounds).astype(np.uint64))
+def class_keys(tokens: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """A 128-bit key per set, as two columns; equal sets have equal keys."""
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (tokens, mix(tokens ^ _SECOND), mix(tokens + _THIRD))]
+    first, second, third = (s[bounds[1:]] - s[bounds[:-1]] for s in sums)
+    return tuple(pa.array(x.view(np.int64)) for x in (combine(first, second), combine(third, np.diff(bounds).astype(np.uint64))))
 
 
 def least_common(n: np.ndarray, percent: int) -> np.ndarray:
@@ -92,29 +97,28 @@ def _take(bounds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def probe_rows(batches: Iterable[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, cls, n, and the longer prefix in the order of the hashes."""
+    """All columns but the last, which is the text, then k1, k2, n, and the longer prefix in the order of the hashes."""
     for batch in batches:
-        for first, last, data, offsets in slices(batch.column(1)):
+        kept = batch.columns[:-1]
+        for first, last, data, offsets in slices(batch.column(len(kept))):
             tokens, bounds = shingle_sets(Words(data, offsets), width)
             n = np.diff(bounds)
             size = np.minimum(n, n - least_common(n, percent) + 1 + extra(n))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, last - first), pa.array(class_keys(tokens, bounds).view(np.int64)), pa.array(n, pa.int64()), _lists(tokens[_take(bounds, size)], size)],
-                names=["doc_id", "cls", "n", "probe"],
+                [*[x.slice(first, last - first) for x in kept], *class_keys(tokens, bounds), pa.array(n, pa.int64()), _lists(tokens[_take(bounds, size)], size)],
+                names=[*batch.schema.names[:-1], "k1", "k2", "n", "probe"],
             )
 
 
 def token_rows(batches: Iterable[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """cls, n, all tokens in the order of the hashes, and the prefix in the order of the second hash."""
+    """k1, k2, n, all tokens in the order of the hashes, and the prefix in the order of the second hash."""
     for batch in batches:
-        for _, _, data, offsets in slices(batch.column(1)):
+        for _, _, data, offsets in slices(batch.column(0)):
             tokens, bounds = shingle_sets(Words(data, offsets), width)
             n = np.diff(bounds)
             size = np.minimum(n, n - least_common(n, percent) + 1)
             again = np.lexsort((mix(tokens + _SECOND), np.repeat(np.arange(len(n)), n)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(class_keys(tokens, bounds).view(np.int64)), pa.array(n, pa.int64()), _lists(tokens, n), _lists(tokens[again][_take(bounds, size)], size)], names=["cls", "n", "tokens", "other"]
-            )
+            yield pa.RecordBatch.from_arrays([*class_keys(tokens, bounds), pa.array(n, pa.int64()), _lists(tokens, n), _lists(tokens[again][_take(bounds, size)], size)], names=["k1", "k2", "n", "tokens", "other"])
 
 
 def _least(n: Column, percent: int) -> Column:
@@ -138,6 +142,33 @@ def rarest_first(full: DataFrame, percent: int) -> DataFrame:
     return lists.withColumn("length", length.cast("int")).filter("length > 0").select("cls", "n", F.slice("ranked", F.lit(1), F.col("length"))["token"].alias("prefix"))
 
 
+def head(percent: int) -> Column:
+    """The prefix in the order of the hashes."""
+    return F.slice("tokens", F.lit(1), (F.col("n") - _least(F.col("n"), percent) + 1).cast("int"))
+
+
+def dealt(prefixes: DataFrame, percent: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Of rows (cls, n, token): pairs (src, dst) from buckets of up to BUCKET classes, and the rows (cls, token, least) of larger ones."""
+    prefixes = saved(prefixes, f"{folder}-prefixes")
+    buckets = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("classes"), F.min("cls").alias("least")).filter("classes > 1")
+    buckets = saved(buckets, f"{folder}-buckets")
+    pairs = small_pairs(prefixes.join(buckets.filter(F.col("classes") <= BUCKET).select("token"), "token"), percent)
+    return pairs, saved(prefixes.join(buckets.filter(F.col("classes") > BUCKET), "token").select("cls", "token", "least"), f"{folder}-large")
+
+
+def candidates(full: DataFrame, percent: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (src, dst), and the clusters (node, component) of what has larger buckets in all three orders."""
+    pairs, large = dealt(rarest_first(full, percent).select("cls", "n", F.explode("prefix").alias("token")), percent, f"{folder}/rare")
+    for name, prefix in (("hash", head(percent)), ("second", F.col("other"))):
+        among = full.join(large.select("cls").distinct(), "cls", "left_semi").select("cls", "n", F.explode(prefix).alias("token"))
+        more, large = dealt(among, percent, f"{folder}/{name}")
+        pairs = pairs.unionByName(more)
+    clusters = saved(connected_components(large.select(F.col("cls").alias("src"), F.col("least").alias("dst"))), f"{folder}/clusters")
+    one, two = clusters.select(F.col("node").alias("src"), F.col("component").alias("one")), clusters.select(F.col("node").alias("dst"), F.col("component").alias("two"))
+    apart = pairs.distinct().join(one, "src", "left").join(two, "dst", "left").filter("one is null or two is null or one != two").select("src", "dst")
+    return saved(apart, f"{folder}/pairs"), clusters
+
+
 def small_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
     """(src, dst) of classes in a bucket of at most BUCKET classes, of sizes that allow a link."""
     a, b = prefixes.select("token", F.col("cls").alias("src"), F.col("n").alias("src_n")), prefixes.select("token", F.col("cls").alias("dst"), F.col("n").alias("dst_n"))
@@ -147,8 +178,7 @@ def small_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs that pass the prefix filters of the two hash orders, and then the measure itself."""
-    head = F.slice("tokens", F.lit(1), (F.col("n") - _least(F.col("n"), percent) + 1).cast("int"))
-    heads = full.select("cls", head.alias("head"), "other")
+    heads = full.select("cls", head(percent).alias("head"), "other")
     a, b = heads.select(F.col("cls").alias("src"), F.col("head").alias("a"), F.col("other").alias("c")), heads.select(F.col("cls").alias("dst"), F.col("head").alias("b"), F.col("other").alias("d"))
     left = pairs.join(a, "src").join(b, "dst").filter(F.arrays_overlap("a", "b") & F.arrays_overlap("c", "d")).select("src", "dst")
     a, b = full.select(F.col("cls").alias("src"), F.col("tokens").alias("a")), full.select(F.col("cls").alias("dst"), F.col("tokens").alias("b"))
@@ -215,38 +245,41 @@ def linked_blocks(table: pa.Table, percent: int) -> pa.Table:
 
 
 def block_links(clusters: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """(src, dst, links) within clusters (node, component): each pair of blocks of a cluster is a group of its own."""
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = clusters.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.col("node").alias("cls"), "component", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
-    return dealt.join(full, "cls").groupBy("component", "low", "high").applyInArrow(lambda t: linked_blocks(t, percent), "src long, dst long, links long")
-
+    """(src, dst, links) within clusters (node, component): each pair of blocks of a cluster is a group of its own.
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, n_links (links of its set to other sets)."""
+    A block has sets of one band of sizes, and meets the blocks of its band and of the next ones only: sets of a link are no farther apart.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * 1.001))
+    members = clusters.select(F.col("node").alias("cls"), "component").join(full.select("cls", "n"), "cls").select("cls", "component", band.alias("band"))
+    sizes = members.groupBy("component", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+    sizes = saved(sizes, work_dir(full.sparkSession, "jaccard-blocks"))
+    near = sizes.select("component", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("of"), "blocks")
+    near = near.groupBy("component", "band").agg(F.max(F.when(F.col("band") == F.col("of"), F.col("blocks"))).alias("own"), F.collect_list(F.struct("of", "blocks")).alias("others")).filter("own is not null")
+    number = F.pmod(F.xxhash64(F.lit(7), F.col("cls")), F.col("own"))
+    placed = members.join(near, ["component", "band"]).select("cls", "component", (F.col("band") * (1 << 40) + number).alias("block"), F.explode("others").alias("other"))
+    placed = placed.select("cls", "component", "block", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("other.blocks") - 1), lambda i: F.col("other.of") * (1 << 40) + i)).alias("with"))
+    placed = placed.select("cls", "component", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+    return placed.join(full, "cls").select("cls", "component", "block", "low", "high", "n", "tokens", "other").groupBy("component", "low", "high").applyInArrow(lambda t: linked_blocks(t, percent), "src long, dst long, links long")
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, keep: Sequence[str] = ()) -> DataFrame:
+    """Per row of docs: the columns `keep`, doc_id, n_shingles, component_id, n_links (links of its set to other sets), group (null for an empty set)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     folder = work_dir(spark, "jaccard")
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    sets = saved(texts.mapInArrow(lambda x: probe_rows(x, width, percent), "doc_id long, cls long, n long, probe array<long>"), f"{folder}/sets")
-    some = sets.filter("n > 0").groupBy("cls")
-    classes = saved(some.agg(F.min("doc_id").alias("rep")), f"{folder}/classes")
-    left = saved(survivors(some.agg(F.first("n").alias("n"), F.first("probe").alias("probe")), percent), f"{folder}/survivors")
-    reps = saved(classes.select("cls", "rep").join(left, "cls").select(F.col("rep").alias("doc_id"), "cls"), f"{folder}/reps")
-    full = texts.join(small(reps.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(lambda x: token_rows(x, width, percent), "cls long, n long, tokens array<long>, other array<long>")
-    full = saved(full.join(small(left), "cls", "left_semi").dropDuplicates(["cls"]), f"{folder}/full")
-
-    prefixes = rarest_first(full, percent).select("cls", "n", F.explode("prefix").alias("token"))
-    prefixes = saved(prefixes, f"{folder}/prefixes")
-    buckets = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("classes"), F.min("cls").alias("least")).filter("classes > 1")
-    buckets = saved(buckets, f"{folder}/buckets")
-    stars = prefixes.join(buckets.filter(F.col("classes") > BUCKET), "token").select(F.col("cls").alias("src"), F.col("least").alias("dst"))
-    clusters = saved(connected_components(stars), f"{folder}/clusters")
-    pairs = small_pairs(prefixes.join(buckets.filter(F.col("classes") <= BUCKET).select("token"), "token"), percent)
-    within = clusters.select(F.col("node").alias("src"), F.col("component").alias("one")), clusters.select(F.col("node").alias("dst"), F.col("component").alias("two"))
-    pairs = pairs.join(within[0], "src", "left").join(within[1], "dst", "left").filter("one is null or two is null or one != two").select("src", "dst")
-    found = saved(verified(saved(pairs, f"{folder}/pairs"), full, percent), f"{folder}/links")
+    texts = docs.select(*keep, docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
+    sets = saved(texts.mapInArrow(lambda x: probe_rows(x, width, percent), f"{schema}, k1 long, k2 long, n long, probe array<long>"), f"{folder}/sets")
+    classes = sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("probe").alias("probe"))
+    classes = saved(classes.withColumn("cls", F.monotonically_increasing_id()), f"{folder}/classes")
+    left = saved(survivors(classes, percent), f"{folder}/survivors")
+    reps = saved(classes.select("cls", "rep", "k1", "k2").join(left, "cls"), f"{folder}/reps")
+    ids = small(reps.select("rep").distinct())
+    full = texts.join(ids, texts["doc_id"].eqNullSafe(ids["rep"]), "left_semi").select("text").mapInArrow(lambda x: token_rows(x, width, percent), "k1 long, k2 long, n long, tokens array<long>, other array<long>")
+    full = saved(full.join(small(reps.select("cls", "k1", "k2")), ["k1", "k2"]).drop("k1", "k2").dropDuplicates(["cls"]), f"{folder}/full")
+
+    pairs, clusters = candidates(full, percent, folder)
+    found = saved(verified(pairs, full, percent), f"{folder}/links")
     in_blocks = saved(block_links(clusters, full, percent), f"{folder}/block-links")
 
     edges = found.unionByName(in_blocks.filter("links = 0").select("src", "dst"))
@@ -255,25 +288,29 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = ends.unionByName(in_blocks.filter("links > 0").select(F.col("src").alias("cls"), "links")).groupBy("cls").agg(F.sum("links").alias("n_links"))
     in_groups = classes.select("cls", "rep").join(groups.withColumnRenamed("node", "cls"), "cls")
     first = in_groups.groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked = in_groups.join(first, "component").join(links, "cls", "left").select("cls", "component_id", "n_links")
-    named = classes.select("cls", "rep").join(linked, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"), "n_links")
+    linked = in_groups.join(first, "component").join(links, "cls", "left").select("cls", "component", "component_id", "n_links")
+    named = classes.select("cls", "k1", "k2", "rep").join(linked, "cls", "left").select("k1", "k2", F.coalesce("component", "cls").alias("group"), F.coalesce("component_id", "rep").alias("component_id"), "n_links")
     named = saved(named, f"{folder}/named")  # so that the join with a class of very many copies has two plain sides and can be split
-    return sets.select("doc_id", "n", "cls").join(named, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    return sets.select(*keep, "doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select(
+        *keep, "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "group"
     )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, four fifths in common), the one of the smallest id, with all columns.
 
-    Documents without an id stay unless one with an id has their text.
+    Rows go by a number, so one row of a group stays also if rows share an id or have none; documents without words are no group.
     """
-    stays = jaccard_classes(docs, width=STAGE_WIDTH, percent=STAGE_PERCENT).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["__id"]), "left_semi")
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), work_dir(spark, "jaccard-rows"))
+    found = jaccard_classes(rows.select("row", "doc.doc_id", "doc.text"), width=STAGE_WIDTH, percent=STAGE_PERCENT, keep=["row"])
+    found = saved(found.select("row", "doc_id", "group"), work_dir(spark, "jaccard-found"))
+    one = found.filter("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("one"))
+    stays = one.select("one.row").unionByName(found.filter("group is null").select("row"))
+    return rows.join(stays, "row", "left_semi").select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("group")
 
 
 ORACLE = r"""

@@ -44,12 +44,12 @@ def held_out(doc_id, modulus, rest=2):
     return zlib.crc32(str(doc_id).encode()) % modulus == rest
 
 
-def jaccard_components(data, percent=90):
+def jaccard_components(data, percent=90, width=3):
     """doc_id to (size, component, links to different sets)."""
     sets = {}
     for doc_id, text, *_ in data:
         w = words(lower(text))
-        sets[doc_id] = frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else [])
+        sets[doc_id] = frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
     root = {d: d for d in sets}
 
     def find(x):

@@ -85,6 +85,21 @@ def test_jaccard_join_in_blocks(spark, monkeypatch):
     assert {d: (r["n_shingles"], r["component_id"], r["n_links"]) for d, r in got.items()} == jaccard_components(data)
 
 
+def test_jaccard_join_of_passages_that_many_share(spark, monkeypatch):
+    """Texts made of common passages have large buckets in every order; copies of them are still found, and rows without an id."""
+    import random
+
+    monkeypatch.setattr(jaccard_join, "BUCKET", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng = random.Random(9)
+    passages = [" ".join(f"p{k}x{i}" for i in range(30)) for k in range(8)]
+    data = [(i, " ".join([*(p for k in rng.sample(range(8), rng.randint(2, 5)) for p in [passages[k]]), *(["tail"] * rng.randint(0, 1)), f"own{i % 5}"]), None, None, 0) for i in range(120)]
+    got = collected(jaccard_join.jaccard_classes(frame(spark, data)))
+    assert {d: (r["n_shingles"], r["component_id"], r["n_links"]) for d, r in got.items()} == jaccard_components(data)
+    without = jaccard_join.jaccard_classes(frame(spark, [(None if d % 2 else d, *r) for d, *r in data])).collect()
+    assert sorted(r["n_links"] for r in without) == sorted(r["n_links"] for r in got.values())
+
+
 def test_repetition(spark):
     data = [*rows(), (900, "x y z " * 50, "en", "s", 1), (901, " ".join(f"a{i}" for i in range(120)) * 2, "en", "s", 1), (902, "\n".join(["a b c d e f g h i j k"] * 3), "en", "s", 1)]
     got = collected(repetition.judged(clashing(frame(spark, data))))

@@ -3,18 +3,20 @@
 import pytest
 from corpus import SCHEMA, frame, jaccard_components, lower, quality, rows, words
 
+from terrafold.llm import repetition
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
 def test_stages_follow_each_other(spark, tmp_path):
     data = [*rows(4, 80), (500, "x y z " * 50, "en", "s1", 1)]
     frame(spark, data).write.parquet(f"{tmp_path}/in/documents.parquet")
-    kept = [r for r in data if quality(r[1])[6]]
+    kept = [r for r in data if quality(r[1], repetition.MIN_WORDS, repetition.MAX_COVERED, repetition.MAX_LONGEST, 0)[6]]
     largest = {}
     for r in kept:
         largest[lower(r[1])] = max(r[0], largest.get(lower(r[1]), -1))
     kept = [r for r in kept if largest[lower(r[1])] == r[0]]
-    component = jaccard_components(kept)
+    component = jaccard_components(kept, 80, 5)  # the stage has the general rule: five words, four fifths
     kept = [r for r in kept if component[r[0]][1] == r[0]]
 
     docs, names = spark.read.parquet(f"{tmp_path}/in/documents.parquet"), [x.split()[0] for x in SCHEMA.split(", ")]
@@ -69,6 +71,36 @@ def test_stages_on_an_empty_table(spark):
         assert out.count() == 0 and (number == 4 or out.columns == [x.split()[0] for x in SCHEMA.split(", ")])
 
 
+def test_jaccard_stage_goes_by_rows(spark):
+    """Of a group one row stays: that of the smallest id, also if ids are missing, shared or all missing; clashing columns stay as they are."""
+    from pyspark.sql import functions as F
+
+    from terrafold.llm import jaccard_join
+
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    near = [" ".join([*w[:30], f"new{k}", *w[31:]]) for w in (a, b, c) for k in range(2)]
+    data = [(None, near[0], None, None, 0), (5, near[1], None, None, 0), (None, near[2], None, None, 0), (None, near[3], None, None, 0), (7, near[4], None, None, 0), (7, near[5], None, None, 0), (7, near[5], None, None, 0), (None, "", None, None, 0), (9, None, None, None, 0)]
+    docs = frame(spark, data).withColumns({x: F.lit("x") for x in ("row", "doc", "group", "n", "cls", "k1", "one", "probe")})
+    out = jaccard_join.stage(spark, docs, "")
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], (r["text"] or "")[:1]) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(5, "a"), (None, "b"), (7, "c"), (None, ""), (9, "")], key=str)
+
+
+def test_stages_with_clashing_columns_and_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    data = [*rows(6, 40), (700, " ".join(f"word{i}" for i in range(60_000)), "en", "s1", 1)]
+    docs = frame(spark, data).withColumns({x: F.lit("x") for x in ("row", "row_no", "batch", "digest", "copies", "size", "target", "start", "length", "__row")})
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, "")
+        if number < 4:
+            assert out.columns == docs.columns
+            docs = spark.createDataFrame(out.collect(), docs.schema)
+            assert 700 in {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert out.filter("doc_id = 700").agg(F.countDistinct("row_no")).first()[0] >= 1
+
+
 def test_stages_with_null_ids_and_columns(spark):
     """Documents without an id go through all stages, and one of equal texts stays."""
     clean = [" ".join(f"{a}{i}" for i in range(30)) for a in "pqr"]

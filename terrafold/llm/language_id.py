@@ -3,7 +3,9 @@
 Features are hashed 1- to 3-grams of characters, weighed by tf-idf and scaled to length 1; document frequencies are counted over
 all training texts.  The weights come from follow-the-regularised-leader with elastic-net penalties (L1 makes them sparse), on a bounded
 sample of the labelled rows: about `per_label` of each label, in SHARDS shards whose models are averaged.  A part of the sample
-is kept back for the temperature that calibrates the probabilities.
+is kept back for the temperature that calibrates the probabilities.  There is a weight per feature and label; with so many labels that
+2^BITS features would give more than CELLS of them, features are hashed to fewer bits, so memory is bounded and no label is left out.
+Tasks get the model as a broadcast variable, whose size CELLS bounds.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, and so is every text if nothing was learned; equal texts
 get equal rows; of equal scores the label first in order wins; rows without a label are no training rows; an empty table gives no
@@ -16,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ from .common import bounded_batches, saved, work_dir
 from .words import slices
 
 BITS, GRAMS = 15, 3
-PER_LABEL, SHARDS, EPOCHS, MAX_LABELS = 2000, 4, 4, 400
+PER_LABEL, SHARDS, EPOCHS, CELLS = 2000, 4, 4, 1 << 24
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.002, 0.0001
 UNDETERMINED = "und"
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -39,7 +42,12 @@ def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return points, bounds
 
 
-def gram_features(points: np.ndarray) -> list[np.ndarray]:
+def bits_for(n_labels: int) -> int:
+    """The bits of a feature's number."""
+    return max(1, min(BITS, (CELLS // max(1, n_labels)).bit_length() - 1))
+
+
+def gram_features(points: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
     """For each n, the feature of the n-gram that starts at each character."""
     hashed = np.zeros(len(points), np.uint64)
     out = []
@@ -48,32 +56,37 @@ def gram_features(points: np.ndarray) -> list[np.ndarray]:
         if width <= 0:
             break
         hashed = (hashed[:width] + points[n:].astype(np.uint64) + np.uint64(1)) * _FACTORS[n]
-        out.append(((hashed ^ (hashed >> np.uint64(29))) * _FACTORS[0] >> np.uint64(64 - BITS)).astype(np.int64))
+        out.append(((hashed ^ (hashed >> np.uint64(29))) * _FACTORS[0] >> np.uint64(64 - bits)).astype(np.int64))
     return out
 
 
-def text_counts(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    """Per text, how often each feature occurs."""
+def text_counts(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per text its features in order, and how often each occurs; memory goes with the text's length or 2^bits, whichever is less."""
     points, bounds = characters(data, offsets)
-    grams = gram_features(points)
+    grams = gram_features(points, bits)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        yield np.bincount(np.concatenate([g[a : max(a, b - n)] for n, g in enumerate(grams)]) if grams else np.zeros(0, np.int64), minlength=1 << BITS)
+        found = np.concatenate([g[a : max(a, b - n)] for n, g in enumerate(grams)]) if grams else np.zeros(0, np.int64)
+        if len(found) << 3 < 1 << bits:
+            yield np.unique(found, return_counts=True)
+        else:
+            counts = np.bincount(found)
+            at = np.flatnonzero(counts)
+            yield at, counts[at]
 
 
-def tf_idf(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.flatnonzero(counts)
-    values = np.log1p(counts[at]) * idf[at]
+def tf_idf(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    values = np.log1p(counts) * idf[at]
     return at, values / max(np.sqrt(values @ values), 1e-12)
 
 
-def frequency_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def frequency_rows(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """(feature, df) of a task's texts; feature -1 counts the texts."""
-    df, n = np.zeros(1 << BITS, np.int64), 0
+    df, n = np.zeros(1 << bits, np.int64), 0
     for batch in batches:
         for first, last, data, offsets in slices(batch.column(0)):
             n += last - first
-            for counts in text_counts(data, offsets):
-                df += counts > 0
+            for at, _ in text_counts(data, offsets, bits):
+                df[at] += 1
     at = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["feature", "df"])
 
@@ -85,10 +98,11 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def leader(table: pa.Table, labels: list[str], idf: np.ndarray) -> pa.Table:
     """The weights that are not 0 after EPOCHS passes over a shard of the sample."""
-    z, n = np.zeros((1 << BITS, len(labels))), np.zeros((1 << BITS, len(labels)))
+    bits = len(idf).bit_length() - 1
+    z, n = np.zeros((len(idf), len(labels))), np.zeros((len(idf), len(labels)))
     number = {x: i for i, x in enumerate(labels)}
     order = np.argsort(table.column("order").to_numpy(), kind="stable")
-    rows = [tf_idf(counts, idf) for _, _, data, offsets in slices(table.column("text")) for counts in text_counts(data, offsets)]
+    rows = [tf_idf(*found, idf) for _, _, data, offsets in slices(table.column("text")) for found in text_counts(data, offsets, bits)]
     target = [number[x] for x in table.column("label").to_pylist()]
 
     def weights(at) -> np.ndarray:
@@ -109,10 +123,12 @@ def leader(table: pa.Table, labels: list[str], idf: np.ndarray) -> pa.Table:
     return pa.table({"feature": pa.array(at), "label": pa.array(label), "weight": pa.array(w[at, label]), "rows": pa.array(np.full(len(at), len(rows)))})
 
 
-def logit_rows(batches: Iterable[pa.RecordBatch], weights: np.ndarray, idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+def logit_rows(batches: Iterable[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    weights, idf = shared.value
+    bits = len(idf).bit_length() - 1
     for batch in batches:
         for first, last, data, offsets in slices(batch.column(1)):
-            logits = [(v @ weights[at]).tolist() for counts in text_counts(data, offsets) for at, v in [tf_idf(counts, idf)]]
+            logits = [(v @ weights[at]).tolist() for found in text_counts(data, offsets, bits) for at, v in [tf_idf(*found, idf)]]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(logits, pa.list_(pa.float64()))], names=["label", "logits"])
 
 
@@ -142,15 +158,13 @@ def learned(rows: DataFrame, per_label: int = PER_LABEL) -> Learned | None:
     """A model of rows (key, label, text); None without rows."""
     spark = rows.sparkSession
     rows = rows.filter(F.col("label").isNotNull())
-    per = rows.groupBy("label").count()
-    found = {r["label"]: r["count"] for r in per.orderBy("label").limit(MAX_LABELS + 1).collect()}
-    if len(found) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
+    found = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not found:
         return None
     labels = sorted(found)
-    frequencies = rows.select("text").mapInArrow(frequency_rows, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()
-    df, total = np.zeros(1 << BITS), 0
+    bits = bits_for(len(labels))
+    frequencies = rows.select("text").mapInArrow(lambda x: frequency_rows(x, bits), "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()
+    df, total = np.zeros(1 << bits), 0
     for r in frequencies:
         if r["feature"] < 0:
             total = r["df"]
@@ -165,10 +179,11 @@ def learned(rows: DataFrame, per_label: int = PER_LABEL) -> Learned | None:
     models = sample.filter(F.col("shard") < SHARDS).groupBy("shard").applyInArrow(lambda t: leader(t, labels, idf), "feature long, label long, weight double, rows long")
     models = saved(models, work_dir(spark, "language-models"))
     fitted = sample.filter(F.col("shard") < SHARDS).count()
-    weights = np.zeros((1 << BITS, len(labels)))
+    weights = np.zeros((1 << bits, len(labels)))
     for r in models.groupBy("feature", "label").agg(F.sum(F.col("weight") * F.col("rows")).alias("weight")).collect():
         weights[r["feature"], r["label"]] = r["weight"] / fitted
-    kept = sample.filter(F.col("shard") == SHARDS).select("label", "text").mapInArrow(lambda x: logit_rows(x, weights, idf), "label string, logits array<double>").collect()
+    shared = spark.sparkContext.broadcast((weights, idf))
+    kept = sample.filter(F.col("shard") == SHARDS).select("label", "text").mapInArrow(lambda x: logit_rows(x, shared), "label string, logits array<double>").collect()
     heat = temperature(np.array([r["logits"] for r in kept]).reshape(-1, len(labels)), np.array([labels.index(r["label"]) for r in kept], np.int64))
     return Learned(labels, idf, weights, heat)
 
@@ -183,14 +198,16 @@ def lettered(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
-def predicted_rows(batches: Iterable[pa.RecordBatch], model: Learned | None, keep: int) -> Iterator[pa.RecordBatch]:
+def predicted_rows(batches: Iterable[pa.RecordBatch], shared: Broadcast, keep: int) -> Iterator[pa.RecordBatch]:
+    model: Learned | None = shared.value
+    bits = len(model.idf).bit_length() - 1 if model is not None else BITS
     for batch in batches:
         for first, last, data, offsets in slices(batch.column(keep)):
             labels, scores = [UNDETERMINED] * (last - first), np.zeros(last - first)
             if model is not None:
-                for i, (counts, ok) in enumerate(zip(text_counts(data, offsets), lettered(data, offsets).tolist(), strict=True)):
+                for i, (found, ok) in enumerate(zip(text_counts(data, offsets, bits), lettered(data, offsets).tolist(), strict=True)):
                     if ok:
-                        at, values = tf_idf(counts, model.idf)
+                        at, values = tf_idf(*found, model.idf)
                         p = softmax(values @ model.weights[at] / model.heat)
                         labels[i], scores[i] = model.labels[int(p.argmax())], min(1.0, float(p.max()))
             kept = [batch.column(j).slice(first, last - first) for j in range(keep)]
@@ -203,7 +220,8 @@ def identified(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
     out = F.coalesce(held_out, F.lit(False))
     model = learned(docs.filter(~out).select(F.col(id_col).alias("key"), F.col(label_col).alias("label"), F.col(text_col).alias("text")), per_label)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), out.alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda x: predicted_rows(x, model, 2), "doc_id long, held_out boolean, lang_pred string, score double")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return rows.mapInArrow(lambda x: predicted_rows(x, shared, 2), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

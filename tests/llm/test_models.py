@@ -101,6 +101,71 @@ def test_language_id(spark):
     assert {got[d]["lang_pred"] for d in (9001, 9002, 9003)} == {"und"} and got[9004]["lang_pred"] == "aa"
 
 
+def plain_features(text, bits):
+    """Counts of the hashed 1- to 3-grams, one character at a time."""
+    chars = [32 if ord(c) < 33 else ord(c) + 32 if "A" <= c <= "Z" or ("À" <= c <= "Þ" and c != "×") else ord(c) for c in text]
+    factors, whole, out = [int(x) for x in language_id._FACTORS], (1 << 64) - 1, Counter()
+    for i in range(len(chars)):
+        h = 0
+        for n in range(min(3, len(chars) - i)):
+            h = (h + chars[i + n] + 1) * factors[n] & whole
+            out[((h ^ (h >> 29)) * factors[0] & whole) >> (64 - bits)] += 1
+    return out
+
+
+def plain_tf_idf(text, df, total, bits):
+    found = plain_features(text, bits)
+    raw = {f: math.log1p(c) * (math.log((1 + total) / (1 + df[f])) + 1) for f, c in found.items()}
+    norm = math.sqrt(sum(v * v for v in raw.values())) or 1.0
+    return {f: v / norm for f, v in raw.items()}
+
+
+@pytest.mark.parametrize("bits", [15, 8])
+def test_leader_against_brute_force(monkeypatch, bits):
+    """Features, tf-idf and the weights after follow-the-regularised-leader, coordinate by coordinate."""
+    import pyarrow as pa
+
+    labels = ["aa", "bb", "cc"]
+    monkeypatch.setattr(language_id, "CELLS", 3 << bits)
+    rows_ = [(t, x) for _, t, x, *_ in language_rows(45) if t and x]
+    texts = [t for t, _ in rows_]
+    df = Counter(f for t in texts for f in plain_features(t, bits))
+    idf = np.array([math.log((1 + len(texts)) / (1 + df[f])) + 1 for f in range(1 << bits)])
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    [counted] = language_id.frequency_rows([batch], bits)
+    assert dict(zip(counted.column(0).to_pylist(), counted.column(1).to_pylist(), strict=True)) == {**df, -1: len(texts)}
+    order = [(i * 7) % len(texts) for i in range(len(texts))]
+    got = language_id.leader(pa.table({"text": texts, "label": [x for _, x in rows_], "order": order}), labels, idf)
+    z, n = defaultdict(lambda: [0.0] * 3), defaultdict(lambda: [0.0] * 3)
+    a, b, l1, l2 = language_id.ALPHA, language_id.BETA, language_id.L1, language_id.L2
+
+    def weight(f, k):
+        return 0.0 if abs(z[f][k]) <= l1 else (math.copysign(l1, z[f][k]) - z[f][k]) / ((b + math.sqrt(n[f][k])) / a + l2)
+
+    for _ in range(language_id.EPOCHS):
+        for i in sorted(range(len(texts)), key=lambda i: order[i]):
+            x = plain_tf_idf(texts[i], df, len(texts), bits)
+            w = {f: [weight(f, k) for k in range(3)] for f in x}
+            e = np.exp([sum(x[f] * w[f][k] for f in x) for k in range(3)])
+            p = e / e.sum()
+            for f, v in x.items():
+                for k in range(3):
+                    g = v * (p[k] - (labels[k] == rows_[i][1]))
+                    z[f][k] += g - (math.sqrt(n[f][k] + g * g) - math.sqrt(n[f][k])) / a * w[f][k]
+                    n[f][k] += g * g
+    want = {(f, k): weight(f, k) for f in z for k in range(3) if weight(f, k)}
+    found = {(r["feature"], r["label"]): r["weight"] for r in got.to_pylist()}
+    assert found.keys() == want.keys() and all(found[x] == pytest.approx(want[x], rel=1e-6, abs=1e-9) for x in want)
+
+
+def test_language_id_with_many_labels(spark, monkeypatch):
+    """More labels than full-width features have room for: all are learned, over fewer features."""
+    monkeypatch.setattr(language_id, "CELLS", 1 << 14)
+    data = [(i, " ".join([f"{chr(97 + i % 20)}{chr(98 + i % 19)}{chr(99 + i % 17)}"] * 12), f"l{i % 20:02}", "s", 0) for i in range(400)]
+    got = collected(language_id.identified(frame(spark, data), F.lit(False)))
+    assert language_id.bits_for(20) == 9 and {r["lang_pred"] for r in got.values()} == {f"l{i:02}" for i in range(20)}
+
+
 def test_language_id_ignores_labels_of_held_out_rows(spark):
     data = language_rows()
     blind = [(d, t, None if held_out(d, 4) else lang, "other", 0) for d, t, lang, *_ in data]

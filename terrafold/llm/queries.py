@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_pareto_mixing": mixing.ORACLE,
+    "op3_winnowing_line_dedup": line_dedup.ORACLE,
     "op5_bloom_cascade_urls": url_filters.ORACLE,
     "op6_blob_ledger_secrets": secret_scan.ORACLE,
     "op7_multi_order_jaccard": jaccard_join.ORACLE,

@@ -65,8 +65,7 @@ def gt_instance_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """class * 1000 + instance + 1, the class being the majority of the instance; 0 without an instance."""
     p = partly_labelled(spark, sf_dir)
     mode = labels.mode_label(p.filter(F.col("ins") != labels.IGNORED), "ins", "noisy")
-    code = F.coalesce(F.col("label") * 1000 + F.col("ins") + 1, F.lit(0).cast("long"))
-    return p.select("scene", "point_idx", "ins").join(mode, ["scene", "ins"], "left").select("scene", "point_idx", code.alias("code"))
+    return labels.instance_codes(p, "ins", mode).select("scene", "point_idx", "code")
 
 
 def discriminative_loss_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

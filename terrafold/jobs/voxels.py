@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.plans import attach
-from ..operators import voxel
+from ..operators import prepare, voxel
 from ..sources.fixtures import CLOUD, POINTS, cloud, points, table
 
 SIZE, WIDE = 0.05, 5.0
@@ -36,10 +35,8 @@ def point_to_voxel_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def centre_and_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coordinates less their scene's mean, and a value of 0 to 255 (here the point's id) scaled to -1 to 1."""
-    p = points(spark, sf_dir)
-    means = p.groupBy("scene").agg(*[F.avg(a).alias(f"m{a}") for a in "xyz"])
-    centred = [F.round(F.col(a) - F.col(f"m{a}"), 6).alias(a) for a in "xyz"]
-    return attach(p, means, ["scene"]).select("scene", "point_idx", *centred, F.round(F.col("point_idx") % 256 / 127.5 - 1, 6).alias("r"))
+    found = prepare.centred(points(spark, sf_dir), ["scene", "point_idx"])
+    return found.select("scene", "point_idx", *[F.round(a, 6).alias(a) for a in "xyz"], F.round(prepare.byte_to_unit(F.col("point_idx") % 256), 6).alias("r"))
 
 
 def crop_largest_block(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,63 @@ def soft_histogram(points: DataFrame, by: str, label: str) -> DataFrame:
     return counts.select("scene", by, "label", (F.col("n") / F.sum("n").over(W.partitionBy("scene", by))).alias("share"))
 
 
+def soft_label(shares: DataFrame, by: str) -> DataFrame:
+    """(scene, by, label): the bin of the largest share, the lowest of a tie; IGNORED is the last bin."""
+    last = F.when(F.col("label") == IGNORED, F.lit(None)).otherwise(-F.col("label"))  # null is the least in a struct
+    best = shares.groupBy("scene", by).agg(F.max(F.struct("share", last.alias("label"))).alias("best"))
+    return best.select("scene", by, F.coalesce(-F.col("best.label"), F.lit(IGNORED)).alias("label"))
+
+
+def mask_operations(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(scene, either, both, first_only): points of two masks (scene, point_idx), counted over their union, intersection and difference."""
+    marked = one.select("scene", "point_idx", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(two.select("scene", "point_idx", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    per = marked.groupBy("scene", "point_idx").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    return per.groupBy("scene").agg(F.count(F.lit(1)).alias("either"), F.count_if(F.col("a") + F.col("b") == 2).alias("both"), F.count_if(F.col("b") == 0).alias("first_only"))
+
+
+def first_label(points: DataFrame, by: str, label: str) -> DataFrame:
+    """(scene, by, label): the label of the group's first point; an unlabelled one counts as class 0."""
+    first = points.groupBy("scene", by).agg(F.min_by(label, "point_idx").alias("label"))
+    return first.withColumn("label", F.greatest("label", F.lit(0)))
+
+
+def instance_codes(points: DataFrame, instance: str, class_of: DataFrame) -> DataFrame:
+    """points with code: class * 1000 + instance + 1, 0 without an instance; class_of is (scene, instance, label)."""
+    code = F.when(F.col(instance) == IGNORED, 0).otherwise(F.coalesce(F.col("label") * 1000 + F.col(instance) + 1, F.lit(0)))
+    return points.join(class_of, ["scene", instance], "left").withColumn("code", code.cast("long"))
+
+
+def propagation_report(points: DataFrame, truth: Column, given: Column, instance: Column, instance_given: Column) -> DataFrame:
+    """One row of shares and accuracies of given labels: of all classes, of floor and wall (0 and 1), of the others, and of instances of the others."""
+    has, stuff = given != IGNORED, given.isin(0, 1)
+    thing = (instance_given != IGNORED) & ~stuff
+    c = points.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(truth != IGNORED).alias("t"), F.count_if(has).alias("s"), F.count_if(has & (given == truth)).alias("sr"), F.count_if(stuff).alias("f"),
+        F.count_if(stuff & (given == truth)).alias("fr"), F.count_if(thing).alias("i"), F.count_if(thing & (instance_given == instance)).alias("ir"),
+    )
+    n, t, s, sr, f, fr, i, ir = (F.col(x) for x in ("n", "t", "s", "sr", "f", "fr", "i", "ir"))
+    shares = {"labelled_of_all": (s, n), "stuff_of_all": (f, n), "other_of_all": (s - f, n), "labelled_of_true": (s, t), "stuff_of_true": (f, t), "other_of_true": (s - f, t), "accuracy": (sr, s),
+              "stuff_accuracy": (fr, f), "other_accuracy": (sr - fr, s - f), "instance_of_all": (i, n), "instance_of_true": (i, t), "instance_accuracy": (ir, i)}
+    return c.select(*[F.try_divide(a, b).alias(name) for name, (a, b) in shares.items()])
+
+
+def dice(rows: DataFrame, probabilities: str, label: str, epsilon: float = 1e-5) -> DataFrame:
+    """(class, loss): per class, 1 less twice the overlap of its probabilities with its rows, over the sum of both squared."""
+    each = rows.select(F.col(label).alias("__label"), F.posexplode(probabilities).alias("class", "p"))
+    hit = (F.col("__label") == F.col("class")).cast("double")
+    sums = each.groupBy("class").agg(F.sum(F.col("p") * hit).alias("both"), F.sum(F.col("p") * F.col("p")).alias("pp"), F.sum(hit).alias("tt"))
+    return sums.select("class", (1 - (2 * F.col("both") + epsilon) / (F.col("pp") + F.col("tt") + 1e-4 + epsilon)).alias("loss"))
+
+
+def offset_terms(rows: DataFrame) -> DataFrame:
+    """(norm_loss, direction_loss) of rows (ox, oy, oz true, px, py, pz predicted, valid), over the valid ones."""
+    far = sum((F.abs(F.col(f"p{a}") - F.col(f"o{a}")) for a in "xyz"), F.lit(0.0))
+    length = {v: F.sqrt(sum((F.col(f"{v}{a}") * F.col(f"{v}{a}") for a in "xyz"), F.lit(0.0))) + 1e-8 for v in "op"}
+    turn = -sum((F.col(f"o{a}") / length["o"] * (F.col(f"p{a}") / length["p"]) for a in "xyz"), F.lit(0.0))
+    kept = rows.filter("valid")
+    return kept.agg((F.sum(far) / (F.count(F.lit(1)) + 1e-6)).alias("norm_loss"), (F.sum(turn) / (F.count(F.lit(1)) + 1e-6)).alias("direction_loss"))
+
+
 def instance_info(points: DataFrame, instance: str) -> DataFrame:
     """Each point with the mean, least and greatest place of its instance and its size; IGNORED for points without one."""
     stats = points.filter(F.col(instance) != IGNORED).groupBy("scene", instance).agg(

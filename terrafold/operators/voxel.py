@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.plans import attach
+from .order import running
 
 CELL = ["vx", "vy", "vz"]
 
@@ -39,31 +40,60 @@ def label_histogram(points: DataFrame, size: float, label: str) -> DataFrame:
     return with_cells(points, size).groupBy("scene", *CELL, F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def pruned(points: DataFrame, size: float, colours: list[str], histograms: list[str]) -> DataFrame:
+    """A row per voxel: points, mean place, the means of the colours without their fraction, and a histogram (value, n) of each of `histograms`.
+
+    Sums come first, then counts per value, so a voxel of any number of points is combined before the shuffle.
+    """
+    cells = with_cells(points, size)
+    found = cells.groupBy("scene", *CELL).agg(F.count(F.lit(1)).alias("points"), *[F.avg(a).alias(f"mean_{a}") for a in "xyz"], *[F.floor(F.avg(c)).alias(c) for c in colours])
+    for h in histograms:
+        counts = cells.groupBy("scene", *CELL, F.col(h).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        found = found.join(counts.groupBy("scene", *CELL).agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias(h)), ["scene", *CELL])
+    return found
+
+
 def point_to_voxel(points: DataFrame, size: float) -> DataFrame:
     """(scene, point_idx, voxel_id): voxels are numbered from 0 in the order of their first points."""
     cells = with_cells(points, size)
     first = cells.groupBy("scene", *CELL).agg(F.min("point_idx").alias("first"))
-    ids = first.withColumn("voxel_id", (F.row_number().over(W.partitionBy("scene").orderBy("first")) - 1).cast("long")).drop("first")
+    ids = running(first, ["scene"], ["first"], []).withColumn("voxel_id", F.col("place") - 1).drop("first", "place")
     return cells.join(ids, ["scene", *CELL]).select("scene", "point_idx", "voxel_id")
 
 
+def _with_step(points: DataFrame, steps: int) -> DataFrame:
+    """Adds the least `step` of a box around the middle of its scene, of step / steps of the half extents in x and y, that has the point."""
+    extent = points.groupBy("scene").agg(*[f(a).alias(f"__{n}_{a}") for a in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
+
+    def needed(a: str) -> Column:
+        half = (F.col(f"__hi_{a}") - F.col(f"__lo_{a}")) / 2
+        return F.when(half > 0, F.abs(F.col(a) - (F.col(f"__lo_{a}") + F.col(f"__hi_{a}")) / 2) / half * steps).otherwise(0.0)
+
+    return attach(points, extent, ["scene"]).withColumn("step", F.ceil(F.greatest(needed("x"), needed("y")))).select(*points.columns, "step")
+
+
+def _largest(stepped: DataFrame, max_points: int, steps: int) -> DataFrame:
+    bins = stepped.groupBy("scene", "step").agg(F.count(F.lit(1)).alias("n"))
+    steps_of = bins.select("scene").distinct().withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))))
+    held = steps_of.join(bins, ["scene", "step"], "left").withColumn("points", F.sum(F.coalesce("n", F.lit(0))).over(W.partitionBy("scene").orderBy("step")))
+    return held.filter(F.col("points") <= max_points).groupBy("scene").agg(F.max(F.struct("step", "points")).alias("best")).select("scene", "best.step", "best.points")
+
+
 def largest_block(points: DataFrame, max_points: int, steps: int = 20) -> DataFrame:
     """(scene, step, points): the largest of `steps` scales of a box around the middle of the scene that holds at most max_points.
 
     The box has half widths of step / steps of the scene's half extents in x and y, borders included.  A point's least
     step is known by itself, so one pass makes a histogram of `steps` bins per scene, and no search is needed.
     """
-    extent = points.groupBy("scene").agg(*[f(a).alias(f"{n}_{a}") for a in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
-    rows = attach(points.select("scene", "x", "y"), extent, ["scene"])
+    return _largest(_with_step(points.select("scene", "x", "y"), steps), max_points, steps)
 
-    def needed(a: str) -> Column:
-        half = (F.col(f"hi_{a}") - F.col(f"lo_{a}")) / 2
-        return F.when(half > 0, F.abs(F.col(a) - (F.col(f"lo_{a}") + F.col(f"hi_{a}")) / 2) / half * steps).otherwise(0.0)
 
-    bins = rows.groupBy("scene", F.ceil(F.greatest(needed("x"), needed("y"))).alias("step")).agg(F.count(F.lit(1)).alias("n"))
-    steps_of = bins.select("scene").distinct().withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))))
-    held = steps_of.join(bins, ["scene", "step"], "left").withColumn("points", F.sum(F.coalesce("n", F.lit(0))).over(W.partitionBy("scene").orderBy("step")))
-    return held.filter(F.col("points") <= max_points).groupBy("scene").agg(F.max(F.struct("step", "points")).alias("best")).select("scene", "best.step", "best.points")
+def block_rows(points: DataFrame, max_points: int, steps: int = 20) -> DataFrame:
+    """The rows of each scene's largest block, moved so that their least corner is at 0."""
+    stepped = _with_step(points, steps)
+    held = attach(stepped, _largest(stepped, max_points, steps).select("scene", F.col("step").alias("__best")), ["scene"]).filter("step <= __best").select(points.columns)
+    least = held.groupBy("scene").agg(*[F.min(a).alias(f"__{a}") for a in "xyz"])
+    return attach(held, least, ["scene"]).select(*[(F.col(c) - F.col(f"__{c}")).alias(c) if c in "xyz" else F.col(c) for c in points.columns])
 
 
 def hash_subsample(points: DataFrame, keys: list[str], parts: int = 4, seed: str = "s") -> DataFrame:

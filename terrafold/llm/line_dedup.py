@@ -94,12 +94,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = rf"""
-WITH x AS (SELECT doc_id, i AS at, lines[i + 1] AS line FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
-w AS (SELECT doc_id, at, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM x),
-o AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY at) AS after FROM w WHERE words > 0),
-g AS (SELECT *, after IS NOT NULL AND row_number() OVER (PARTITION BY line, after ORDER BY doc_id, at) > 1 AS again, words >= {LONG_WORDS} AND row_number() OVER (PARTITION BY line ORDER BY doc_id, at) > 1 AS long FROM o),
-r AS (SELECT doc_id, at, again OR long OR coalesce(lag(again) OVER (PARTITION BY doc_id ORDER BY at), FALSE) AS gone FROM g),
-a AS (SELECT x.doc_id, x.at, x.line, coalesce(r.gone, FALSE) AS gone FROM x LEFT JOIN r ON r.doc_id = x.doc_id AND r.at = x.at)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_deleted, coalesce(string_agg(CAST(at AS VARCHAR), ',' ORDER BY at) FILTER (gone), '') AS deleted,
-sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS text_sha256 FROM a GROUP BY doc_id
+WITH x AS (SELECT doc_id, i AS place, lines[i + 1] AS line FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+w AS (SELECT doc_id, place, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM x),
+o AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY place) AS after FROM w WHERE words > 0),
+g AS (SELECT *, after IS NOT NULL AND row_number() OVER (PARTITION BY line, after ORDER BY doc_id, place) > 1 AS again, words >= {LONG_WORDS} AND row_number() OVER (PARTITION BY line ORDER BY doc_id, place) > 1 AS long FROM o),
+r AS (SELECT doc_id, place, again OR long OR coalesce(lag(again) OVER (PARTITION BY doc_id ORDER BY place), FALSE) AS gone FROM g),
+a AS (SELECT x.doc_id, x.place, x.line, coalesce(r.gone, FALSE) AS gone FROM x LEFT JOIN r ON r.doc_id = x.doc_id AND r.place = x.place)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_deleted, coalesce(string_agg(CAST(place AS VARCHAR), ',' ORDER BY place) FILTER (gone), '') AS deleted,
+sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS text_sha256 FROM a GROUP BY doc_id
 """

@@ -35,6 +35,14 @@ def saved(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this run in the shared one, when nothing reads it any more."""
+    if not path.startswith(shared_dir(spark)):
+        raise ValueError(f"{path} is not in the shared folder")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return saved(df, work_dir(df.sparkSession, name))
 

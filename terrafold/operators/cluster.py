@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.plans import cut
-from .components import connected_components
+from .components import scene_components
+from .geometry import compared, superpoint_features
 from .neighbors import knn
 
 
@@ -14,13 +19,13 @@ def grouped(edges: DataFrame, nodes: DataFrame, joined: Column) -> DataFrame:
     """(scene, id, cluster): components over the edges that satisfy `joined`, a condition on s_ and d_ columns of the nodes.
 
     A growth from seeds in turn depends on their order; components over a symmetric condition don't, and take no
-    scene into one task.  cluster is the smallest id; ids are unique over scenes.
+    scene into one task.  cluster is the smallest id of its scene.
     """
     a = nodes.select(*[F.col(c).alias(c if c == "scene" else f"s_{c}") for c in nodes.columns])
     b = nodes.select(*[F.col(c).alias(c if c == "scene" else f"d_{c}") for c in nodes.columns])
     kept = edges.select("scene", F.col("src").alias("s_id"), F.col("dst").alias("d_id")).join(a, ["scene", "s_id"]).join(b, ["scene", "d_id"]).filter(joined)
-    found = connected_components(kept.select(F.col("s_id").alias("src"), F.col("d_id").alias("dst")))
-    return nodes.select("scene", "id").join(found, F.col("id") == F.col("node"), "left").select("scene", "id", F.coalesce("component", "id").alias("cluster"))
+    found = scene_components(kept.select("scene", F.col("s_id").alias("src"), F.col("d_id").alias("dst"))).withColumnRenamed("node", "id")
+    return nodes.select("scene", "id").join(found, ["scene", "id"], "left").select("scene", "id", F.coalesce("component", "id").alias("cluster"))
 
 
 def absorbed(fragments: DataFrame, primaries: DataFrame, reach: str) -> DataFrame:
@@ -30,9 +35,120 @@ def absorbed(fragments: DataFrame, primaries: DataFrame, reach: str) -> DataFram
     """
     key = F.concat_ws(":", F.col("scene").cast("string"), F.col("class").cast("string")).alias("scene")
     near = knn(fragments.select(key, "id", *"xyz"), primaries.select(key, "id", *"xyz"), 1)
-    limit = primaries.select(F.col("id").alias("dst"), F.col(reach).alias("limit"))
-    hit = near.join(limit, "dst").filter(F.col("dist") <= F.col("limit")).select(F.col("src").alias("id"), F.col("dst").alias("into"))
-    return fragments.select("scene", "id").join(hit, "id").select("scene", "id", "into")
+    limit = primaries.select(key, F.col("id").alias("dst"), F.col(reach).alias("limit"))
+    hit = near.join(limit, ["scene", "dst"]).filter(F.col("dist") <= F.col("limit")).select("scene", F.col("src").alias("id"), F.col("dst").alias("into"))
+    return fragments.select(key, F.col("scene").alias("of"), "id").join(hit, ["scene", "id"]).select(F.col("of").alias("scene"), "id", "into")
+
+
+def absorbed_in_turn(groups: DataFrame) -> DataFrame:
+    """(scene, id, into): fragments in the order of their ids go to the nearest primary of their class if it is nearer than its reach, which, like its
+    centre and size, follows every absorption.
+
+    groups: (scene, class, id, fragment, x, y, z, points, voxels, size), a row per group of superpoints; a class of a scene is one group here, because
+    each absorption changes what the next one meets.  Rows are instances, not points, so such a group is small.
+    A primary's reach is the largest of 0.02 times the root of its expected voxels, 0.01 times the root of its points, its mean size, and its reach before.
+    """
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        main = pdf[~pdf["fragment"]]
+        centre, points = main[list("xyz")].to_numpy(float), main["points"].to_numpy(float)
+        parts, voxels, sizes = main["parts"].to_numpy(float), main["voxels"].to_numpy(float) * main["parts"].to_numpy(float), main["size"].to_numpy(float) * main["parts"].to_numpy(float)
+        reach = np.maximum.reduce([0.02 * np.sqrt(main["voxels"].to_numpy(float)), 0.01 * np.sqrt(points), main["size"].to_numpy(float)]) if len(main) else np.zeros(0)
+        out = []
+        for r in pdf[pdf["fragment"]].itertuples():
+            if not len(main):
+                break
+            far = np.sqrt(((centre - np.array([r.x, r.y, r.z])) ** 2).sum(axis=1))
+            i = int(far.argmin())
+            if far[i] < reach[i]:
+                centre[i] = (centre[i] * points[i] + np.array([r.x, r.y, r.z]) * r.points) / (points[i] + r.points)
+                points[i] += r.points
+                parts[i] += r.parts
+                voxels[i] += r.voxels * r.parts
+                sizes[i] += r.size * r.parts
+                reach[i] = max(reach[i], 0.02 * np.sqrt(voxels[i] / parts[i]), 0.01 * np.sqrt(points[i]), sizes[i] / parts[i])
+                out.append((r.scene, r.id, main["id"].iloc[i]))
+        return pd.DataFrame(out, columns=["scene", "id", "into"])
+
+    kind = groups.schema["scene"].dataType.simpleString()
+    return groups.select("scene", "class", "id", "fragment", *"xyz", "points", "voxels", "size", "parts").groupBy("scene", "class").applyInPandas(walk, f"scene {kind}, id long, into long")
+
+
+def seeded(edges: DataFrame, nodes: DataFrame, factor: float) -> DataFrame:
+    """(scene, id, cluster): growth from seeds in the order of their ids.  A neighbour joins if it has the seed's class, no cluster yet, and lies
+    nearer than factor times the seed's size to the node that reaches it.
+
+    edges: (scene, src, dst), taken both ways; nodes: (scene, id, class, size, x, y, z), a row per superpoint with its predicted centre.
+    What a seed takes the next one can't have, so a class of a scene is one group; classes don't meet, and rows are superpoints, not points.
+    """
+    ends = [nodes.select("scene", F.col("id").alias(e), F.col("class").alias(f"{e}_class")) for e in ("src", "dst")]
+    ways = edges.select("scene", "src", "dst").unionByName(edges.select("scene", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    near = ways.join(ends[0], ["scene", "src"]).join(ends[1], ["scene", "dst"]).filter("src_class = dst_class and src != dst")
+    near = near.groupBy("scene", F.col("src").alias("id")).agg(F.sort_array(F.collect_set("dst")).alias("near"))
+    rows = nodes.select("scene", "class", "id", "size", *"xyz").join(near, ["scene", "id"], "left")
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids = pdf["id"].tolist()
+        place, near, size = dict(zip(ids, pdf[list("xyz")].to_numpy(float), strict=True)), dict(zip(ids, pdf["near"], strict=True)), dict(zip(ids, pdf["size"], strict=True))
+        cluster: dict[int, int] = {}
+        for seed in ids:
+            if seed in cluster:
+                continue
+            cluster[seed], queue = seed, deque([seed])
+            while queue:
+                at = queue.popleft()
+                for other in near[at] if near[at] is not None else ():
+                    if other not in cluster and np.sqrt(((place[at] - place[other]) ** 2).sum()) < factor * size[seed]:
+                        cluster[other] = seed
+                        queue.append(other)
+        return pd.DataFrame({"scene": pdf["scene"], "id": ids, "cluster": [cluster[i] for i in ids]})
+
+    kind = nodes.schema["scene"].dataType.simpleString()
+    return rows.groupBy("scene", "class").applyInPandas(grow, f"scene {kind}, id long, cluster long")
+
+
+def confidence(groups: DataFrame) -> DataFrame:
+    """groups (points, voxels) with conf: points over expected voxels, 1 at most."""
+    return groups.withColumn("conf", F.least(F.col("points") / F.col("voxels"), F.lit(1.0)))
+
+
+def merged_regions(edges: DataFrame, values: DataFrame, strength: float) -> DataFrame:
+    """(scene, id, region): a partition that lowers sum |value - mean of its region|^2 / 2 + strength * sum of the weights of cut edges.
+
+    Regions start as single nodes.  In a round every region finds the neighbour whose merge lowers the energy most (the lowest id of
+    a tie), and those that choose each other merge, each once a round; it ends when no merge lowers the energy.  It is the merging half of a
+    cut pursuit, without the splits by maximum flow: all scenes at once, and each round is an aggregation and three joins.
+    edges: (scene, src, dst, weight); values: (scene, id, value array).
+    """
+    size = len(values.select("value").first()[0]) if not values.isEmpty() else 0
+    node = F.struct("scene", F.col("id").alias("id"))
+    regions = cut(values.select(node.alias("node"), node.alias("region")), "regions")
+    obs = cut(values.select(node.alias("node"), "value"), "region-values")
+    links = edges.select(F.struct("scene", F.col("src").alias("id")).alias("a"), F.struct("scene", F.col("dst").alias("id")).alias("b"), "weight").filter("a != b")
+    links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("weight")), "region-links")
+    stats = cut(obs.select(F.col("node").alias("region"), F.lit(1).cast("long").alias("n"), F.col("value").alias("total")), "region-stats")
+    while True:
+        one = stats.select(F.col("region").alias("a"), F.col("n").alias("na"), F.col("total").alias("ta"))
+        two = stats.select(F.col("region").alias("b"), F.col("n").alias("nb"), F.col("total").alias("tb"))
+        apart = F.aggregate(F.zip_with("ta", "tb", lambda x, y: F.pow(x / F.col("na") - y / F.col("nb"), 2)), F.lit(0.0), lambda s, x: s + x)
+        gain = F.round(strength * F.col("weight") - 0.5 * F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")) * apart, 12)
+        gains = cut(links.join(one, "a").join(two, "b").select("a", "b", gain.alias("gain")).filter("gain > 0"), "region-gains")
+        if gains.isEmpty():
+            break
+        ways = gains.unionByName(gains.select(F.col("b").alias("a"), F.col("a").alias("b"), "gain"))
+        best = ways.groupBy("a").agg(F.min(F.struct((-F.col("gain")).alias("gain"), "b")).alias("best")).select("a", "best.b")
+        back = best.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        moves = cut(best.join(back, "b").filter((F.col("c") == F.col("a")) & (F.col("b") < F.col("a"))).select(F.col("a").alias("old"), F.col("b").alias("into")), "region-moves")
+        to = moves.select(F.col("old").alias("region"), "into")
+        regions = cut(regions.join(to, "region", "left").select("node", F.coalesce("into", "region").alias("region")), "regions")
+        summed = stats.join(to, "region", "left").select(F.coalesce("into", "region").alias("region"), "n", "total").groupBy("region")
+        stats = cut(summed.agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("total", F.lit(i))) for i in range(size)]).alias("total")), "region-stats")
+        a, b = moves.select(F.col("old").alias("a"), F.col("into").alias("to_a")), moves.select(F.col("old").alias("b"), F.col("into").alias("to_b"))
+        moved = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"), "weight").filter("a != b")
+        links = cut(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("weight")), "region-links")
+    return regions.select("node.scene", "node.id", F.col("region.id").alias("region"))
 
 
 def suppressed(boxes: DataFrame, overlaps: DataFrame) -> DataFrame:
@@ -58,18 +174,18 @@ def suppressed(boxes: DataFrame, overlaps: DataFrame) -> DataFrame:
     return boxes.select("id").join(kept.withColumn("kept", F.lit(True)), "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
-def superedges(edges: DataFrame, points: DataFrame, by: str) -> DataFrame:
-    """A row per ordered pair of groups that point edges cross: their number, mean and spread of the offsets, and how the groups compare."""
+def superedges(edges: DataFrame, points: DataFrame, by: str, longest: float = 0.0) -> DataFrame:
+    """A row per ordered pair of groups that point edges cross (shorter than `longest`, if it is above 0): their number, mean and spread of
+    the offsets, their mean length, and how the groups compare."""
     ends = points.select("scene", "point_idx", by, *"xyz")
     a = ends.select("scene", F.col("point_idx").alias("src"), F.col(by).alias("a"), *[F.col(c).alias(f"a{c}") for c in "xyz"])
     b = ends.select("scene", F.col("point_idx").alias("dst"), F.col(by).alias("b"), *[F.col(c).alias(f"b{c}") for c in "xyz"])
     crossing = edges.select("scene", "src", "dst").join(a, ["scene", "src"]).join(b, ["scene", "dst"]).filter("a != b")
-    offsets = [F.col(f"a{c}") - F.col(f"b{c}") for c in "xyz"]
+    d = {c: F.col(f"a{c}") - F.col(f"b{c}") for c in "xyz"}
+    length = F.sqrt(d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"])
+    if longest > 0:
+        crossing = crossing.filter(length < longest)
     stats = crossing.groupBy("scene", "a", "b").agg(
-        F.count(F.lit(1)).alias("edges"), *[F.avg(o).alias(f"mean_{c}") for c, o in zip("xyz", offsets, strict=True)], *[F.stddev_pop(o).alias(f"std_{c}") for c, o in zip("xyz", offsets, strict=True)]
+        F.count(F.lit(1)).alias("edges"), *[F.avg(d[c]).alias(f"mean_{c}") for c in "xyz"], *[F.stddev_pop(d[c]).alias(f"std_{c}") for c in "xyz"], F.avg(length).alias("delta_norm")
     )
-    groups = points.groupBy("scene", by).agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"], F.count(F.lit(1)).alias("n"))
-    left = groups.select("scene", F.col(by).alias("a"), *[F.col(f"m{c}").alias(f"p{c}") for c in "xyz"], F.col("n").alias("na"))
-    right = groups.select("scene", F.col(by).alias("b"), *[F.col(f"m{c}").alias(f"q{c}") for c in "xyz"], F.col("n").alias("nb"))
-    both = stats.join(left, ["scene", "a"]).join(right, ["scene", "b"])
-    return both.select("scene", "a", "b", "edges", *[f"mean_{c}" for c in "xyz"], *[f"std_{c}" for c in "xyz"], *[(F.col(f"p{c}") - F.col(f"q{c}")).alias(f"centroid_{c}") for c in "xyz"], (F.col("na") / (F.col("nb") + 1e-6)).alias("count_ratio"))
+    return compared(stats, superpoint_features(points, by), by)

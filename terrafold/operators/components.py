@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.plans import saved, work_dir
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", folder: str | None = None) -> DataFrame:
     """(node, component) of all nodes that have an edge to another node; component is the smallest node of it.
 
     Nodes are of any type with an order, such as a struct of scene and id.  A node hooks to its smallest neighbour if that is smaller than
     itself, and jumps go on until every node points to the root of its tree, so a path in the order of its ids is
     one tree, found in logarithmically many jumps.  A root alone in its tree has a smaller neighbour after the merge, so every two
     merges halve the nodes at least.  Every step writes its table to the shared folder: no plan grows, and no step is lost
-    with an executor.  Null ends and loops are no edges.
+    with an executor.  Null ends and loops are no edges.  folder: where the tables go, a new one by default.
     """
-    folder = work_dir(edges.sparkSession, "components")
+    folder = folder or work_dir(edges.sparkSession, "components")
     left = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u != v")
     left = saved(left.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{folder}/edges-0")
     labels: DataFrame | None = None
@@ -36,6 +36,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return labels
 
 
+def scene_components(edges: DataFrame) -> DataFrame:
+    """(scene, node, component) of edges (scene, src, dst), whose ids are numbers within their scene."""
+    ends = edges.select(F.struct("scene", F.col("src").alias("id")).alias("src"), F.struct("scene", F.col("dst").alias("id")).alias("dst"))
+    return connected_components(ends).select("node.scene", F.col("node.id").alias("node"), F.col("component.id").alias("component"))
+
+
 def _rooted(hooks: DataFrame, folder: str) -> DataFrame:
     """(node, up) with `up` the root of the node's tree; every jump halves the way to it."""
     step = 0

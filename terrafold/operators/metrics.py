@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.plans import cut
+from .order import running
+
 LEAST_POINTS = 100
 
 
@@ -52,45 +55,68 @@ def precision_recall(gts: DataFrame, preds: DataFrame, found: DataFrame, thresho
     return rows.select("class", F.try_divide(tp, F.col("made")).alias("precision"), F.try_divide(tp, F.col("gts")).alias("recall"))
 
 
-def scored_matches(gts: DataFrame, preds: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """(class, score, tp, fp, missed) rows for the curve, at a threshold of 0.5 or more.
+def scored_at(gts: DataFrame, preds: DataFrame, found: DataFrame, thresholds: list[float], ignored: DataFrame | None = None) -> DataFrame:
+    """(threshold, class, score, tp, fp, missed) rows for the curve, at thresholds of 0.5 or more.
 
     A prediction can then match one ground truth only, so the matching has no order: of the predictions of a ground
     truth the best score is right and the others are wrong.  Ground truths of under LEAST_POINTS points don't
-    count; predictions without a match are wrong unless such small ones take more than the threshold of them.
+    count; predictions without a match are wrong unless such small ones and `ignored` regions (scene, pred, void points) take more
+    than the threshold of them.  Below 0.5 this holds where no prediction meets two ground truths of its class.
     """
-    hits = found.filter(F.col("iou") > threshold).join(preds.select("scene", "pred", "conf"), ["scene", "pred"])
-    kept = hits.filter(F.col("gt_size") >= LEAST_POINTS).groupBy("scene", "class", "gt").agg(F.max("conf").alias("best"), F.collect_list("conf").alias("all"))
-    right = kept.select("class", F.col("best").alias("score"), F.lit(1).alias("tp"), F.lit(0).alias("fp"), F.lit(0).alias("missed"))
-    again = kept.select("class", F.explode(F.slice(F.sort_array("all", asc=False), F.lit(2), F.size("all"))).alias("score"), F.lit(0).alias("tp"), F.lit(1).alias("fp"), F.lit(0).alias("missed"))
-    missed = gts.filter(F.col("gt_size") >= LEAST_POINTS).join(kept, ["scene", "class", "gt"], "left_anti").select("class", F.lit(None).cast("double").alias("score"), F.lit(0).alias("tp"), F.lit(0).alias("fp"), F.lit(1).alias("missed"))
-    ignored = found.filter(F.col("gt_size") < LEAST_POINTS).groupBy("scene", "pred").agg(F.sum("common").alias("small"))
-    rest = preds.join(hits, ["scene", "pred"], "left_anti").join(ignored, ["scene", "pred"], "left").filter(F.coalesce("small", F.lit(0)) / F.col("pred_size") <= threshold)
-    wrong = rest.select("class", F.col("conf").alias("score"), F.lit(0).alias("tp"), F.lit(1).alias("fp"), F.lit(0).alias("missed"))
+    every = F.array(*[F.lit(float(t)) for t in thresholds])
+    at = found.withColumn("threshold", F.explode(every)).filter(F.col("iou") > F.col("threshold"))
+    hits = cut(at.join(preds.select("scene", "pred", "conf"), ["scene", "pred"]), "hits")
+    ranked = hits.filter(F.col("gt_size") >= LEAST_POINTS).groupBy("threshold", "scene", "class", "gt").agg(F.max("conf").alias("best"), F.collect_list("conf").alias("all"))
+    zero, one = F.lit(0), F.lit(1)
+    right = ranked.select("threshold", "class", F.col("best").alias("score"), one.alias("tp"), zero.alias("fp"), zero.alias("missed"))
+    again = ranked.select("threshold", "class", F.explode(F.slice(F.sort_array("all", asc=False), F.lit(2), F.size("all"))).alias("score"), zero.alias("tp"), one.alias("fp"), zero.alias("missed"))
+    wanted = gts.filter(F.col("gt_size") >= LEAST_POINTS).withColumn("threshold", F.explode(every))
+    missed = wanted.join(ranked, ["threshold", "scene", "class", "gt"], "left_anti").select("threshold", "class", F.lit(None).cast("double").alias("score"), zero.alias("tp"), zero.alias("fp"), one.alias("missed"))
+    little = found.filter(F.col("gt_size") < LEAST_POINTS).select("scene", "pred", F.col("common").alias("void"))
+    little = (little if ignored is None else little.unionByName(ignored.select("scene", "pred", "void"))).groupBy("scene", "pred").agg(F.sum("void").alias("void"))
+    rest = preds.withColumn("threshold", F.explode(every)).join(hits, ["threshold", "scene", "pred"], "left_anti").join(little, ["scene", "pred"], "left")
+    rest = rest.filter(F.coalesce("void", zero) / F.col("pred_size") <= F.col("threshold"))
+    wrong = rest.select("threshold", "class", F.col("conf").alias("score"), zero.alias("tp"), one.alias("fp"), zero.alias("missed"))
     return right.unionByName(again).unionByName(missed).unionByName(wrong)
 
 
-def average_precision(rows: DataFrame) -> DataFrame:
-    """(class, ap) of rows (class, score, tp, fp, missed): precision times half the recall step on either side, summed over distinct scores
-    and an end point of precision 1 and recall 0.
+def scored_matches(gts: DataFrame, preds: DataFrame, found: DataFrame, threshold: float, ignored: DataFrame | None = None) -> DataFrame:
+    """scored_at for one threshold."""
+    return scored_at(gts, preds, found, [threshold], ignored).drop("threshold")
+
 
-    0 for a class with ground truth and no prediction, null for one without ground truth.
+def average_precision(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, ap) of rows (by, score, tp, fp, missed), `by` being the class unless given: precision times half the recall step on either side,
+    summed over distinct scores and an end point of precision 1 and recall 0.
+
+    0 for a class with ground truth and no prediction, null for one without ground truth.  Scores are summed by ranges of their order.
     """
-    totals = rows.groupBy("class").agg(F.sum("tp").alias("tps"), (F.sum("tp") + F.sum("missed")).alias("real"))
-    at = rows.filter("score is not null").groupBy("class", "score").agg(F.sum("tp").alias("tp"), F.sum(F.col("tp") + F.col("fp")).alias("n"))
-    down = W.partitionBy("class").orderBy(F.desc("score"))
-    curve = at.select("class", "score", F.sum("tp").over(down).alias("tp"), F.sum("n").over(down).alias("n")).join(totals, "class")
-    curve = curve.withColumn("p", F.col("tp") / F.col("n")).withColumn("r", F.try_divide("tp", "real"))
+    by = by or ["class"]
+    totals = rows.groupBy(*by).agg((F.sum("tp") + F.sum("missed")).alias("real"))
+    at = rows.filter("score is not null").groupBy(*by, "score").agg(F.sum("tp").alias("tp"), F.sum(F.col("tp") + F.col("fp")).alias("n"))
+    curve = cut(running(at, by, [F.desc("score")], ["tp", "n"]), "curve")
+    lower = curve.select(*by, (F.col("place") - 1).alias("place"), F.col("upto_tp").alias("lower_tp"))
+    curve = curve.join(lower, [*by, "place"], "left").join(totals, by)
     # Towards higher scores recall falls, to the end point of precision 1 and recall 0; towards lower ones it stays.
-    up = W.partitionBy("class").orderBy("score")
-    after = F.lead("r").over(up)
-    step = F.coalesce(F.lag("r").over(up), F.col("r")) - F.coalesce(after, F.lit(0.0))
-    end = F.when(after.isNull(), F.col("r") / 2).otherwise(0.0)
-    area = curve.withColumn("area", F.col("p") * step / 2 + end).groupBy("class").agg(F.sum("area").alias("ap"))
-    return totals.join(area, "class", "left").select("class", F.when(F.col("real") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
+    step = F.try_divide(F.coalesce("lower_tp", "upto_tp") - (F.col("upto_tp") - F.col("tp")), F.col("real"))
+    end = F.when(F.col("place") == 1, F.try_divide("upto_tp", "real") / 2).otherwise(0.0)
+    area = curve.withColumn("area", F.col("upto_tp") / F.col("upto_n") * step / 2 + end).groupBy(*by).agg(F.sum("area").alias("ap"))
+    return totals.join(area, by, "left").select(*by, F.when(F.col("real") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
+
+
+#: Fixed: the overlaps over which precision is averaged, and the looser one that is given beside it.
+OVERLAPS, LOOSE = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9], 0.25
+
+
+def precision_table(gts: DataFrame, preds: DataFrame, found: DataFrame, ignored: DataFrame | None = None) -> DataFrame:
+    """(class, ap, ap50, ap25): the mean over OVERLAPS, and the values at 0.5 and at LOOSE; null for a class without ground truth."""
+    strict = average_precision(scored_at(gts, preds, found, OVERLAPS, ignored), ["threshold", "class"])
+    loose = average_precision(sequential_matches(gts, preds, found, LOOSE, ignored)).withColumnRenamed("ap", "ap25")
+    table = strict.groupBy("class").agg(F.avg("ap").alias("ap"), F.max(F.when(F.col("threshold") == 0.5, F.col("ap"))).alias("ap50"))
+    return table.join(loose, "class", "full")
 
 
-def sequential_matches(gts: DataFrame, preds: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+def sequential_matches(gts: DataFrame, preds: DataFrame, found: DataFrame, threshold: float, ignored: DataFrame | None = None) -> DataFrame:
     """The rows of scored_matches at any threshold, where a prediction may meet several ground truths and their order counts.
 
     Ground truths go by id.  A prediction that was right for one is not used again; one that was wrong for one may be.
@@ -116,7 +142,7 @@ def sequential_matches(gts: DataFrame, preds: DataFrame, found: DataFrame, thres
                     best = max(best, r.conf)
             out.append((best, 1, 0, 0) if best is not None else (None, 0, 0, 1))
         for _, rows in pdf[pdf["pred"].notna()].groupby("pred"):
-            small = rows.loc[rows["gt"].notna() & (rows["gt_size"] < LEAST_POINTS), "common"].sum()
+            small = rows.loc[rows["gt"].notna() & (rows["gt_size"] < LEAST_POINTS), "common"].sum() + rows["void"].iloc[0]
             if not (rows["iou"] > threshold).any() and small / rows["pred_size"].iloc[0] <= threshold:
                 out.append((rows["conf"].iloc[0], 0, 1, 0))
         made = pd.DataFrame(out, columns=["score", "tp", "fp", "missed"])
@@ -124,15 +150,21 @@ def sequential_matches(gts: DataFrame, preds: DataFrame, found: DataFrame, thres
         return made
 
     every = pairs.unionByName(lone_gts).unionByName(lone_preds)
+    if ignored is None:
+        every = every.withColumn("void", F.lit(0).cast("long"))
+    else:
+        void = ignored.groupBy("scene", "pred").agg(F.sum("void").alias("void"))
+        every = every.join(void, ["scene", "pred"], "left").withColumn("void", F.coalesce("void", F.lit(0).cast("long")))
     return every.groupBy("scene", "class").applyInPandas(match, "class long, score double, tp int, fp int, missed int")
 
 
 def curve(rows: DataFrame, score: str, truth: Column) -> DataFrame:
-    """(score, tp, n, precision, recall) at each distinct score, counting rows of that score or more."""
-    at = rows.groupBy(F.col(score).alias("score")).agg(F.count_if(truth).alias("tp"), F.count(F.lit(1)).alias("n"))
-    down = W.orderBy(F.desc("score"))
-    summed = at.select("score", F.sum("tp").over(down).alias("tp"), F.sum("n").over(down).alias("n"), F.sum("tp").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("all"))
-    return summed.select("score", "tp", "n", (F.col("tp") / F.col("n")).alias("precision"), F.try_divide("tp", "all").alias("recall"))
+    """(score, tp, n, precision, recall) at each distinct score, counting rows of that score or more; summed by ranges of the scores."""
+    at = rows.groupBy(F.col(score).alias("score")).agg(F.count_if(truth).alias("tp"), F.count(F.lit(1)).alias("n")).withColumn("whole", F.lit(0))
+    summed = cut(running(at, ["whole"], [F.desc("score")], ["tp", "n"]), "curve")
+    total = F.lit(summed.agg(F.max("upto_tp")).first()[0])
+    tp, n = F.col("upto_tp"), F.col("upto_n")
+    return summed.select("score", tp.alias("tp"), n.alias("n"), (tp / n).alias("precision"), F.try_divide(tp, total).alias("recall"))
 
 
 def in_top(scores: Column, target: Column, k: int) -> Column:

@@ -7,9 +7,9 @@ from urllib.parse import urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.plans import BROADCAST_ROWS, saved, shared_dir, small, work_dir
+from ..functions.plans import BROADCAST_ROWS, dropped, saved, shared_dir, small, work_dir
 
-__all__ = ["BROADCAST_ROWS", "WORD", "bounded_batches", "lower_ascii", "mounted_path", "saved", "shared_dir", "small", "stored", "work_dir"]
+__all__ = ["BROADCAST_ROWS", "WORD", "bounded_batches", "dropped", "lower_ascii", "mounted_path", "saved", "shared_dir", "small", "stored", "work_dir"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"

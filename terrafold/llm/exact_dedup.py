@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import lower_ascii, saved, small, stored, work_dir
+from .common import dropped, lower_ascii, saved, small, stored, work_dir
 
 #: Copies of one text that one task compares with it.
 SALT_ROWS = 4096
@@ -110,8 +110,10 @@ def _regrouped(content: DataFrame, found: DataFrame, odd: DataFrame, text_col: s
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     folder = work_dir(spark, "exact-dedup")
-    kept = exact_dedup(docs, folder=folder, carry=docs.columns).filter("kept").select("batch", "row_no")
-    return spark.read.parquet(f"{folder}/arrivals").join(kept, ["batch", "row_no"], "left_semi").select("row.*")
+    gone = saved(exact_dedup(docs, folder=folder, carry=docs.columns).filter("not kept").select("batch", "row_no"), f"{folder}/gone")
+    dropped(spark, f"{folder}/state")
+    dropped(spark, f"{folder}/groups")
+    return spark.read.parquet(f"{folder}/arrivals").join(small(gone), ["batch", "row_no"], "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import bounded_batches, saved, small, work_dir
+from .common import bounded_batches, dropped, saved, small, work_dir
 from .words import Words, combine, mix, slices
 
 WIDTH, PERCENT = 3, 90
@@ -163,7 +163,7 @@ def candidates(full: DataFrame, percent: int, folder: str) -> tuple[DataFrame, D
         among = full.join(large.select("cls").distinct(), "cls", "left_semi").select("cls", "n", F.explode(prefix).alias("token"))
         more, large = dealt(among, percent, f"{folder}/{name}")
         pairs = pairs.unionByName(more)
-    clusters = saved(connected_components(large.select(F.col("cls").alias("src"), F.col("least").alias("dst"))), f"{folder}/clusters")
+    clusters = saved(connected_components(large.select(F.col("cls").alias("src"), F.col("least").alias("dst")), folder=f"{folder}/among-clusters"), f"{folder}/clusters")
     one, two = clusters.select(F.col("node").alias("src"), F.col("component").alias("one")), clusters.select(F.col("node").alias("dst"), F.col("component").alias("two"))
     apart = pairs.distinct().join(one, "src", "left").join(two, "dst", "left").filter("one is null or two is null or one != two").select("src", "dst")
     return saved(apart, f"{folder}/pairs"), clusters
@@ -244,7 +244,7 @@ def linked_blocks(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "links": pa.array(links, pa.int64())})
 
 
-def block_links(clusters: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def block_links(clusters: DataFrame, full: DataFrame, percent: int, folder: str) -> DataFrame:
     """(src, dst, links) within clusters (node, component): each pair of blocks of a cluster is a group of its own.
 
     A block has sets of one band of sizes, and meets the blocks of its band and of the next ones only: sets of a link are no farther apart.
@@ -252,7 +252,7 @@ def block_links(clusters: DataFrame, full: DataFrame, percent: int) -> DataFrame
     band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * 1.001))
     members = clusters.select(F.col("node").alias("cls"), "component").join(full.select("cls", "n"), "cls").select("cls", "component", band.alias("band"))
     sizes = members.groupBy("component", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-    sizes = saved(sizes, work_dir(full.sparkSession, "jaccard-blocks"))
+    sizes = saved(sizes, f"{folder}/blocks")
     near = sizes.select("component", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("of"), "blocks")
     near = near.groupBy("component", "band").agg(F.max(F.when(F.col("band") == F.col("of"), F.col("blocks"))).alias("own"), F.collect_list(F.struct("of", "blocks")).alias("others")).filter("own is not null")
     number = F.pmod(F.xxhash64(F.lit(7), F.col("cls")), F.col("own"))
@@ -262,17 +262,21 @@ def block_links(clusters: DataFrame, full: DataFrame, percent: int) -> DataFrame
     return placed.join(full, "cls").select("cls", "component", "block", "low", "high", "n", "tokens", "other").groupBy("component", "low", "high").applyInArrow(lambda t: linked_blocks(t, percent), "src long, dst long, links long")
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, keep: Sequence[str] = ()) -> DataFrame:
-    """Per row of docs: the columns `keep`, doc_id, n_shingles, component_id, n_links (links of its set to other sets), group (null for an empty set)."""
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, keep: Sequence[str] = (), folder: str | None = None) -> DataFrame:
+    """Per row of docs: the columns `keep`, doc_id, n_shingles, component_id, n_links (links of its set to other sets), group (null for an empty set).
+
+    folder: where the tables go, a new one by default; what the result doesn't read is deleted.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
-    folder = work_dir(spark, "jaccard")
+    folder = folder or work_dir(spark, "jaccard")
     texts = docs.select(*keep, docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
     sets = saved(texts.mapInArrow(lambda x: probe_rows(x, width, percent), f"{schema}, k1 long, k2 long, n long, probe array<long>"), f"{folder}/sets")
-    classes = sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("probe").alias("probe"))
-    classes = saved(classes.withColumn("cls", F.monotonically_increasing_id()), f"{folder}/classes")
-    left = saved(survivors(classes, percent), f"{folder}/survivors")
+    some = sets.filter("n > 0").groupBy("k1", "k2")
+    classes = saved(some.agg(F.min("doc_id").alias("rep")).withColumn("cls", F.monotonically_increasing_id()), f"{folder}/classes")
+    probes = some.agg(F.first("n").alias("n"), F.first("probe").alias("probe")).join(classes.select("k1", "k2", "cls"), ["k1", "k2"])
+    left = saved(survivors(probes, percent), f"{folder}/survivors")
     reps = saved(classes.select("cls", "rep", "k1", "k2").join(left, "cls"), f"{folder}/reps")
     ids = small(reps.select("rep").distinct())
     full = texts.join(ids, texts["doc_id"].eqNullSafe(ids["rep"]), "left_semi").select("text").mapInArrow(lambda x: token_rows(x, width, percent), "k1 long, k2 long, n long, tokens array<long>, other array<long>")
@@ -280,10 +284,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pairs, clusters = candidates(full, percent, folder)
     found = saved(verified(pairs, full, percent), f"{folder}/links")
-    in_blocks = saved(block_links(clusters, full, percent), f"{folder}/block-links")
+    in_blocks = saved(block_links(clusters, full, percent, folder), f"{folder}/block-links")
 
     edges = found.unionByName(in_blocks.filter("links = 0").select("src", "dst"))
-    groups = saved(connected_components(edges), f"{folder}/groups")
+    groups = saved(connected_components(edges, folder=f"{folder}/among-groups"), f"{folder}/groups")
     ends = found.select(F.col("src").alias("cls"), F.lit(1).alias("links")).unionByName(found.select(F.col("dst").alias("cls"), F.lit(1).alias("links")))
     links = ends.unionByName(in_blocks.filter("links > 0").select(F.col("src").alias("cls"), "links")).groupBy("cls").agg(F.sum("links").alias("n_links"))
     in_groups = classes.select("cls", "rep").join(groups.withColumnRenamed("node", "cls"), "cls")
@@ -291,6 +295,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = in_groups.join(first, "component").join(links, "cls", "left").select("cls", "component", "component_id", "n_links")
     named = classes.select("cls", "k1", "k2", "rep").join(linked, "cls", "left").select("k1", "k2", F.coalesce("component", "cls").alias("group"), F.coalesce("component_id", "rep").alias("component_id"), "n_links")
     named = saved(named, f"{folder}/named")  # so that the join with a class of very many copies has two plain sides and can be split
+    for name in ("full", "rare", "hash", "second"):
+        for part in ("", "-prefixes", "-buckets", "-large"):
+            dropped(spark, f"{folder}/{name}{part}")
     return sets.select(*keep, "doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select(
         *keep, "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "group"
     )
@@ -299,14 +306,22 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, four fifths in common), the one of the smallest id, with all columns.
 
-    Rows go by a number, so one row of a group stays also if rows share an id or have none; documents without words are no group.
+    Rows of one id and text are one document, so all of them stay or go; else one row of a group stays, also if its rows share an id or have none.
+    Documents without words are no group and stay.
     """
-    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), work_dir(spark, "jaccard-rows"))
-    found = jaccard_classes(rows.select("row", "doc.doc_id", "doc.text"), width=STAGE_WIDTH, percent=STAGE_PERCENT, keep=["row"])
-    found = saved(found.select("row", "doc_id", "group"), work_dir(spark, "jaccard-found"))
-    one = found.filter("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("one"))
-    stays = one.select("one.row").unionByName(found.filter("group is null").select("row"))
-    return rows.join(stays, "row", "left_semi").select("doc.*")
+    folder = work_dir(spark, "jaccard")
+    named = {"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), F.col("text"))}  # the text's 128-bit name
+    found = jaccard_classes(docs.select("doc_id", "text", *[v.alias(n) for n, v in named.items()]), width=STAGE_WIDTH, percent=STAGE_PERCENT, keep=list(named), folder=folder)
+    found = saved(found.filter("group is not null").select("doc_id", *named, "group"), f"{folder}-found")
+    dropped(spark, folder)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *named)
+    stays = found.groupBy("group").agg(F.min(order).alias("stays"))
+    gone = saved(found.join(stays, "group").filter(order != F.col("stays")).select(F.col("doc_id").alias("__id"), *[F.col(n).alias(f"__{n}") for n in named]).distinct(), f"{folder}-gone")
+    gone = small(gone)
+    same = docs["doc_id"].eqNullSafe(gone["__id"])
+    for n, v in named.items():
+        same = same & (F.xxhash64(*([] if n == "t1" else [F.lit(1)]), docs["text"]) == gone[f"__{n}"])
+    return docs.join(gone, same, "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,7 +102,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them, with all their columns.  Rows are told apart by a number, not by their ids."""
     rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), work_dir(spark, "mixing-rows"))
     taken = mixed(rows.select("row", "doc.doc_id", "doc.text", "doc.source"), keep=["row"]).filter("copies > 0").select("row", F.col("copies").cast("int").alias("copies"))
-    return rows.join(taken, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
+    taken = saved(taken, work_dir(spark, "mixing-taken"))
+    return rows.join(small(taken), "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

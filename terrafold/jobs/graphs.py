@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.plans import cut
 from ..operators import graph
-from ..operators.components import connected_components
+from ..operators.components import scene_components
 from ..sources.fixtures import POINTS, points
 from .neighbours import edges, edges_sql, ids
 
@@ -58,7 +58,7 @@ def graph_pool_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components over the edges to nearest neighbours; each point has one, so none is alone."""
-    found = connected_components(edges(spark, sf_dir, 1))
+    found = scene_components(edges(spark, sf_dir, 1))
     return found.select(F.col("node").alias("point_idx"), "component")
 
 
@@ -81,11 +81,42 @@ def extend_label_1hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.filter(ok).groupBy("scene", F.col("dst").alias("id")).agg(F.max_by("src_label", "src").alias("label"))
 
 
+def predicted_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in the part of superpoints: a predicted class with its probability, and a label for every fourth."""
+    label = F.when(F.col("id") % 4 == 0, F.col("sem")).otherwise(graph.UNLABELLED)
+    return ids(points(spark, sf_dir)).select("scene", "id", *"xyz", label.alias("label"), F.col("sem").alias("pred"), (1 - F.col("id") % 10 / 20).alias("prob"), *[(F.col(a) / 2).alias(f"o{a}") for a in "xyz"])
+
+
+PREDICTED = "nodes AS (SELECT scene, point_idx AS id, x, y, z, CASE WHEN point_idx % 4 = 0 THEN sem ELSE -100 END AS label, sem AS pred, 1 - point_idx % 10 / CAST(20 AS DOUBLE) AS prob, x / 2 AS ox, y / 2 AS oy, z / 2 AS oz FROM points)"
+
+
+def weak_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels spread by two steps of affinity among nodes predicted alike and surely; labels, offsets to instances and scores."""
+    n = cut(predicted_nodes(spark, sf_dir))
+    e = cut(edges(spark, sf_dir, 6)).withColumn("affinity", F.exp(-F.col("dist")))
+    found = cut(graph.propagated_labels(e, n, 2))
+    given = n.select("scene", F.col("id").alias("seed"), "label")
+    offsets = graph.moved_offsets(found.withColumnRenamed("seed", "source"), n)
+    rows = found.join(given, ["scene", "seed"]).join(offsets, ["scene", "id"])
+    return rows.select("scene", "id", "seed", "label", F.round("score", 6).alias("score"), *[F.round(f"o{a}", 6).alias(f"o{a}") for a in "xyz"])
+
+
+def propagate_label_1hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels go to all neighbours that are predicted alike, however surely."""
+    return graph.extended(edges(spark, sf_dir, 4), predicted_nodes(spark, sf_dir)).select("scene", "id", "source", "label")
+
+
+def clique_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Superpoints and the instances that they lie in."""
+    found = graph.cliques(points(spark, sf_dir).select("scene", F.col("noisy").alias("group"), F.col("sp").alias("node")))
+    return found.select("scene", F.col("row").alias("i"), F.col("col").alias("j"), F.round("weight", 6).alias("weight"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         edge_same_instance_flag, induced_subgraph, edge_in_degree, edge_shards, neighbour_mean_aggregate, edge_softmax_attention, graph_pool_max, graph_components,
-        label_propagation_2hop, extend_label_1hop,
+        label_propagation_2hop, extend_label_1hop, weak_label_propagation, propagate_label_1hop, clique_adjacency,
     )
 }
 
@@ -110,4 +141,13 @@ ORACLES = {
         SELECT k.scene, k.id, k.seed, s.label FROM k JOIN nodes n ON n.scene = k.scene AND n.id = k.id AND n.label = -100 JOIN s ON s.scene = k.scene AND s.id = k.seed WHERE k.k = 1""",
     "extend_label_1hop": f"""WITH {NODES}, {edges_sql(6)} SELECT e.scene, e.dst AS id, max_by(a.label, e.src) AS label FROM {_ENDS}
         WHERE b.label = -100 AND a.label <> -100 AND a.sem = b.sem AND exp(-e.dist) > CAST(0.8 AS DOUBLE) GROUP BY e.scene, e.dst""",
+    "weak_label_propagation": f"""WITH {POINTS}, {PREDICTED}, {edges_sql(6)}, w AS (SELECT e.scene, e.src, e.dst, exp(-e.dist) / sum(exp(-e.dist)) OVER (PARTITION BY e.scene, e.src) AS w FROM {_ENDS} WHERE a.pred = b.pred AND a.prob > CAST(0.7 AS DOUBLE) AND b.prob > CAST(0.7 AS DOUBLE)),
+        s AS (SELECT * FROM nodes WHERE label = pred AND prob > CAST(0.7 AS DOUBLE)),
+        r AS (SELECT s.scene, s.id AS seed, y.dst AS id, round(sum(x.w * y.w), 9) AS score FROM s JOIN w x ON x.scene = s.scene AND x.src = s.id JOIN w y ON y.scene = s.scene AND y.src = x.dst GROUP BY s.scene, s.id, y.dst),
+        k AS (SELECT *, row_number() OVER (PARTITION BY scene, id ORDER BY score DESC, seed) AS k FROM r WHERE score > 0)
+        SELECT k.scene, k.id, k.seed, s.label, round(k.score, 6) AS score, {", ".join(f"round(s.{a} + s.o{a} - n.{a}, 6) AS o{a}" for a in "xyz")} FROM k JOIN nodes n ON n.scene = k.scene AND n.id = k.id AND n.label = -100 JOIN s ON s.scene = k.scene AND s.id = k.seed WHERE k.k = 1""",
+    "propagate_label_1hop": f"""WITH {POINTS}, {PREDICTED}, {edges_sql(4)}, w AS (SELECT scene, src, dst FROM edges UNION SELECT scene, dst, src FROM edges)
+        SELECT w.scene, w.dst AS id, max(w.src) AS source, max_by(a.label, w.src) AS label FROM w JOIN nodes a ON a.scene = w.scene AND a.id = w.src AND a.label <> -100 JOIN nodes b ON b.scene = w.scene AND b.id = w.dst AND b.label = -100 AND b.pred = a.label GROUP BY w.scene, w.dst""",
+    "clique_adjacency": f"""WITH {POINTS}, p AS (SELECT DISTINCT scene, sp AS a, -1 - noisy AS b FROM points), n AS (SELECT scene, a FROM p UNION SELECT scene, b FROM p), l AS (SELECT scene, a AS i, b AS j FROM p UNION ALL SELECT scene, b, a FROM p UNION ALL SELECT scene, a, a FROM n)
+        SELECT scene, i, j, round(1 / CAST(count(*) OVER (PARTITION BY scene, j) AS DOUBLE), 6) AS weight FROM l""",
 }

@@ -77,6 +77,57 @@ def propagated(edges: DataFrame, seeds: DataFrame, weight: str, hops: int) -> Da
     return reach
 
 
+def propagated_labels(edges: DataFrame, nodes: DataFrame, hops: int, least: float = 0.7) -> DataFrame:
+    """(scene, id, seed, score): for unlabelled nodes, the labelled node of the highest weight after `hops` steps, the lowest of a tie.
+
+    nodes: (scene, id, label, pred, prob), label UNLABELLED where unknown; edges: (scene, src, dst, affinity).  A step goes between nodes that are both predicted
+    as one class with more than `least`; as a node is predicted as one class only, all classes go at once.
+    Affinities are normalised by row, seeds are the nodes whose label is their predicted class.
+    """
+    sure = nodes.filter(F.col("prob") > least).select("scene", "id", "pred", "label")
+    a, b = sure.select("scene", F.col("id").alias("src"), F.col("pred").alias("__a")), sure.select("scene", F.col("id").alias("dst"), F.col("pred").alias("__b"))
+    steps = cut(edges.filter("src != dst and affinity > 0").join(a, ["scene", "src"]).join(b, ["scene", "dst"]).filter("__a = __b").select("scene", "src", "dst", "affinity"), "steps")
+    seeds = sure.filter("label = pred")
+    reach = propagated(steps, seeds, "affinity", hops).withColumn("score", F.round("score", 9)).filter("score > 0")
+    best = reach.groupBy("scene", "id").agg(F.max(F.struct("score", (-F.col("seed")).alias("seed"))).alias("best"))
+    open_ = nodes.filter(F.col("label") == UNLABELLED).select("scene", "id")
+    return best.join(open_, ["scene", "id"]).select("scene", "id", (-F.col("best.seed")).alias("seed"), F.col("best.score").alias("score"))
+
+
+def extended(edges: DataFrame, nodes: DataFrame, least: float | None = None) -> DataFrame:
+    """(scene, id, source, label): unlabelled nodes next to labelled ones, along edges of either direction, that are predicted as the
+    neighbour's label (with more than `least`, if given); the neighbour of the highest id counts.  nodes as for propagated_labels."""
+    ways = edges.select("scene", "src", "dst").unionByName(edges.select("scene", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    given = nodes.filter(F.col("label") != UNLABELLED).select("scene", F.col("id").alias("src"), F.col("label").alias("given"))
+    free = nodes.filter(F.col("label") == UNLABELLED)
+    free = (free if least is None else free.filter(F.col("prob") > least)).select("scene", F.col("id").alias("dst"), "pred")
+    met = ways.join(given, ["scene", "src"]).join(free, ["scene", "dst"]).filter("given = pred")
+    return met.groupBy("scene", F.col("dst").alias("id")).agg(F.max("src").alias("source"), F.max_by("given", "src").alias("label"))
+
+
+def moved_offsets(taken: DataFrame, offsets: DataFrame) -> DataFrame:
+    """(scene, id, ox, oy, oz): from the centre of a node to the instance centre of the one it took its label from.
+
+    taken: (scene, id, source); offsets: (scene, id, x, y, z, ox, oy, oz), a node's centre and its offset to its instance's centre.
+    """
+    there = offsets.select("scene", F.col("id").alias("source"), *[(F.col(a) + F.col(f"o{a}")).alias(f"c{a}") for a in "xyz"])
+    return taken.select("scene", "id", "source").join(there, ["scene", "source"]).join(offsets.select("scene", "id", *"xyz"), ["scene", "id"]).select("scene", "id", *[(F.col(f"c{a}") - F.col(a)).alias(f"o{a}") for a in "xyz"])
+
+
+def cliques(members: DataFrame) -> DataFrame:
+    """(scene, row, col, weight): nodes and their groups linked both ways and each with itself, the weights of a column summing to 1.
+
+    members: (scene, group, node); a group is the number -1 - group among the nodes.
+    """
+    root = (-1 - F.col("group")).alias("root")
+    pairs = members.select("scene", "node", root).distinct()
+    ends = pairs.select("scene", F.col("node").alias("at")).unionByName(pairs.select("scene", F.col("root").alias("at"))).distinct()
+    links = pairs.select("scene", F.col("node").alias("row"), F.col("root").alias("col")).unionByName(pairs.select("scene", F.col("root").alias("row"), F.col("node").alias("col")))
+    links = links.unionByName(ends.select("scene", F.col("at").alias("row"), F.col("at").alias("col")))
+    sums = links.groupBy("scene", "col").agg(F.count(F.lit(1)).alias("n"))
+    return links.join(sums, ["scene", "col"]).select("scene", "row", "col", (1 / F.col("n")).alias("weight"))
+
+
 def random_subgraph(edges: DataFrame, nodes: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """(scene, id, hops): a sample of `size` nodes per scene (all of a smaller one), breadth first from the node of the smallest hash.
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.plans import attach
+from ..functions.plans import attach, cut
+from .neighbors import blocks, near_pairs
 
 IGNORED = -100
 
@@ -137,9 +138,11 @@ def discriminative_terms(points: DataFrame, instance: str, near: float = 0.1, fa
     gap = F.sqrt(sum(((F.col(a) - F.col(f"m{a}")) * (F.col(a) - F.col(f"m{a}")) for a in "xyz"), F.lit(0.0)))
     pull = rows.withColumn("over", F.greatest(gap - near, F.lit(0.0))).groupBy("scene", instance).agg(F.avg(F.col("over") * F.col("over")).alias("v"))
     variance = pull.groupBy("scene").agg(F.avg("v").alias("variance"))
-    other = means.select("scene", F.col(instance).alias("__other"), *[F.col(f"m{a}").alias(f"n{a}") for a in "xyz"])
-    pairs = means.join(other, "scene").filter(F.col(instance) != F.col("__other"))
-    short = F.greatest(2 * far - sum((F.abs(F.col(f"m{a}") - F.col(f"n{a}")) for a in "xyz"), F.lit(0.0)), F.lit(0.0))
-    separation = pairs.withColumn("short", short).groupBy("scene").agg(F.avg(F.col("short") * F.col("short")).alias("separation"))
+    at = cut(means.select("scene", F.col(instance).alias("id"), *[F.col(f"m{a}").alias(a) for a in "xyz"]), "means")
+    pairs = near_pairs(at, at, 2 * far, blocks).filter(F.col("src") != F.col("dst"))
+    short = F.greatest(2 * far - F.col("dist"), F.lit(0.0))
+    numbers = at.groupBy("scene").agg(F.count(F.lit(1)).alias("n"))
+    close = pairs.groupBy("scene").agg(F.sum(short * short).alias("sum"))
+    separation = close.join(numbers, "scene").select("scene", (F.col("sum") / (F.col("n") * (F.col("n") - 1))).alias("separation"))
     size = means.groupBy("scene").agg(F.avg(F.sqrt(sum((F.col(f"m{a}") * F.col(f"m{a}") for a in "xyz"), F.lit(0.0)))).alias("size"))
     return variance.join(separation, "scene", "left").join(size, "scene").select("scene", "variance", F.coalesce("separation", F.lit(0.0)).alias("separation"), "size")

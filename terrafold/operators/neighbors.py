@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -17,40 +19,70 @@ def distance(a: str, b: str) -> Column:
     return F.sqrt(dx * dx + dy * dy + dz * dz)
 
 
+def blocks(a: str, b: str) -> Column:
+    """The distance along the axes."""
+    return sum((F.abs(F.col(f"{a}{c}") - F.col(f"{b}{c}")) for c in "xyz"), F.lit(0.0))
+
+
 def _cells(df: DataFrame, prefix: str, h: float) -> DataFrame:
     return df.withColumns({f"__c{c}": F.floor(F.col(f"{prefix}{c}") / h) for c in "xyz"})
 
 
-def near_pairs(left: DataFrame, right: DataFrame, h: float) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, h: float, measure: Callable[[str, str], Column] = distance) -> DataFrame:
     """(scene, src, dst, dist) of all pairs whose cells of width h touch; it has all pairs up to a distance of h."""
     a = _cells(left.select("scene", F.col("id").alias("src"), *[F.col(c).alias(f"a{c}") for c in "xyz"]), "a", h)
     steps = F.array(*[F.struct(*[(F.col(f"__c{c}") + d).alias(f"__c{c}") for c, d in zip("xyz", step, strict=True)]) for step in STEPS])
     a = a.select("scene", "src", "ax", "ay", "az", F.inline(steps))
     b = _cells(right.select("scene", F.col("id").alias("dst"), *[F.col(c).alias(f"b{c}") for c in "xyz"]), "b", h)
-    return a.join(b, ["scene", "__cx", "__cy", "__cz"]).select("scene", "src", "dst", distance("a", "b").alias("dist"))
+    return a.join(b, ["scene", "__cx", "__cy", "__cz"]).select("scene", "src", "dst", measure("a", "b").alias("dist"))
+
 
+#: A cell of the first round has at most about so many points for each that is asked for, and its width is halved so often at most for that.
+CROWD, HALVINGS = 6, 16
 
-def _first_width(right: DataFrame, k: int) -> tuple[float, float]:
-    """A cell width at which a cell has about k points in the middle scene, and the widest extent of any scene."""
+
+def _first_width(right: DataFrame, k: int, farthest: float) -> tuple[float, float]:
+    """A cell width at which a cell has about k points in the middle scene, halved until no cell is crowded; and a width with which all that is asked for is found.
+
+    All widths are counted in one pass, so that a dense scene or object doesn't make pairs of all its points.
+    """
     per = right.groupBy("scene").agg(F.count(F.lit(1)).alias("n"), F.greatest(*[F.max(c) - F.min(c) for c in "xyz"]).alias("side"))
-    row = per.agg(F.percentile_approx(F.col("side") * F.pow(k / F.col("n"), 1 / 3), 0.5).alias("h"), F.max("side").alias("side")).first()
-    return max(row["h"] or 0.0, 1e-9), row["side"] or 0.0
+    row = per.agg(F.percentile_approx(F.col("side") * F.pow(k / F.col("n"), 1 / 3), 0.5).alias("h"), F.max("n").alias("most")).first()
+    side = max(farthest, 1e-9)
+    h = max(row["h"] or 0.0, side / 64)
+    if (row["most"] or 0) > CROWD * k:
+        levels = right.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(HALVINGS)))).groupBy("level", "scene", *[F.floor(F.col(c) / h * F.pow(F.lit(2.0), F.col("level"))).alias(f"__c{c}") for c in "xyz"])
+        most = {r["level"]: r["most"] for r in levels.count().groupBy("level").agg(F.max("count").alias("most")).collect()}
+        h /= 2 ** min((i for i, n in most.items() if n <= CROWD * k), default=HALVINGS)
+    return h, side
 
 
-def knn(left: DataFrame, right: DataFrame, k: int, other: bool = False) -> DataFrame:
+def _few_of_a_place(right: DataFrame, k: int) -> DataFrame:
+    """The k rows of the lowest ids of each place: no point has more of its nearest there.  Tasks keep k of a place before the shuffle."""
+    place = ["scene", *"xyz"]
+    near = right.withColumn("__part", F.spark_partition_id())
+    near = near.withColumn("__k", F.row_number().over(W.partitionBy(*place, "__part").orderBy("id"))).filter(F.col("__k") <= k)
+    return near.withColumn("__k", F.row_number().over(W.partitionBy(*place).orderBy("id"))).filter(F.col("__k") <= k).select(*place, "id")
+
+
+def knn(left: DataFrame, right: DataFrame, k: int, other: bool = False, farthest: float | None = None) -> DataFrame:
     """(scene, src, dst, dist, rank): for each row of left its k nearest of right (scene, id, x, y, z), ties by id.
 
     other: rows of equal id are not neighbours.  The candidates of a point are exact once its k-th distance is
     within the cell width; the points for which it isn't go on with cells twice as wide, so the number of rounds is the logarithm of
-    the extent.  A scene with fewer than k other points gives all it has.
+    the extent.  A scene with fewer than k other points gives all it has.  farthest: neighbours beyond it aren't asked for.
     """
-    left, right = cut(left.select("scene", "id", *"xyz"), "knn-left"), cut(right.select("scene", "id", *"xyz"), "knn-right")
-    h, side = _first_width(right, k + 1)
-    reach = left.agg(*[F.max(F.abs(c)) for c in "xyz"]).first()
-    done, side = None, 2 * max([side, *(2 * (x or 0.0) for x in reach)])
+    left = cut(left.select("scene", "id", *"xyz"), "knn-left")
+    right = cut(_few_of_a_place(right.select("scene", "id", *"xyz"), k + other), "knn-right")
+    reach = left.select("x", "y", "z").unionByName(right.select("x", "y", "z")).agg(*[F.max(F.abs(c)) for c in "xyz"]).first()
+    all_of_it = 4 * max(x or 0.0 for x in reach)
+    h, side = _first_width(right, k + 1, all_of_it if farthest is None else min(all_of_it, farthest))
+    done = None
     while True:
+        h = h if h * 2 < side else side
         near = near_pairs(left, right, h)
         near = near.filter("src != dst") if other else near
+        near = near if farthest is None else near.filter(F.col("dist") <= farthest)
         ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("scene", "src").orderBy("dist", "dst"))).filter(F.col("rank") <= k)
         ranked = cut(ranked, "knn")
         if h >= side:
@@ -64,6 +96,17 @@ def knn(left: DataFrame, right: DataFrame, k: int, other: bool = False) -> DataF
         h *= 2
 
 
+def nearest_of_class(left: DataFrame, right: DataFrame, farthest: float) -> DataFrame:
+    """(scene, id, prior, dist): for each row of left the nearest of right of its scene and class, ties by id, up to the distance.
+
+    Rows are (scene, class, id, x, y, z); scene and class together are the scene of the neighbour join, so no class is joined with all of itself.
+    """
+    key = F.to_json(F.struct("scene", "class")).alias("scene")
+    near = knn(left.select(key, "id", *"xyz"), right.select(key, "id", *"xyz"), 1, farthest=farthest)
+    here = left.select(key, F.col("scene").alias("of"), F.col("id").alias("src"))
+    return near.join(here, ["scene", "src"]).select(F.col("of").alias("scene"), F.col("src").alias("id"), F.col("dst").alias("prior"), "dist")
+
+
 def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """(scene, src, dst, dist) of all pairs of different ids up to the radius."""
     return near_pairs(left, right, radius).filter((F.col("dist") <= radius) & (F.col("src") != F.col("dst")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.plans import attach, cut
+from ..operators.neighbors import knn
 
 UNKNOWN_CLASS, UNANNOTATED = 12, "unannotated"
 
@@ -28,6 +29,17 @@ def objects(spark: SparkSession, paths: str, codes: dict[str, int], first: int =
     return attach(points, files, ["scene", "path"]).drop("path")
 
 
+def object_labels(room: DataFrame, objects: DataFrame) -> DataFrame:
+    """room (scene, id, x, y, z) with ordinal and label of the object one of whose points has it as nearest; of several the last object.
+
+    objects: (scene, ordinal, label, id, x, y, z), a row per point of an object.  Room points that are nobody's nearest are left out.
+    """
+    near = knn(objects.select("scene", "id", *"xyz"), room.select("scene", "id", *"xyz"), 1)
+    named = near.join(objects.select("scene", F.col("id").alias("src"), "ordinal", "label"), ["scene", "src"])
+    best = named.groupBy("scene", F.col("dst").alias("id")).agg(F.max(F.struct("ordinal", "label")).alias("best"))
+    return room.join(best, ["scene", "id"]).select(*room.columns, "best.ordinal", "best.label")
+
+
 def label_map(spark: SparkSession, path: str, raw: int = 1, to: int = 7) -> DataFrame:
     """(raw_name, name) from a table of tab-separated values with a header."""
     rows = spark.read.option("sep", "\t").option("header", True).csv(path)

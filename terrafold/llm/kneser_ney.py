@@ -3,7 +3,9 @@
 Counting: tasks count the words of their training texts, Spark sums them, and each shard of the vocabulary is
 written as a sorted array of hashes with counts; a word's id is its place.  Bigrams become numbers of two ids, counted per task,
 packed, dealt out by the range of their first word and merged into sorted arrays with the statistics of each
-context; how many different words stand before a word (its continuation count) is dealt out by that word.
+context; how many different words stand before a word (its continuation count) is dealt out by ranges of that word.
+A first word that occurs more than HOT times, such as the start mark, is dealt out by ranges of the second word as well, and the statistics of its
+parts are summed: there are at most as many such words as HOT goes into the tokens.  So no group grows with the corpus.
 Scoring: every worker maps the arrays of the shared folder into memory and looks its texts up; no text is shuffled.
 A text scores after a start mark, and its end is a token like any other.
 
@@ -31,7 +33,7 @@ from .common import bounded_batches, mounted_path, saved, work_dir
 from .words import Words, slices
 
 END = np.uint64(0x5DEECE66D2F1A3B7)
-SHARD_WORDS, SHARD_TOKENS, BUFFER = 2_000_000, 4_000_000, 3_000_000
+SHARD_WORDS, SHARD_TOKENS, BUFFER, HOT, SPLITS = 2_000_000, 4_000_000, 3_000_000, 1_000_000, 4
 LIMIT = 1 << 32
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -45,9 +47,11 @@ def save_array(folder: str, name: str, values: np.ndarray) -> None:
     os.replace(part, f"{folder}/{name}.npy")
 
 
-def load_array(folder: str, name: str, kind: type) -> np.ndarray:
-    path = f"{folder}/{name}.npy"
-    return np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, kind)
+def load_array(folder: str, name: str, kind: type, present: bool) -> np.ndarray:
+    """A mapped array; one that the model has must be there, or the folder isn't shared with this worker."""
+    if not present:
+        return np.zeros(0, kind)
+    return np.load(f"{folder}/{name}.npy", mmap_mode="r")
 
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,10 +109,10 @@ def write_words(table: pa.Table, folder: str) -> pa.Table:
 
 
 class Vocabulary:
-    def __init__(self, folder: str, bits: int, bases: list[int]):
-        self.folder, self.bits, self.bases = folder, bits, np.array(bases)
-        self.words = [load_array(folder, f"words-{p}", np.uint64) for p in range(1 << bits)]
-        self.counts = [load_array(folder, f"counts-{p}", np.int64) for p in range(1 << bits)]
+    def __init__(self, model: dict):
+        self.bits, self.bases = model["bits"], np.array(model["bases"])
+        ends = [*model["bases"][1:], model["size"]]
+        self.words, self.counts = ([load_array(model["folder"], f"{x}-{p}", kind, ends[p] > base) for p, base in enumerate(model["bases"])] for x, kind in (("words", np.uint64), ("counts", np.int64)))
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and training counts."""
@@ -124,8 +128,27 @@ class Vocabulary:
                 counts[a:b][hit] = self.counts[p][at[hit]]
         return ids[inverse], counts[inverse]
 
-    def shard_of(self, ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.bases, ids, "right") - 1
+
+class Dealer:
+    """Which shard a bigram is in: by the range of its first word, and the ranges of the second one if the first is hot."""
+
+    def __init__(self, model: dict):
+        self.shards, self.size = model["shards"], model["size"]
+        self.hot = np.array(sorted(model["hot"]), np.int64)
+        self.parts = np.array([-(-model["hot"][v] // HOT) for v in self.hot.tolist()], np.int64)
+
+    def split(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether words are hot, and into how many parts they are dealt."""
+        if not len(self.hot):
+            return np.zeros(len(v), bool), np.ones(len(v), np.int64)
+        at = np.minimum(np.searchsorted(self.hot, v), len(self.hot) - 1)
+        found = self.hot[at] == v
+        return found, np.where(found, self.parts[at], 1)
+
+    def shard_of(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        hot, parts = self.split(v)
+        part = np.where(hot, 1 + w * parts // (self.size + 1), 0)
+        return (v * self.shards // (self.size + 1) << 24) + part
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
@@ -160,13 +183,15 @@ def bigram_keys(ids: np.ndarray, bounds: np.ndarray, start: int) -> np.ndarray:
 
 
 def bigram_rows(batches: Iterable[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
-    vocabulary = Vocabulary(model["folder"], model["bits"], model["bases"])
+    vocabulary, dealer = Vocabulary(model), Dealer(model)
     held: list[np.ndarray] = []
     size = 0
 
     def flushed() -> pa.RecordBatch:
         keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        return packed_batch((keys >> np.uint64(32)).astype(np.int64) * model["shards"] // (model["size"] + 1), keys, counts)
+        shards = dealer.shard_of((keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(LIMIT - 1)).astype(np.int64))
+        order = np.argsort(shards, kind="stable")
+        return packed_batch(shards[order], keys[order], counts[order])
 
     for batch in batches:
         for _, _, data, offsets in slices(batch.column(0)):
@@ -184,43 +209,50 @@ def count_of_counts(counts: np.ndarray) -> list[int]:
     return [int((counts == i).sum()) for i in (1, 2, 3, 4)]
 
 
+def statistics(context: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
+    """Per context the sum of its counts and how many of them are 1, 2 and more."""
+    return np.stack([np.bincount(context, weights=x, minlength=width) for x in (counts, counts == 1, counts == 2, counts > 2)], axis=1)
+
+
 def write_bigrams(table: pa.Table, model: dict) -> pa.Table:
-    """A shard of bigrams and of its contexts' statistics; returns continuation counts and the counts of counts."""
+    """A shard of bigrams and of its contexts' statistics; returns continuation counts, the counts of counts, and statistics of hot contexts."""
     shard, shards, size = table.column("shard")[0].as_py(), model["shards"], model["size"]
     keys, counts = unpacked(table)
     save_array(model["folder"], f"bigrams-{shard}", keys)
     save_array(model["folder"], f"bigram-counts-{shard}", counts.astype(np.uint32 if not len(counts) or counts.max() < LIMIT else np.uint64))
-    low = -(-shard * (size + 1) // shards)
-    context = (keys >> np.uint64(32)).astype(np.int64) - low
-    width = -(-(shard + 1) * (size + 1) // shards) - low
-    stats = np.stack([np.bincount(context, weights=x, minlength=width) for x in (counts, counts == 1, counts == 2, counts > 2)], axis=1)
-    save_array(model["folder"], f"contexts-{shard}", stats)
+    v = (keys >> np.uint64(32)).astype(np.int64)
+    hot: dict[int, list[int]] = {}
+    if shard & ((1 << 24) - 1):
+        words, context = np.unique(v, return_inverse=True)
+        hot = dict(zip(words.tolist(), statistics(context, counts, len(words)).astype(np.int64).tolist(), strict=True))
+    else:
+        low, high = (-(-x * (size + 1) // shards) for x in (shard >> 24, (shard >> 24) + 1))
+        save_array(model["folder"], f"contexts-{shard >> 24}", statistics(v - low, counts, high - low))
     words, before = np.unique(keys & np.uint64(LIMIT - 1), return_counts=True)
-    to = np.searchsorted(np.array(model["bases"]), words.astype(np.int64), "right") - 1
-    out = pa.Table.from_batches([packed_batch(to, words, before)])
-    counted = json.dumps([*count_of_counts(counts), len(keys)]).encode()
-    return pa.concat_tables([out, pa.table({"shard": pa.array([-1], pa.int64()), "keys": pa.array([counted], pa.binary()), "counts": pa.array([b""], pa.binary())})])
+    out = pa.Table.from_batches([packed_batch(words.astype(np.int64) * model["ranges"] // size, words, before)])
+    facts = json.dumps({"shard": shard, "counts": [*count_of_counts(counts), len(keys)], "hot": hot}).encode()
+    return pa.concat_tables([out, pa.table({"shard": pa.array([-1], pa.int64()), "keys": pa.array([facts], pa.binary()), "counts": pa.array([b""], pa.binary())})])
 
 
 def write_continuations(table: pa.Table, model: dict) -> pa.Table:
-    """How many different words stand before each word of a shard of the vocabulary."""
-    shard = table.column("shard")[0].as_py()
+    """How many different words stand before each word of a range of the vocabulary."""
+    part = table.column("shard")[0].as_py()
     words, before = unpacked(table)
-    bases = [*model["bases"], model["size"]]
-    counts = np.zeros(bases[shard + 1] - bases[shard], np.int64)
-    counts[words.astype(np.int64) - bases[shard]] = before
-    save_array(model["folder"], f"continuations-{shard}", counts)
+    low, high = (-(-x * model["size"] // model["ranges"]) for x in (part, part + 1))
+    counts = np.zeros(high - low, np.int64)
+    counts[words.astype(np.int64) - low] = before
+    save_array(model["folder"], f"continuations-{part}", counts)
     n = count_of_counts(counts)
-    return pa.table({f"n{i}": pa.array([x], pa.int64()) for i, x in enumerate((*n, int((counts > 2).sum())), 1)})
+    return pa.table({"part": pa.array([part], pa.int64()), **{f"n{i}": pa.array([x], pa.int64()) for i, x in enumerate((*n, int((counts > 2).sum())), 1)}})
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
-    """Modified Kneser-Ney discounts for counts 1, 2 and more; plain ones where a count of counts is 0."""
+    """Modified Kneser-Ney discounts for counts 1, 2 and more; plain ones where a count of counts is 0, and never less than a tenth, so that every context leaves something for new words."""
     if not n1 or not n2:
         return [0.5, 0.5, 0.5]
     y = n1 / (n1 + 2 * n2)
     d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.0]
-    return [min(max(x, 0.0), i + 1.0) for i, x in enumerate(d)]
+    return [min(max(x, 0.1), i + 1.0) for i, x in enumerate(d)]
 
 
 def discounted(counts: np.ndarray, d: list[float]) -> np.ndarray:
@@ -233,19 +265,35 @@ class Model:
     def __init__(self, model: dict):
         self.m = model
         folder = model["folder"]
-        self.vocabulary = Vocabulary(folder, model["bits"], model["bases"])
-        self.continuations = [load_array(folder, f"continuations-{p}", np.int64) for p in range(1 << model["bits"])]
-        self.shards = [tuple(load_array(folder, f"{x}-{s}", np.int64) for x in ("bigrams", "bigram-counts", "contexts")) for s in range(model["shards"])]
+        self.vocabulary, self.dealer = Vocabulary(model), Dealer(model)
+        parts = set(model["parts"])
+        self.continuations = [load_array(folder, f"continuations-{p}", np.int64, p in parts) for p in range(model["ranges"])]
+        self.bigrams = {s: tuple(load_array(folder, f"{x}-{s}", np.int64, True) for x in ("bigrams", "bigram-counts")) for s in model["present"]}
+        self.contexts = {s >> 24: load_array(folder, f"contexts-{s >> 24}", np.float64, True) for s in model["present"] if not s & ((1 << 24) - 1)}
+        self.hot_stats = np.array([model["statistics"][v] for v in self.dealer.hot.tolist()], float).reshape(-1, 4)
 
     def lower(self, ids: np.ndarray) -> np.ndarray:
         """q of each word."""
         m = self.m
         out = np.full(len(ids), 1.0 / (m["size"] + 1) * (m["rest"] if m["bigrams"] else 1.0))
-        shard = self.vocabulary.shard_of(ids)
-        for p in np.unique(shard[ids >= 0]).tolist():
-            at = np.flatnonzero((shard == p) & (ids >= 0))
+        part = np.where(ids >= 0, ids * m["ranges"] // max(1, m["size"]), -1)
+        for p in np.unique(part[ids >= 0]).tolist():
+            at = np.flatnonzero(part == p)
             if len(self.continuations[p]):
-                out[at] += discounted(self.continuations[p][ids[at] - m["bases"][p]], m["lower"]) / m["bigrams"]
+                out[at] += discounted(self.continuations[p][ids[at] - -(-p * m["size"] // m["ranges"])], m["lower"]) / m["bigrams"]
+        return out
+
+    def context(self, v: np.ndarray) -> np.ndarray:
+        """The statistics of contexts; 0 of one never seen."""
+        out = np.zeros((len(v), 4))
+        hot, _ = self.dealer.split(v)
+        if hot.any():
+            out[hot] = self.hot_stats[np.searchsorted(self.dealer.hot, v[hot])]
+        shard = np.where((v >= 0) & ~hot, v * self.m["shards"] // (self.m["size"] + 1), -1)
+        for s in np.unique(shard[shard >= 0]).tolist():
+            if s in self.contexts:
+                at = np.flatnonzero(shard == s)
+                out[at] = self.contexts[s][v[at] - -(-s * (self.m["size"] + 1) // self.m["shards"])]
         return out
 
     def log10(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -258,20 +306,19 @@ class Model:
         pairs, inverse = np.unique(pairs, return_inverse=True)
         v, w = (pairs >> np.uint64(32)).astype(np.int64) - 1, (pairs & np.uint64(LIMIT - 1)).astype(np.int64) - 1
         q = self.lower(w)
-        p = q.copy()
-        shard = np.where(v >= 0, v * m["shards"] // (m["size"] + 1), -1)
-        cuts = np.searchsorted(shard, np.arange(m["shards"] + 1))
-        for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            keys, counts, contexts = self.shards[s]
-            if a == b or not len(keys):
-                continue
-            wanted = v[a:b].astype(np.uint64) << np.uint64(32) | np.maximum(w[a:b], 0).astype(np.uint64)
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            c = np.where((keys[at] == wanted) & (w[a:b] >= 0), counts[at], 0).astype(np.int64)
-            stats = contexts[v[a:b] - -(-s * (m["size"] + 1) // m["shards"])]
-            seen = stats[:, 0] > 0
-            total = np.where(seen, stats[:, 0], 1.0)
-            p[a:b] = np.where(seen, discounted(c, m["upper"]) / total + (stats[:, 1:] @ np.array(m["upper"])) / total * q[a:b], q[a:b])
+        c = np.zeros(len(pairs), np.int64)
+        shard = np.where((v >= 0) & (w >= 0), self.dealer.shard_of(np.maximum(v, 0), np.maximum(w, 0)), -1)
+        for s in np.unique(shard[shard >= 0]).tolist():
+            keys, counts = self.bigrams.get(s, ((), ()))
+            if len(keys):
+                here = np.flatnonzero(shard == s)
+                wanted = v[here].astype(np.uint64) << np.uint64(32) | w[here].astype(np.uint64)
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                c[here] = np.where(keys[at] == wanted, counts[at], 0)
+        stats = self.context(v)
+        seen = stats[:, 0] > 0
+        total = np.where(seen, stats[:, 0], 1.0)
+        p = np.where(seen, discounted(c, m["upper"]) / total + (stats[:, 1:] @ np.array(m["upper"])) / total * q, q)
         return np.log10(p)[inverse]
 
 
@@ -304,14 +351,25 @@ def trained(texts: DataFrame) -> dict:
     shard = F.shiftrightunsigned("hash", 64 - bits) if bits else F.lit(0).cast("long")
     sizes = {r["shard"]: r["size"] for r in words.withColumn("shard", shard).groupBy("shard").applyInArrow(lambda t: write_words(t, folder), "shard long, size long").collect()}
     bases = np.cumsum([0, *(sizes.get(p, 0) for p in range(1 << bits))]).tolist()
-    model = {"folder": folder, "bits": bits, "bases": bases[:-1], "size": size, "tokens": tokens or 0, "shards": max(1, -(-(tokens or 0) // SHARD_TOKENS))}
+    shards = max(1, -(-(tokens or 0) // SHARD_TOKENS))
+    model = {"folder": folder, "bits": bits, "bases": bases[:-1], "size": size, "tokens": tokens or 0, "shards": shards, "ranges": SPLITS * shards}
+    vocabulary = Vocabulary(model)
+    frequent = {r["hash"]: r["count"] for r in words.filter(F.col("count") > HOT).collect()}  # at most tokens / HOT
+    ids, _ = vocabulary.look_up(np.array([END.view(np.int64), *frequent], np.int64).view(np.uint64))
+    texts_seen = int(vocabulary.look_up(np.array([END]))[1][0])
+    model["hot"] = {v: n for v, n in [(size, texts_seen), *zip(ids[1:].tolist(), frequent.values(), strict=True)] if n > HOT}
     pairs = texts.mapInArrow(lambda x: bigram_rows(x, model), "shard long, keys binary, counts binary")
     counted = saved(pairs.groupBy("shard").applyInArrow(lambda t: write_bigrams(t, model), "shard long, keys binary, counts binary"), f"{work}/continuations")
-    upper = [json.loads(bytes(r["keys"])) for r in counted.filter("shard < 0").select("keys").collect()]
-    lower = counted.filter("shard >= 0").groupBy("shard").applyInArrow(lambda t: write_continuations(t, model), ", ".join(f"n{i} long" for i in range(1, 6))).collect()
-    upper, lower = np.array(upper, np.int64).reshape(-1, 5).sum(axis=0).tolist(), np.array([tuple(r) for r in lower], np.int64).reshape(-1, 5).sum(axis=0).tolist()
-    model |= {"bigrams": upper[4], "upper": discounts(*upper[:4]), "lower": discounts(*lower[:4])}
-    model["rest"] = sum(d * n for d, n in zip(model["lower"], (lower[0], lower[1], lower[4]), strict=True)) / max(1, upper[4])
+    facts = [json.loads(bytes(r["keys"])) for r in counted.filter("shard < 0").select("keys").collect()]
+    lower = counted.filter("shard >= 0").groupBy("shard").applyInArrow(lambda t: write_continuations(t, model), "part long, " + ", ".join(f"n{i} long" for i in range(1, 6))).collect()
+    stats: dict[int, np.ndarray] = {v: np.zeros(4, np.int64) for v in model["hot"]}
+    for x in facts:
+        for v, found in x["hot"].items():
+            stats[int(v)] += np.array(found)
+    upper = np.array([x["counts"] for x in facts], np.int64).reshape(-1, 5).sum(axis=0).tolist()
+    low = np.array([tuple(r)[1:] for r in lower], np.int64).reshape(-1, 5).sum(axis=0).tolist()
+    model |= {"bigrams": upper[4], "upper": discounts(*upper[:4]), "lower": discounts(*low[:4]), "present": [x["shard"] for x in facts], "parts": [r["part"] for r in lower]}
+    model |= {"statistics": {v: x.tolist() for v, x in stats.items()}, "rest": sum(d * n for d, n in zip(discounts(*low[:4]), (low[0], low[1], low[4]), strict=True)) / max(1, upper[4])}
     return model
 
 

@@ -4,6 +4,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.compute  # noqa: F401
 import pytest
 from corpus import SCHEMA, frame, held_out, lower, rows, words
 from pyspark.sql import functions as F
@@ -50,6 +51,7 @@ class BruteForceModel:
 
 @pytest.mark.parametrize("shard_words,shard_tokens,buffer", [(2_000_000, 4_000_000, 3_000_000), (20, 200, 150)])
 def test_kneser_ney(spark, monkeypatch, shard_words, shard_tokens, buffer):
+    """Whole and in many shards; null and empty texts, unknown words and a very long text included."""
     monkeypatch.setattr(kneser_ney, "SHARD_WORDS", shard_words)
     monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", shard_tokens)
     monkeypatch.setattr(kneser_ney, "BUFFER", buffer)
@@ -66,6 +68,40 @@ def test_kneser_ney(spark, monkeypatch, shard_words, shard_tokens, buffer):
         assert r["score"] == pytest.approx(model.score(t), rel=1e-9), d
 
 
+def test_kneser_ney_deals_hot_words_out(tmp_path, monkeypatch):
+    """Words that occur often are in shards by their second word, and give the same scores; a file that is missing is an error."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(kneser_ney, "HOT", 5)
+    texts = [t for _, t, *_ in rows() if t] + ["the the the end"] * 12
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    hashes = np.unique(np.concatenate([kneser_ney.tokens_of(data, offsets)[0] for _, _, data, offsets in kneser_ney.slices(batch.column(0))]), return_counts=True)
+    folder, size = str(tmp_path), len(hashes[0])
+    kneser_ney.write_words(pa.table({"shard": [0] * size, "hash": hashes[0].view(np.int64), "count": hashes[1]}), folder)
+    hot = {i: int(n) for i, n in enumerate(hashes[1]) if n > 5} | {size: len(texts)}
+    model = {"folder": folder, "bits": 0, "bases": [0], "size": size, "tokens": int(hashes[1].sum()), "shards": 3, "ranges": 12, "hot": hot}
+    grouped = lambda t: [t.filter(pa.compute.equal(t["shard"], s)) for s in t["shard"].unique().to_pylist()]
+    pairs = pa.Table.from_batches(list(kneser_ney.bigram_rows([batch], model)))
+    assert sum(s.as_py() & ((1 << 24) - 1) > 0 for s in pairs["shard"].unique()) > 5
+    out = pa.concat_tables([kneser_ney.write_bigrams(t, model) for t in grouped(pairs)])
+    facts = [kneser_ney.json.loads(x.as_py()) for x in out.filter(pa.compute.less(out["shard"], 0))["keys"]]
+    low = pa.concat_tables([kneser_ney.write_continuations(t, model) for t in grouped(out.filter(pa.compute.greater_equal(out["shard"], 0)))])
+    upper, lower = np.sum([x["counts"] for x in facts], axis=0).tolist(), [sum(low[f"n{i}"].to_pylist()) for i in range(1, 6)]
+    stats = {v: np.zeros(4) for v in hot}
+    for x in facts:
+        for v, s in x["hot"].items():
+            stats[int(v)] += s
+    model |= {"bigrams": upper[4], "upper": kneser_ney.discounts(*upper[:4]), "lower": kneser_ney.discounts(*lower[:4]), "present": [x["shard"] for x in facts], "parts": low["part"].to_pylist(), "statistics": stats}
+    model["rest"] = sum(d * n for d, n in zip(model["lower"], (lower[0], lower[1], lower[4]), strict=True)) / upper[4]
+    brute = BruteForceModel(texts)
+    asked = ["the the unheard end", *texts[:20]]
+    [scored] = [x for data in [pa.RecordBatch.from_arrays([pa.array(range(21)), pa.array([False] * 21), pa.array(asked)], names=["a", "b", "c"])] for x in kneser_ney.score_rows([data], model)]
+    assert scored.column(6).to_pylist() == pytest.approx([brute.score(t) for t in asked], rel=1e-9)
+    next(tmp_path.glob("bigrams-*.npy")).unlink()
+    with pytest.raises(FileNotFoundError):
+        kneser_ney.Model(model)
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     model = BruteForceModel([t for _, t, *_ in rows()])
     for v in list(model.after)[:5]:

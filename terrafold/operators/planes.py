@@ -14,8 +14,8 @@ def _hash(seed: int) -> Column:
 
 
 def hypotheses(points: DataFrame, n: int, seed: int) -> DataFrame:
-    """(scene, planes): up to n planes a x + b y + c z + d = 0 of unit normals through three points each, those of the smallest hashes."""
-    keyed = points.select("scene", *"xyz").withColumn("h", _hash(seed)).withColumn("part", F.spark_partition_id())
+    """(scene, planes): up to n planes a x + b y + c z + d = 0 of unit normals through three points each, those of the smallest hashes; copies of a point count once."""
+    keyed = points.select("scene", *"xyz").distinct().withColumn("h", _hash(seed)).withColumn("part", F.spark_partition_id())
     near = keyed.withColumn("k", F.row_number().over(W.partitionBy("scene", "part").orderBy("h", *"xyz"))).filter(F.col("k") <= 3 * n)
     chosen = near.withColumn("k", F.row_number().over(W.partitionBy("scene").orderBy("h", *"xyz")) - 1).filter(F.col("k") < 3 * n)
     threes = chosen.groupBy("scene", F.expr("k div 3").alias("number")).agg(F.sort_array(F.collect_list(F.struct("k", *"xyz"))).alias("p")).filter(F.size("p") == 3)
@@ -32,11 +32,11 @@ def _near(plane: Column, threshold: float) -> Column:
     return F.abs(plane["a"] * F.col("x") + plane["b"] * F.col("y") + plane["c"] * F.col("z") + plane["d"]) < threshold
 
 
-def walls(points: DataFrame, threshold: float, most: int, least_points: int, n: int = 32) -> DataFrame:
+def walls(points: DataFrame, threshold: float, most: int, least_points: int, n: int = 200) -> DataFrame:
     """(scene, wall, a, b, c, d, points): up to `most` planes per scene, each with the points that it takes from the rest.
 
-    A round counts the points near each of the scene's hypotheses, one column per hypothesis, so no row is multiplied;
-    the best one's points leave.  A scene goes on while it has at least least_points points.
+    A round counts the points near each of the scene's n hypotheses; a point gives only those that it is near to, and they are summed
+    before the shuffle.  The best one's points leave.  A scene goes on while it has at least least_points points.
     """
     rest, found = cut(points.select("scene", *"xyz")), None
     for wall in range(most):
@@ -44,10 +44,12 @@ def walls(points: DataFrame, threshold: float, most: int, least_points: int, n:
         if enough.isEmpty():
             break
         rest = rest.join(enough.select("scene"), "scene", "left_semi")
-        planned = attach(rest, hypotheses(rest, n, wall), ["scene"])
-        counted = planned.groupBy("scene").agg(*[F.count_if(F.coalesce(_near(F.get("planes", F.lit(i)), threshold), F.lit(False))).alias(f"n{i}") for i in range(n)], F.first("planes").alias("planes"))
-        best = F.array_max(F.array(*[F.struct(F.col(f"n{i}").alias("points"), F.lit(-i).alias("at")) for i in range(n)]))
-        chosen = counted.withColumn("best", best).withColumn("plane", F.get("planes", -F.col("best.at"))).filter(F.col("best.points") > 0)
+        hypothesised = cut(hypotheses(rest, n, wall), "planes")
+        planned = rest.join(hypothesised, "scene")
+        near_to = F.filter(F.transform("planes", lambda plane, i: F.when(_near(plane, threshold), i)), lambda i: i.isNotNull())
+        counted = planned.select("scene", F.explode(near_to).alias("at")).groupBy("scene", "at").agg(F.count(F.lit(1)).alias("points"))
+        best = counted.groupBy("scene").agg(F.max(F.struct("points", (-F.col("at")).alias("at"))).alias("best"))
+        chosen = best.join(hypothesised, "scene").withColumn("plane", F.get("planes", -F.col("best.at")))
         chosen = cut(chosen.select("scene", F.lit(wall).alias("wall"), *[F.col(f"plane.{c}").alias(c) for c in "abcd"], F.col("best.points").alias("points")))
         found = chosen if found is None else found.unionByName(chosen)
         plane = {c: F.col(f"__{c}") for c in "abcd"}

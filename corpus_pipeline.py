@@ -1,4 +1,9 @@
-"""From raw documents to packed training windows: each stage works on all that the one before it kept."""
+"""From raw documents to packed training windows: each stage works on all that the one before it kept.
+
+Defined results: rows go by numbers or by id and text, so documents without an id, or that share one, are told apart; a null or empty text
+fails the quality rules; of equal texts the largest id stays, of near copies the smallest, and what ties is decided by the text's hash or the row's
+place; a text of any length is read whole; extra columns, whatever their names, go along up to the last stage; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 

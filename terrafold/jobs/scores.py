@@ -149,6 +149,19 @@ ORACLES = {
         c AS (SELECT class, score, sum(tp) OVER w / CAST(sum(n) OVER w AS DOUBLE) AS p, sum(tp) OVER w / CAST(real AS DOUBLE) AS q FROM a JOIN t USING (class) WINDOW w AS (PARTITION BY class ORDER BY score DESC)),
         s AS (SELECT class, p * (coalesce(lag(q) OVER u, q) - coalesce(lead(q) OVER u, 0)) / 2 + CASE WHEN lead(q) OVER u IS NULL THEN q / 2 ELSE 0 END AS area FROM c WINDOW u AS (PARTITION BY class ORDER BY score))
         SELECT t.class, round(CASE WHEN real > 0 THEN coalesce((SELECT sum(area) FROM s WHERE s.class = t.class), 0) END, 6) AS ap FROM t""",
+    "instance_ap25": f"""WITH RECURSIVE {scene_sql(1)}, o AS (SELECT scene, gt, pred, conf, row_number() OVER (PARTITION BY scene ORDER BY gt, pred) AS k FROM found WHERE iou > CAST(0.25 AS DOUBLE) AND gt_size >= 100),
+        w AS (SELECT DISTINCT scene, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS gt, CAST(NULL AS DOUBLE) AS best, CAST([] AS BIGINT[]) AS used, CAST(NULL AS DOUBLE) AS wrong FROM gts UNION ALL
+          SELECT scene, k, gt, CASE WHEN skip THEN b ELSE greatest(coalesce(b, conf), conf) END, CASE WHEN NOT skip AND b IS NULL THEN list_append(used, pred) ELSE used END, CASE WHEN NOT skip AND b IS NOT NULL THEN least(b, conf) END
+          FROM (SELECT o.*, w.used, list_contains(w.used, o.pred) AS skip, CASE WHEN o.gt = w.gt THEN w.best END AS b FROM w JOIN o ON o.scene = w.scene AND o.k = w.k + 1)),
+        m AS (SELECT scene, gt, max_by(best, k) AS best FROM w WHERE gt IS NOT NULL AND best IS NOT NULL GROUP BY scene, gt),
+        r AS (SELECT best AS score, 1 AS tp, 0 AS fp, 0 AS missed FROM m UNION ALL SELECT wrong, 0, 1, 0 FROM w WHERE wrong IS NOT NULL
+          UNION ALL SELECT NULL, 0, 0, 1 FROM gts WHERE gt_size >= 100 AND NOT EXISTS (SELECT 1 FROM m WHERE m.scene = gts.scene AND m.gt = gts.gt)
+          UNION ALL SELECT conf, 0, 1, 0 FROM preds q WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.scene = q.scene AND f.pred = q.pred AND f.iou > CAST(0.25 AS DOUBLE))
+            AND coalesce((SELECT sum(common) FROM found f WHERE f.scene = q.scene AND f.pred = q.pred AND f.gt_size < 100), 0) / pred_size <= CAST(0.25 AS DOUBLE)),
+        t AS (SELECT sum(tp) + sum(missed) AS real FROM r), a AS (SELECT score, sum(tp) AS tp, sum(tp + fp) AS n FROM r WHERE score IS NOT NULL GROUP BY score),
+        c AS (SELECT score, sum(tp) OVER d / CAST(sum(n) OVER d AS DOUBLE) AS p, sum(tp) OVER d / CAST((SELECT real FROM t) AS DOUBLE) AS q FROM a WINDOW d AS (ORDER BY score DESC)),
+        s AS (SELECT p * (coalesce(lag(q) OVER u, q) - coalesce(lead(q) OVER u, 0)) / 2 + CASE WHEN lead(q) OVER u IS NULL THEN q / 2 ELSE 0 END AS area FROM c WINDOW u AS (ORDER BY score))
+        SELECT CAST(0 AS BIGINT) AS class, round(sum(area), 6) AS ap FROM s""",
     "instance_ap_table": f"WITH {_TABLE} SELECT class, round(ap, 6) AS ap, round(ap50, 6) AS ap50, round(ap25, 6) AS ap25 FROM e",
     "mean_ap": f"WITH {_TABLE} SELECT round(avg(ap), 6) AS ap, round(avg(ap50), 6) AS ap50, round(avg(ap25), 6) AS ap25 FROM e",
     "instance_prec_recall_any_size": f"""WITH {MASKS}, pairs AS (SELECT scene, gt, pred, CAST(count(*) AS DOUBLE) AS n FROM masks GROUP BY ALL), s AS (SELECT *, sum(n) OVER (PARTITION BY scene, gt) AS a, sum(n) OVER (PARTITION BY scene, pred) AS b FROM pairs),

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from ..functions.plans import attach, cut
-from ..operators import geometry, neighbors, order
+from ..functions.plans import cut
+from ..operators import geometry, graph, neighbors, order
 from ..sources import scans
 from ..sources.fixtures import POINTS, points, table
 
@@ -54,24 +53,20 @@ def sp_knn_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
 def radius_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges up to a radius that the narrow graph doesn't have, at most five for a point."""
     p = ids(points(spark, sf_dir))
-    new = neighbors.within(p, p, 0.15).join(neighbors.knn(p, p, 3, other=True), ["scene", "src", "dst"], "left_anti")
-    place = F.row_number().over(W.partitionBy("scene", "src").orderBy("dist", "dst"))
-    return new.withColumn("rank", place.cast("long")).filter("rank <= 5").select("scene", "src", "dst", "rank")
+    found = neighbors.capped(neighbors.within(p, p, 0.15), neighbors.knn(p, p, 3, other=True), 5)
+    return found.withColumn("rank", F.col("rank").cast("long"))
 
 
 def face_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Superpoints that meet in a face; here a face is an order, and its corners are parts."""
-    corners = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("face"), (F.col("l_partkey") % 50).alias("sp")).distinct()
-    other = corners.select("face", F.col("sp").alias("dst"))
-    return corners.join(other, "face").filter("sp != dst").select(F.col("sp").alias("src"), "dst").distinct()
+    return neighbors.face_adjacency(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("face"), (F.col("l_partkey") % 50).alias("group")))
 
 
 def nearest_label_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points take the label of the nearest point of a pruned set."""
     p = ids(points(spark, sf_dir))
-    kept = p.filter("id % 3 = 0")
-    found = neighbors.knn(p, kept, 1)
-    return found.join(kept.select("scene", F.col("id").alias("dst"), "noisy"), ["scene", "dst"]).select("scene", F.col("src").alias("point_idx"), F.col("dst").alias("nearest"), F.col("noisy").alias("label"))
+    found = neighbors.transferred(p, p.filter("id % 3 = 0"), ["noisy"])
+    return found.select("scene", F.col("id").alias("point_idx"), "nearest", F.col("noisy").alias("label"))
 
 
 CUTOFF = 0.12
@@ -94,14 +89,12 @@ def nearest_instance_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whole_scene_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offset of each assigned superpoint to the point-weighted centre of all that belong to its prior."""
     c, a = centroids(spark, sf_dir), cut(assigned(spark, sf_dir))
-    members = a.select("scene", "id", "prior").unionByName(c.filter("id < 3").select("scene", "id", F.col("id").alias("prior"))).join(c, ["scene", "id"])
-    centre = members.groupBy("scene", "prior").agg(*[(F.sum(F.col(v) * F.col("n")) / F.sum("n")).alias(f"c{v}") for v in "xyz"])
-    return members.join(centre, ["scene", "prior"]).select("scene", "id", "prior", *[F.round(F.col(f"c{v}") - F.col(v), 6).alias(f"o{v}") for v in "xyz"])
+    members = a.select("scene", "id", "prior").unionByName(c.filter("id < 3").select("scene", "id", F.col("id").alias("prior")))
+    return graph.pooled_offsets(members, c).select("scene", "id", "prior", *[F.round(f"o{v}", 6).alias(f"o{v}") for v in "xyz"])
 
 
 def edge_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = cut(edges(spark, sf_dir, 5))
-    return attach(e, e.groupBy("scene").agg(F.avg("dist").alias("mean")), ["scene"]).select("scene", "src", "dst", F.round(1 / (1 + F.col("dist") / F.col("mean")), 6).alias("weight"))
+    return graph.closeness(cut(edges(spark, sf_dir, 5))).select("scene", "src", "dst", F.round("weight", 6).alias("weight"))
 
 
 def local_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,10 +140,9 @@ def object_point_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def submission_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of superpoints, given to their points and from these to the full cloud's nearest ones; files count from 1."""
     p = ids(points(spark, sf_dir))
-    kept = p.filter("id % 3 = 0")
     classes = p.groupBy("scene", "sp").agg(F.min("noisy").alias("label"))
-    near = neighbors.knn(p, kept, 1).join(kept.select("scene", F.col("id").alias("dst"), "sp"), ["scene", "dst"])
-    return near.join(classes, ["scene", "sp"]).select("scene", F.col("src").alias("point_idx"), (F.col("label") + 1).alias("code"))
+    near = neighbors.transferred(p, p.filter("id % 3 = 0"), ["sp"])
+    return near.join(classes, ["scene", "sp"]).select("scene", F.col("id").alias("point_idx"), (F.col("label") + 1).alias("code"))
 
 
 def knn_graph_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,10 +156,7 @@ def knn_graph_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def standardise_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """z-scores of edge lengths per scene; a scene without spread is divided by 1."""
-    e = cut(edges(spark, sf_dir, 5))
-    spread = e.groupBy("scene").agg(F.avg("dist").alias("mean"), F.stddev_pop("dist").alias("sd"))
-    z = (F.col("dist") - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
-    return attach(e, spread, ["scene"]).select("scene", "src", "dst", F.round(z, 5).alias("z"))
+    return graph.standardised(cut(edges(spark, sf_dir, 5)), ["dist"]).select("scene", "src", "dst", F.round("z_dist", 5).alias("z"))
 
 
 QUERIES = {

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.plans import cut
+from ..functions.plans import attach, cut
 
 UNLABELLED = -100
 
@@ -23,6 +23,29 @@ def same_instance(a: Column, b: Column) -> Column:
     return F.when((a == UNLABELLED) | (b == UNLABELLED), 0).when(a == b, -1).otherwise(1)
 
 
+def closeness(edges: DataFrame, strength: float = 1.0) -> DataFrame:
+    """edges with weight: 1 / (strength + dist / mean dist of the scene)."""
+    mean = edges.groupBy("scene").agg(F.avg("dist").alias("__mean"))
+    return attach(edges, mean, ["scene"]).select(*edges.columns, (1 / (strength + F.col("dist") / F.col("__mean"))).alias("weight"))
+
+
+def standardised(rows: DataFrame, values: list[str]) -> DataFrame:
+    """rows with z_value of each value: less its scene's mean, over its deviation, or over 1 without any."""
+    spread = rows.groupBy("scene").agg(*[f(v).alias(f"__{n}{v}") for v in values for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+    z = [((F.col(v) - F.col(f"__mean{v}")) / F.when(F.col(f"__sd{v}") > 0, F.col(f"__sd{v}")).otherwise(1.0)).alias(f"z_{v}") for v in values]
+    return attach(rows, spread, ["scene"]).select(*rows.columns, *z)
+
+
+def pooled_offsets(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(scene, id, prior, ox, oy, oz): from each member's centre to the point-weighted centre of all members of its prior.
+
+    members: (scene, id, prior); nodes: (scene, id, x, y, z, n).
+    """
+    rows = members.join(nodes.select("scene", "id", *"xyz", "n"), ["scene", "id"])
+    centre = rows.groupBy("scene", "prior").agg(*[(F.sum(F.col(v) * F.col("n")) / F.sum("n")).alias(f"c{v}") for v in "xyz"])
+    return rows.join(centre, ["scene", "prior"]).select("scene", "id", "prior", *[(F.col(f"c{v}") - F.col(v)).alias(f"o{v}") for v in "xyz"])
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges with both ends among the nodes."""
     a, b = nodes.select("scene", F.col("id").alias("src")), nodes.select("scene", F.col("id").alias("dst"))

@@ -116,3 +116,21 @@ def both_ways(edges: DataFrame) -> DataFrame:
     """The distinct edges (scene, src, dst) and their opposites."""
     one = edges.select("scene", "src", "dst")
     return one.unionByName(one.select("scene", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+
+
+def capped(edges: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """(scene, src, dst, rank): the k nearest edges (scene, src, dst, dist) of each source that `known` doesn't have, ties by id."""
+    place = F.row_number().over(W.partitionBy("scene", "src").orderBy("dist", "dst"))
+    return edges.join(known, ["scene", "src", "dst"], "left_anti").withColumn("rank", place).filter(F.col("rank") <= k).select("scene", "src", "dst", "rank")
+
+
+def face_adjacency(corners: DataFrame) -> DataFrame:
+    """(src, dst), both ways: groups that meet in a face, of rows (face, group); a face has few corners."""
+    one = corners.select("face", F.col("group").alias("src")).distinct()
+    return one.join(one.select("face", F.col("src").alias("dst")), "face").filter("src != dst").select("src", "dst").distinct()
+
+
+def transferred(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """(scene, id, nearest, columns): each row of left with the columns of its nearest row of right."""
+    named = right.select("scene", F.col("id").alias("dst"), *columns)
+    return knn(left, right, 1).join(named, ["scene", "dst"]).select("scene", F.col("src").alias("id"), F.col("dst").alias("nearest"), *columns)

@@ -125,12 +125,12 @@ def _least(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100)
 
 
-def survivors(classes: DataFrame, percent: int) -> DataFrame:
-    """The classes that the first filter leaves."""
-    probes = classes.select("cls", "n", F.explode("probe").alias("token"))
-    common = probes.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token")
-    shared = probes.join(common, "token").groupBy("cls", "n").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.filter(F.col("shared") >= 1 + F.floor(_least(F.col("n"), percent) / 10)).select("cls")
+def survivors(classes: DataFrame, percent: int, folder: str) -> DataFrame:
+    """The classes (cls, n, probe) that the first filter leaves.  Tokens in common are written first, so the two shuffles of all probes don't lie on disk at once."""
+    probes = classes.select("cls", F.explode("probe").alias("token"))
+    common = saved(probes.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token"), f"{folder}/common")
+    shared = saved(probes.join(common, "token").groupBy("cls").agg(F.count(F.lit(1)).alias("shared")), f"{folder}/shared")
+    return shared.join(classes.select("cls", "n"), "cls").filter(F.col("shared") >= 1 + F.floor(_least(F.col("n"), percent) / 10)).select("cls")
 
 
 def rarest_first(full: DataFrame, percent: int) -> DataFrame:
@@ -272,11 +272,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     folder = folder or work_dir(spark, "jaccard")
     texts = docs.select(*keep, docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
-    sets = saved(texts.mapInArrow(lambda x: probe_rows(x, width, percent), f"{schema}, k1 long, k2 long, n long, probe array<long>"), f"{folder}/sets")
-    some = sets.filter("n > 0").groupBy("k1", "k2")
-    classes = saved(some.agg(F.min("doc_id").alias("rep")).withColumn("cls", F.monotonically_increasing_id()), f"{folder}/classes")
-    probes = some.agg(F.first("n").alias("n"), F.first("probe").alias("probe")).join(classes.select("k1", "k2", "cls"), ["k1", "k2"])
-    left = saved(survivors(probes, percent), f"{folder}/survivors")
+    probed = saved(texts.mapInArrow(lambda x: probe_rows(x, width, percent), f"{schema}, k1 long, k2 long, n long, probe array<long>"), f"{folder}/probed")
+    sets = saved(probed.drop("probe"), f"{folder}/sets")
+    classes = probed.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("probe").alias("probe"))
+    classes = saved(classes.withColumn("cls", F.monotonically_increasing_id()), f"{folder}/probes")
+    dropped(spark, f"{folder}/probed")
+    left = saved(survivors(classes, percent, folder), f"{folder}/survivors")
+    classes = saved(classes.drop("n", "probe"), f"{folder}/classes")
+    for name in ("probes", "common", "shared"):
+        dropped(spark, f"{folder}/{name}")
     reps = saved(classes.select("cls", "rep", "k1", "k2").join(left, "cls"), f"{folder}/reps")
     ids = small(reps.select("rep").distinct())
     full = texts.join(ids, texts["doc_id"].eqNullSafe(ids["rep"]), "left_semi").select("text").mapInArrow(lambda x: token_rows(x, width, percent), "k1 long, k2 long, n long, tokens array<long>, other array<long>")

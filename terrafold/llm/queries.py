@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, kneser_ney, language_id, line_dedup, mixing, packing, piece_coding, repetition, secret_scan, url_filters
+from . import exact_dedup, jaccard_join, kneser_ney, language_id, line_dedup, mixing, packing, piece_coding, repetition, secret_scan, url_filters, whitening
 
 QUERIES = {
     "op1_pareto_mixing": mixing.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_kneser_ney_scores": kneser_ney.query,
     "op10_suffix_array_quality": repetition.query,
     "op12_agenda_piece_coding": piece_coding.query,
+    "op13_spectral_whitening": whitening.query,
 }
 
 ORACLES = {

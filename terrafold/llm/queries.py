@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, kneser_ney, language_id, line_dedup, mixing, packing, piece_coding, repetition, secret_scan, url_filters, whitening
+from . import exact_dedup, jaccard_join, kneser_ney, language_id, line_dedup, mixing, packing, piece_coding, repetition, secret_scan, spelling, url_filters, whitening
 
 QUERIES = {
     "op1_pareto_mixing": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_streaming_exact_dedup": exact_dedup.query,
     "op9_kneser_ney_scores": kneser_ney.query,
     "op10_suffix_array_quality": repetition.query,
+    "op11_kd_tree_spelling": spelling.query,
     "op12_agenda_piece_coding": piece_coding.query,
     "op13_spectral_whitening": whitening.query,
 }
@@ -26,4 +27,5 @@ ORACLES = {
     "op6_blob_ledger_secrets": secret_scan.ORACLE,
     "op7_multi_order_jaccard": jaccard_join.ORACLE,
     "op8_streaming_exact_dedup": exact_dedup.ORACLE,
+    "op11_kd_tree_spelling": spelling.ORACLE,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.plans import cut
-from ..operators import cluster, components, graph, planes
+from ..operators import cluster, components, graph, planes, pursuit
 from ..operators.neighbors import distance
 from ..sources.fixtures import POINTS, cloud, points, table
 from .neighbours import COMPARED, DIST, SP_FEATURES, edges, edges_sql, ids
@@ -81,10 +81,10 @@ def instance_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def superpoint_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions of near-equal places over the neighbour graph, edges weighed by their length."""
+    """Regions of near-equal places over the neighbour graph, edges weighed by their length, by splits and merges in turn."""
     e = cut(edges(spark, sf_dir, 5)).withColumn("weight", 1 / (1 + F.col("dist")))
     values = ids(points(spark, sf_dir)).select("scene", "id", F.array(*[F.col(a) for a in "xyz"]).alias("value"))
-    return cluster.merged_regions(e, values, STRENGTH)
+    return pursuit.cut_pursuit(e, values, STRENGTH)
 
 
 def components_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:

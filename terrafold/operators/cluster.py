@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.plans import cut
 from .components import scene_components
+from .fidelity import SQUARED, Fidelity
 from .geometry import compared, superpoint_features
 from .neighbors import knn
 
@@ -114,26 +115,34 @@ def confidence(groups: DataFrame) -> DataFrame:
     return groups.withColumn("conf", F.least(F.col("points") / F.col("voxels"), F.lit(1.0)))
 
 
-def merged_regions(edges: DataFrame, values: DataFrame, strength: float) -> DataFrame:
-    """(scene, id, region): a partition that lowers sum |value - mean of its region|^2 / 2 + strength * sum of the weights of cut edges.
+def merged_regions(edges: DataFrame, values: DataFrame, strength: float, fidelity: Fidelity = SQUARED, start: DataFrame | None = None) -> DataFrame:
+    """(scene, id, region): a partition that lowers the cost of the values at their regions' centres plus strength * sum of the weights of cut edges.
 
-    Regions start as single nodes.  In a round every region finds the neighbour whose merge lowers the energy most (the lowest id of
+    Regions start as single nodes, or as `start` (scene, id, region) has them.  In a round every region finds the neighbour whose merge lowers the energy most (the lowest id of
     a tie), and those that choose each other merge, each once a round; it ends when no merge lowers the energy.  It is the merging half of a
-    cut pursuit, without the splits by maximum flow: all scenes at once, and each round is an aggregation and three joins.
-    edges: (scene, src, dst, weight); values: (scene, id, value array).
+    cut pursuit (`pursuit` has the splits): all scenes at once, and each round is an aggregation and three joins.
+    edges: (scene, src, dst, weight); values: (scene, id, value array) and, if nodes count differently, weight.
     """
     size = len(values.select("value").first()[0]) if not values.isEmpty() else 0
     node = F.struct("scene", F.col("id").alias("id"))
-    regions = cut(values.select(node.alias("node"), node.alias("region")), "regions")
-    obs = cut(values.select(node.alias("node"), "value"), "region-values")
-    links = edges.select(F.struct("scene", F.col("src").alias("id")).alias("a"), F.struct("scene", F.col("dst").alias("id")).alias("b"), "weight").filter("a != b")
-    links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("weight")), "region-links")
-    stats = cut(obs.select(F.col("node").alias("region"), F.lit(1).cast("long").alias("n"), F.col("value").alias("total")), "region-stats")
+    first = values.select(node.alias("node"), node.alias("region")) if start is None else start.select(node.alias("node"), F.struct("scene", F.col("region").alias("id")).alias("region"))
+    regions = cut(first, "regions")
+    weight = F.col("weight") if "weight" in values.columns else F.lit(1.0)
+    obs = cut(values.select(node.alias("node"), weight.cast("double").alias("w"), F.transform("value", lambda v: v * weight).alias("total")), "region-values")
+    links = edges.select(F.struct("scene", F.col("src").alias("id")).alias("a"), F.struct("scene", F.col("dst").alias("id")).alias("b"), "weight")
+    totals = [F.sum("w").alias("w"), F.array(*[F.sum(F.get("total", F.lit(i))) for i in range(size)]).alias("total")]
+    if start is None:
+        stats = obs.select(F.col("node").alias("region"), "w", "total")
+    else:
+        stats = obs.join(regions, "node").groupBy("region").agg(*totals)
+        a, b = regions.select(F.col("node").alias("a"), F.col("region").alias("ra")), regions.select(F.col("node").alias("b"), F.col("region").alias("rb"))
+        links = links.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "weight")
+    links = cut(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("weight")), "region-links")
+    stats = cut(stats, "region-stats")
     while True:
-        one = stats.select(F.col("region").alias("a"), F.col("n").alias("na"), F.col("total").alias("ta"))
-        two = stats.select(F.col("region").alias("b"), F.col("n").alias("nb"), F.col("total").alias("tb"))
-        apart = F.aggregate(F.zip_with("ta", "tb", lambda x, y: F.pow(x / F.col("na") - y / F.col("nb"), 2)), F.lit(0.0), lambda s, x: s + x)
-        gain = F.round(strength * F.col("weight") - 0.5 * F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")) * apart, 12)
+        one = stats.select(F.col("region").alias("a"), F.col("w").alias("wa"), F.col("total").alias("ta"))
+        two = stats.select(F.col("region").alias("b"), F.col("w").alias("wb"), F.col("total").alias("tb"))
+        gain = F.round(strength * F.col("weight") - fidelity.loss(F.col("wa"), F.col("ta"), F.col("wb"), F.col("tb")), 12)
         gains = cut(links.join(one, "a").join(two, "b").select("a", "b", gain.alias("gain")).filter("gain > 0"), "region-gains")
         if gains.isEmpty():
             break
@@ -143,8 +152,7 @@ def merged_regions(edges: DataFrame, values: DataFrame, strength: float) -> Data
         moves = cut(best.join(back, "b").filter((F.col("c") == F.col("a")) & (F.col("b") < F.col("a"))).select(F.col("a").alias("old"), F.col("b").alias("into")), "region-moves")
         to = moves.select(F.col("old").alias("region"), "into")
         regions = cut(regions.join(to, "region", "left").select("node", F.coalesce("into", "region").alias("region")), "regions")
-        summed = stats.join(to, "region", "left").select(F.coalesce("into", "region").alias("region"), "n", "total").groupBy("region")
-        stats = cut(summed.agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("total", F.lit(i))) for i in range(size)]).alias("total")), "region-stats")
+        stats = cut(stats.join(to, "region", "left").select(F.coalesce("into", "region").alias("region"), "w", "total").groupBy("region").agg(*totals), "region-stats")
         a, b = moves.select(F.col("old").alias("a"), F.col("into").alias("to_a")), moves.select(F.col("old").alias("b"), F.col("into").alias("to_b"))
         moved = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"), "weight").filter("a != b")
         links = cut(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("weight")), "region-links")

@@ -7,11 +7,11 @@ The fraction that is left is its inclusion probability p in a sample without rep
 are ranked by the random odds u/(1-u) divided by the inclusion odds p/(1-p), and a source takes its first ones up to a
 fixed size, counted in words: the one that would lead past the rest of the target is taken if half of it fits.
 
-u comes from the MD5 of seed and doc_id, and what is summed is integers: reruns agree, whatever the partitions.
+u comes from the MD5 of seed and doc_id, for a row without an id from that of its text and its number among the rows of equal source and text, and what is summed is integers: reruns agree, whatever the partitions.
 The prefix in rank order is found by a histogram of the ranks per source, so that only one bin of it is ever sorted by one task.
 
 Defined results: a null text has size 0, null sources form a source, the last in order; sources and documents without words
-take nothing (0 copies); a document without an id gets its certain copies and is never drawn; rows with the same doc_id are ranked by size, then alike, and each counts; an empty table gives
+take nothing (0 copies); documents without an id are drawn as others are; rows with the same doc_id are ranked by size, then alike, and each counts; an empty table gives
 no rows.  Columns of docs other than the id, text and source columns are not read.
 """
 
@@ -30,8 +30,30 @@ BUDGET, CAP, TILT, BINS = 1.5, 2.0, 0.5, 4096
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] = ()) -> DataFrame:
-    """The columns `keep`, doc_id, source, size: the words of each document."""
-    return docs.select(*keep, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """The columns `keep`, doc_id, source, size: the words of each document; and __digest, that of its text if it has no id."""
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    digest = F.when(F.col(id_col).isNull(), F.md5(F.coalesce(text_col, F.lit(""))))
+    return docs.select(*keep, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), digest.alias("__digest"))
+
+
+def keyed(sized: DataFrame) -> DataFrame:
+    """sized with `__key`, which a row's random number comes from: the id, or without one the digest and the row's number among those of equal source and digest.
+
+    Such rows are alike, so it is all one which of them has which number.  They are numbered within partitions, and the partitions' counts are added up before: no
+    task sees all copies of a text.
+    """
+    named = sized.filter("doc_id is not null").withColumn("__key", F.col("doc_id").cast("string"))
+    nameless = sized.filter("doc_id is null")
+    if nameless.isEmpty():
+        return named
+    dealt = saved(nameless.withColumn("__part", F.spark_partition_id()), work_dir(sized.sparkSession, "mixing-nameless"))
+    counts = dealt.groupBy("source", "__digest", "__part").agg(F.count(F.lit(1)).alias("__rows"))
+    before = F.sum("__rows").over(W.partitionBy("source", "__digest").orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.select(F.col("source").alias("__of"), F.col("__digest").alias("__text"), F.col("__part").alias("__at"), F.coalesce(before, F.lit(0)).alias("__before"))
+    counts = small(saved(counts, work_dir(sized.sparkSession, "mixing-copies")))
+    joined = dealt.join(counts, F.col("source").eqNullSafe(F.col("__of")) & (F.col("__digest") == F.col("__text")) & (F.col("__part") == F.col("__at")))
+    number = F.col("__before") + F.row_number().over(W.partitionBy("source", "__digest", "__part").orderBy("size"))
+    return named.unionByName(joined.withColumn("__key", F.concat(F.col("__digest"), F.lit(":"), number.cast("string"))).select(*named.columns))
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
@@ -73,8 +95,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     spark = docs.sparkSession
     sized = saved(sizes(docs, id_col, text_col, source_col, keep), work_dir(spark, "mixing-sizes"))
     by_source = saved(targets(sized, weights, budget, cap), work_dir(spark, "mixing-targets"))
-    planned = expected_copies(sized, by_source, cap, tilt)
-    u, p = unit_random(seed, F.col("doc_id")), F.col("p")
+    planned = expected_copies(keyed(sized), by_source, cap, tilt)
+    u, p = unit_random(seed, F.col("__key")), F.col("p")
     planned = planned.withColumn("rank", F.when(p > 0, u / (1.0 - u) / (p / (1.0 - p))))
     planned = planned.withColumn("bin", F.floor(F.col("rank") / (1.0 + F.col("rank")) * BINS).cast("int"))
     planned = saved(planned, work_dir(spark, "mixing-ranks"))

@@ -1,5 +1,6 @@
 """Operators on documents against brute force, and their defined results for odd input."""
 
+import collections
 import hashlib
 import zlib
 
@@ -338,3 +339,32 @@ def test_empty_tables(spark, make):
 def test_held_out_matches_spark(spark):
     got = spark.range(50).select("id", (F.crc32(F.col("id").cast("string")) % 7 == 2).alias("out")).collect()
     assert all(r["out"] == held_out(r["id"], 7) for r in got)
+
+
+def test_mixing_draws_documents_without_an_id(spark):
+    """All ids null, many equal rows among them: every source's words are within half of its largest document of the target, again on other partitions; some of the copies are drawn, some not."""
+    data = [(None, f"word{i} " * (5 + i % 7), "en", ("s1", "s2", None, "s3")[i % 4], 1) for i in range(300)] + [(None, "the same text here", "en", "s3", 1)] * 200 + [(None, None, "en", "s1", 1), (None, "", None, None, 1)]
+    found = []
+    for parts in (3, 7):
+        rows = mixing.mixed(frame(spark, data).repartition(parts)).collect()
+        assert len(rows) == len(data)
+        taken, target = collections.Counter(), {}
+        for r in rows:
+            taken[r["source"]] += r["size"] * r["copies"]
+            target[r["source"]] = r["target"]
+        assert all(abs(taken[s] - t) <= 6 for s, t in target.items())
+        assert len({r["copies"] for r in rows if r["source"] == "s3" and r["size"] == 4}) > 1
+        found.append(collections.Counter((r["source"], r["size"], r["copies"]) for r in rows))
+    assert found[0] == found[1]
+
+
+def test_mixing_stage_keeps_sources_without_ids(spark, tmp_path):
+    """The pipeline's stage takes as many words of each source without ids as the mix with ids does, to half a document."""
+    data = [(i, f"word{i} " * (5 + i % 7), "en", ("s1", "s2", "s3")[i % 3], 1) for i in range(240)]
+    words_of = lambda rows: collections.Counter({s: n for s, n in rows})
+    sums = []
+    for ids in (True, False):
+        docs = frame(spark, [(r[0] if ids else None, *r[1:]) for r in data])
+        out = mixing.stage(spark, docs, str(tmp_path)).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()
+        sums.append(words_of((r["source"], r["n"]) for r in out))
+    assert set(sums[0]) == set(sums[1]) == {"s1", "s2", "s3"} and all(abs(sums[0][s] - sums[1][s]) <= 11 for s in sums[0])

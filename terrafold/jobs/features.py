@@ -1,4 +1,4 @@
-"""Queries on vectors over neighbour graphs, and on partitions by energy."""
+"""Queries on vectors over neighbour graphs, on partitions by energy and on linkage trees."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.plans import cut
-from ..operators import fidelity, pursuit, vectors
+from ..operators import fidelity, hierarchy, pursuit, vectors
 from ..sources.fixtures import POINTS, points, table
 from .neighbours import edges, edges_sql, ids
 
@@ -88,7 +88,26 @@ def label_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _partition(spark, sf_dir, fidelity.LINEAR, 0.1)
 
 
-QUERIES = {f.__name__: f for f in (edge_conditioned_convolution, vector_pools, vector_attention, edge_affinity, partition_energies, divergence_partition, label_partition)}
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in the part of superpoints, linked to their five nearest; a soft label from three shares."""
+    leaves = ids(points(spark, sf_dir)).select("scene", "id", (20 + F.col("id") % 9).alias("count"), distribution().alias("soft"))
+    pairs = edges(spark, sf_dir, 5).select("scene", F.col("src").alias("a"), F.col("dst").alias("b"), "dist")
+    return cut(hierarchy.merge_tree(cut(pairs), cut(leaves)))
+
+
+def linkage_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The average-linkage tree of each scene's neighbour graph."""
+    return _tree(spark, sf_dir)
+
+
+def tree_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaves of the topmost clusters below a height, as proposals of five or more."""
+    tree = _tree(spark, sf_dir)
+    found = hierarchy.top_clusters(tree, tree.filter(F.col("height") < 0.2).select("scene", "node"))
+    return hierarchy.proposals(points(spark, sf_dir), found, "point_idx", 5)
+
+
+QUERIES = {f.__name__: f for f in (edge_conditioned_convolution, vector_pools, vector_attention, edge_affinity, partition_energies, divergence_partition, label_partition, linkage_tree, tree_proposals)}
 
 _NODES = f"""n AS (SELECT label AS scene, vec_id AS id, CAST(embedding[1:{IN}] AS DOUBLE[]) AS f, CAST(embedding[11:{10 + HEAD}] AS DOUBLE[]) AS q, CAST(embedding[21:{20 + HEAD}] AS DOUBLE[]) AS k, CAST(embedding[31:{30 + HEAD}] AS DOUBLE[]) AS v FROM embeddings)"""
 _ATTENTION = f"""{POINTS}, {edges_sql(5)}, {_NODES}, s AS (SELECT e.scene, e.src, e.dst, list_inner_product(a.q, b.k) / sqrt(CAST({HEAD} AS DOUBLE)) * (1 + e.dist) AS s, b.v FROM edges e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst),

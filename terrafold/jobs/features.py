@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.plans import cut
-from ..operators import fidelity, hierarchy, pursuit, vectors
+from ..operators import cluster, delaunay, fidelity, hierarchy, pursuit, vectors
 from ..sources.fixtures import POINTS, points, table
-from .neighbours import edges, edges_sql, ids
+from .neighbours import COMPARED, DIST, SP_FEATURES, edges, edges_sql, ids
 
 IN, OUT, HEAD, STRENGTH = 10, 15, 8, 0.05
+RADIUS, LONGEST = 0.2, 0.25
 
 
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,11 +108,45 @@ def tree_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.proposals(points(spark, sf_dir), found, "point_idx", 5)
 
 
-QUERIES = {f.__name__: f for f in (edge_conditioned_convolution, vector_pools, vector_attention, edge_affinity, partition_energies, divergence_partition, label_partition, linkage_tree, tree_proposals)}
+def delaunay_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the tetrahedra of bounded circumradius."""
+    found = delaunay.delaunay_edges(ids(points(spark, sf_dir)), RADIUS)
+    return found.select("scene", "src", "dst", F.round("length", 6).alias("length"))
+
+
+def delaunay_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short Delaunay edges both ways and the three nearest neighbours."""
+    found = delaunay.delaunay_edges(ids(points(spark, sf_dir)), RADIUS)
+    return delaunay.with_nearest(found, edges(spark, sf_dir, 3), LONGEST)
+
+
+def delaunay_superedges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Superedges of the superpoints over short Delaunay edges, both ways."""
+    p = points(spark, sf_dir)
+    both = delaunay.with_nearest(cut(delaunay.delaunay_edges(ids(p), RADIUS)), edges(spark, sf_dir, 1).limit(0), LONGEST)
+    found = cluster.superedges(cut(both), p, "sp", LONGEST)
+    return found.select("scene", "a", "b", "edges", *[F.round(c, 6).alias(c) for c in found.columns[4:]])
+
+
+QUERIES = {f.__name__: f for f in (edge_conditioned_convolution, vector_pools, vector_attention, edge_affinity, partition_energies, divergence_partition, label_partition, linkage_tree, tree_proposals, delaunay_neighbours, delaunay_dual, delaunay_superedges)}
 
 _NODES = f"""n AS (SELECT label AS scene, vec_id AS id, CAST(embedding[1:{IN}] AS DOUBLE[]) AS f, CAST(embedding[11:{10 + HEAD}] AS DOUBLE[]) AS q, CAST(embedding[21:{20 + HEAD}] AS DOUBLE[]) AS k, CAST(embedding[31:{30 + HEAD}] AS DOUBLE[]) AS v FROM embeddings)"""
 _ATTENTION = f"""{POINTS}, {edges_sql(5)}, {_NODES}, s AS (SELECT e.scene, e.src, e.dst, list_inner_product(a.q, b.k) / sqrt(CAST({HEAD} AS DOUBLE)) * (1 + e.dist) AS s, b.v FROM edges e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst),
     w AS (SELECT *, exp(s - max(s) OVER (PARTITION BY scene, src)) AS e FROM s), z AS (SELECT *, e / sum(e) OVER (PARTITION BY scene, src) AS affinity FROM w)"""
+_SQUARE = {"u": "(ux * ux + uy * uy + uz * uz)", "v": "(vx * vx + vy * vy + vz * vz)", "w": "(wx * wx + wy * wy + wz * wz)"}
+_TURN = {"x": ("y", "z"), "y": ("z", "x"), "z": ("x", "y")}
+_CROSS = lambda a, b, c: f"({a}{_TURN[c][0]} * {b}{_TURN[c][1]} - {a}{_TURN[c][1]} * {b}{_TURN[c][0]})"
+#: All tetrahedra of points within two radii of each other, the centres of their spheres, and those without a point inside.
+_DELAUNAY = f"""g AS (SELECT a.scene, a.point_idx AS a, b.point_idx AS b FROM points a JOIN points b ON a.scene = b.scene AND a.point_idx < b.point_idx WHERE {DIST} <= {2 * RADIUS}),
+    q0 AS (SELECT ab.scene, ab.a, ab.b, ac.b AS c, ad.b AS d FROM g ab JOIN g ac ON ac.a = ab.a AND ac.b > ab.b JOIN g bc ON bc.a = ab.b AND bc.b = ac.b JOIN g ad ON ad.a = ab.a AND ad.b > ac.b JOIN g bd ON bd.a = ab.b AND bd.b = ad.b JOIN g cd ON cd.a = ac.b AND cd.b = ad.b),
+    q1 AS (SELECT q0.*, p.x, p.y, p.z, {", ".join(f"{o}.{e} - p.{e} AS {o}{e}" for o in "uvw" for e in "xyz")} FROM q0 JOIN points p ON p.point_idx = a JOIN points u ON u.point_idx = b JOIN points v ON v.point_idx = c JOIN points w ON w.point_idx = d),
+    q2 AS (SELECT *, 2 * (ux * {_CROSS("v", "w", "x")} + uy * {_CROSS("v", "w", "y")} + uz * {_CROSS("v", "w", "z")}) AS det FROM q1),
+    q3 AS (SELECT *, {", ".join(f"({_SQUARE['u']} * {_CROSS('v', 'w', e)} + {_SQUARE['v']} * {_CROSS('w', 'u', e)} + {_SQUARE['w']} * {_CROSS('u', 'v', e)}) / det AS t{e}" for e in "xyz")} FROM q2 WHERE det <> 0),
+    q4 AS (SELECT *, tx * tx + ty * ty + tz * tz AS r FROM q3 WHERE tx * tx + ty * ty + tz * tz <= {RADIUS * RADIUS}),
+    q AS (SELECT * FROM q4 WHERE NOT EXISTS (SELECT 1 FROM points o WHERE o.scene = q4.scene AND o.point_idx NOT IN (a, b, c, d) AND pow(o.x - q4.x - tx, 2) + pow(o.y - q4.y - ty, 2) + pow(o.z - q4.z - tz, 2) < r)),
+    de AS (SELECT DISTINCT s.scene, src, dst, {DIST} AS length FROM (SELECT scene, unnest([a, a, a, b, b, c]) AS src, unnest([b, c, d, c, d, d]) AS dst FROM q) s JOIN points a ON a.point_idx = src JOIN points b ON b.point_idx = dst),
+    dw AS (SELECT scene, src, dst FROM de WHERE length < {LONGEST} UNION SELECT scene, dst, src FROM de WHERE length < {LONGEST})"""
+_SIDES = ", ".join([f"round(avg(a.{c} - b.{c}), 6) AS mean_{c}" for c in "xyz"] + [f"round(stddev_pop(a.{c} - b.{c}), 6) AS std_{c}" for c in "xyz"])
 _SHARES = "[v / (p[1] + p[2] + p[3]) FOR v IN p]"
 _FIT = {
     "squared": "sum(CAST(0.5 AS DOUBLE) * w * pow(y - c, 2))",
@@ -132,4 +167,9 @@ ORACLES = {
         f AS ({" UNION ALL ".join(f"SELECT '{name}' AS fidelity, scene, {sql} AS fit FROM j GROUP BY scene" for name, sql in _FIT.items())}),
         x AS (SELECT e.scene, CAST({STRENGTH} AS DOUBLE) * sum(1 / (1 + e.dist)) AS cut FROM edges e JOIN points a ON a.point_idx = e.src JOIN points b ON b.point_idx = e.dst WHERE a.sp <> b.sp GROUP BY e.scene)
         SELECT f.fidelity, f.scene, round(f.fit, 6) AS fit, round(coalesce(x.cut, 0), 6) AS cut, round(f.fit + coalesce(x.cut, 0), 6) AS energy FROM f LEFT JOIN x USING (scene)""",
+    "delaunay_neighbours": f"WITH {POINTS}, {_DELAUNAY} SELECT scene, src, dst, round(length, 6) AS length FROM de",
+    "delaunay_dual": f"WITH {POINTS}, {_DELAUNAY}, {edges_sql(3)} SELECT * FROM dw UNION SELECT scene, src, dst FROM edges",
+    "delaunay_superedges": f"""WITH {POINTS}, {_DELAUNAY}, {SP_FEATURES}, s AS (SELECT e.scene, a.sp AS a, b.sp AS b, count(*) AS edges, {_SIDES}, round(avg({DIST}), 6) AS delta_norm
+        FROM dw e JOIN points a ON a.scene = e.scene AND a.point_idx = e.src JOIN points b ON b.scene = e.scene AND b.point_idx = e.dst WHERE a.sp <> b.sp GROUP BY e.scene, a.sp, b.sp)
+        SELECT s.*, {COMPARED.format(6)} FROM s JOIN features u ON u.scene = s.scene AND u.sp = s.a JOIN features v ON v.scene = s.scene AND v.sp = s.b""",
 }

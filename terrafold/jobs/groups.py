@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.plans import cut
-from ..operators import cluster, components, graph, planes, pursuit
+from ..operators import cluster, components, graph, instances, planes, pursuit
 from ..operators.neighbors import distance
 from ..sources.fixtures import POINTS, cloud, points, table
 from .neighbours import COMPARED, DIST, SP_FEATURES, edges, edges_sql, ids
@@ -101,7 +101,25 @@ def order_part_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_components(links)
 
 
-QUERIES = {f.__name__: f for f in (component_grouping, fragment_absorption, nms_greedy, superedge_features, wall_planes, random_subgraph, seeded_growth, absorption_in_turn, instance_confidence, superpoint_partition, components_cutoff, order_part_components)}
+def _assembled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All instances of scenes whose superpoints are the points' remainders by 16: the first three of five classes are ceiling, floor and walls."""
+    p = points(spark, sf_dir).select("scene", "point_idx", (F.col("point_idx") % 16).alias("sp"), *"xyz")
+    parts = p.groupBy("scene", F.col("sp").alias("id")).agg(*[F.avg(a).alias(a) for a in "xyz"])
+    parts = cut(parts.select("scene", "id", (F.col("id") % 5).alias("class"), *"xyz", (0.1 + F.col("id") % 4 / 10).alias("size"), F.ln(3.0 + F.col("id") % 7 * 3).alias("occupancy")))
+    links = cut(parts.select("scene", F.col("id").alias("src"), F.explode(F.array((F.col("id") + 5) % 16, (F.col("id") + 1) % 16)).alias("dst")))
+    return instances.scene_instances(links, parts, p, stuff_points=8, wall_points_=6, wall_distance=0.1, most_walls=2)
+
+
+def scene_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each scene's instances, from superpoints to things, ceiling, floor and walls."""
+    return _assembled(spark, sf_dir)[0]
+
+
+def scene_instance_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assembled(spark, sf_dir)[1]
+
+
+QUERIES = {f.__name__: f for f in (component_grouping, fragment_absorption, nms_greedy, superedge_features, wall_planes, random_subgraph, seeded_growth, absorption_in_turn, instance_confidence, superpoint_partition, components_cutoff, order_part_components, scene_instances, scene_instance_points)}
 
 _CROSS = ", ".join([f"round(avg(a.{c} - b.{c}), 6) AS mean_{c}" for c in "xyz"] + [f"round(stddev_pop(a.{c} - b.{c}), 6) AS std_{c}" for c in "xyz"])
 ORACLES = {

@@ -56,5 +56,12 @@ def walls(points: DataFrame, threshold: float, most: int, least_points: int, n:
         near = attach(rest, chosen.select("scene", *[F.col(c).alias(f"__{c}") for c in "abcd"]), ["scene"])
         rest = cut(near.filter(~_near(plane, threshold)).select("scene", *"xyz"))
     if found is None:
-        return points.sparkSession.createDataFrame([], "scene int, wall int, a double, b double, c double, d double, points long")
+        return points.limit(0).select("scene", F.lit(0).alias("wall"), *[F.lit(0.0).alias(c) for c in "abcd"], F.lit(0).cast("long").alias("points"))
     return found
+
+
+def wall_points(points: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """(points' columns, wall): the points of each of `walls`' planes: a point is taken by the first plane of its scene that it is nearer to than the threshold."""
+    planes = found.groupBy("scene").agg(F.sort_array(F.collect_list(F.struct("wall", "a", "b", "c", "d"))).alias("__planes"))
+    first = F.get(F.filter("__planes", lambda plane: _near(plane, threshold)), F.lit(0))
+    return attach(points, planes, ["scene"]).withColumn("wall", first["wall"]).filter("wall is not null").select(*points.columns, "wall")

@@ -6,7 +6,7 @@ packed, dealt out by the range of their first word and merged into sorted arrays
 context; how many different words stand before a word (its continuation count) is dealt out by ranges of that word.
 A first word that occurs more than HOT times, such as the start mark, is dealt out by ranges of the second word as well, and the statistics of its
 parts are summed: there are at most as many such words as HOT goes into the tokens.  So no group grows with the corpus.
-Scoring: every worker maps the arrays of the shared folder into memory and looks its texts up; no text is shuffled.
+Scoring: every worker maps the arrays of the shared folder into memory, at most OPEN at a time, and looks its texts up; no text is shuffled.
 A text scores after a start mark, and its end is a token like any other.
 
 p(w|v) = max(c(vw) - D(c(vw)), 0) / c(v) + g(v) q(w), with q(w) = max(k(w) - D'(k(w)), 0) / k + g' / (V + 1), where k are continuation
@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from .words import Words, slices
 
 END = np.uint64(0x5DEECE66D2F1A3B7)
 SHARD_WORDS, SHARD_TOKENS, BUFFER, HOT, SPLITS = 2_000_000, 4_000_000, 3_000_000, 1_000_000, 4
-LIMIT = 1 << 32
+LIMIT, OPEN = 1 << 32, 256
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -54,6 +55,27 @@ def load_array(folder: str, name: str, kind: type, present: bool) -> np.ndarray:
     return np.load(f"{folder}/{name}.npy", mmap_mode="r")
 
 
+class Shelf:
+    """A model's mapped arrays, by their names: opened when they are asked for, and of OPEN open ones the longest unused is closed for the next.
+
+    Every mapped array holds a descriptor, so a worker has at most OPEN of them, however many shards a model has.
+    """
+
+    def __init__(self, folder: str):
+        self.folder, self.open = folder, OrderedDict()
+
+    def array(self, name: str, kind: type, present: bool = True) -> np.ndarray:
+        if name in self.open:
+            self.open.move_to_end(name)
+            return self.open[name]
+        found = load_array(self.folder, name, kind, present)
+        if present:
+            self.open[name] = found
+            if len(self.open) > OPEN:
+                self.open.popitem(last=False)
+        return found
+
+
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all tokens of a slice, an end after each text, and each text's bounds."""
     words = Words(data, offsets)
@@ -109,10 +131,16 @@ def write_words(table: pa.Table, folder: str) -> pa.Table:
 
 
 class Vocabulary:
-    def __init__(self, model: dict):
+    def __init__(self, model: dict, shelf: Shelf | None = None):
         self.bits, self.bases = model["bits"], np.array(model["bases"])
-        ends = [*model["bases"][1:], model["size"]]
-        self.words, self.counts = ([load_array(model["folder"], f"{x}-{p}", kind, ends[p] > base) for p, base in enumerate(model["bases"])] for x, kind in (("words", np.uint64), ("counts", np.int64)))
+        self.ends, self.shelf = [*model["bases"][1:], model["size"]], shelf or Shelf(model["folder"])
+        for p in range(len(self.bases)):
+            if self.filled(p):  # a folder that isn't shared is told at once
+                self.shelf.array(f"words-{p}", np.uint64)
+                break
+
+    def filled(self, p: int) -> bool:
+        return bool(self.ends[p] > self.bases[p])
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and training counts."""
@@ -120,12 +148,12 @@ class Vocabulary:
         ids, counts = np.full(len(unique), -1), np.zeros(len(unique), np.int64)
         cuts = np.searchsorted(unique >> np.uint64(64 - self.bits) if self.bits else np.zeros(len(unique), np.uint64), np.arange((1 << self.bits) + 1).astype(np.uint64))
         for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            keys = self.words[p]
-            if a < b and len(keys):
+            if a < b and self.filled(p):
+                keys = self.shelf.array(f"words-{p}", np.uint64)
                 at = np.minimum(np.searchsorted(keys, unique[a:b]), len(keys) - 1)
                 hit = keys[at] == unique[a:b]
                 ids[a:b][hit] = at[hit] + self.bases[p]
-                counts[a:b][hit] = self.counts[p][at[hit]]
+                counts[a:b][hit] = self.shelf.array(f"counts-{p}", np.int64)[at[hit]]
         return ids[inverse], counts[inverse]
 
 
@@ -264,12 +292,14 @@ class Model:
 
     def __init__(self, model: dict):
         self.m = model
-        folder = model["folder"]
-        self.vocabulary, self.dealer = Vocabulary(model), Dealer(model)
-        parts = set(model["parts"])
-        self.continuations = [load_array(folder, f"continuations-{p}", np.int64, p in parts) for p in range(model["ranges"])]
-        self.bigrams = {s: tuple(load_array(folder, f"{x}-{s}", np.int64, True) for x in ("bigrams", "bigram-counts")) for s in model["present"]}
-        self.contexts = {s >> 24: load_array(folder, f"contexts-{s >> 24}", np.float64, True) for s in model["present"] if not s & ((1 << 24) - 1)}
+        self.shelf = Shelf(model["folder"])
+        self.vocabulary, self.dealer = Vocabulary(model, self.shelf), Dealer(model)
+        self.parts, self.bigrams = set(model["parts"]), set(model["present"])
+        self.contexts = {s >> 24 for s in model["present"] if not s & ((1 << 24) - 1)}
+        wanted = {f"{x}-{s}.npy" for s in self.bigrams for x in ("bigrams", "bigram-counts")} | {f"contexts-{s}.npy" for s in self.contexts} | {f"continuations-{p}.npy" for p in self.parts}
+        missing = wanted.difference(os.listdir(model["folder"])) if wanted else ()
+        if missing:
+            raise FileNotFoundError(f"{min(missing)} isn't in {model['folder']}")
         self.hot_stats = np.array([model["statistics"][v] for v in self.dealer.hot.tolist()], float).reshape(-1, 4)
 
     def lower(self, ids: np.ndarray) -> np.ndarray:
@@ -279,8 +309,8 @@ class Model:
         part = np.where(ids >= 0, ids * m["ranges"] // max(1, m["size"]), -1)
         for p in np.unique(part[ids >= 0]).tolist():
             at = np.flatnonzero(part == p)
-            if len(self.continuations[p]):
-                out[at] += discounted(self.continuations[p][ids[at] - -(-p * m["size"] // m["ranges"])], m["lower"]) / m["bigrams"]
+            if p in self.parts:
+                out[at] += discounted(self.shelf.array(f"continuations-{p}", np.int64)[ids[at] - -(-p * m["size"] // m["ranges"])], m["lower"]) / m["bigrams"]
         return out
 
     def context(self, v: np.ndarray) -> np.ndarray:
@@ -293,7 +323,7 @@ class Model:
         for s in np.unique(shard[shard >= 0]).tolist():
             if s in self.contexts:
                 at = np.flatnonzero(shard == s)
-                out[at] = self.contexts[s][v[at] - -(-s * (self.m["size"] + 1) // self.m["shards"])]
+                out[at] = self.shelf.array(f"contexts-{s}", np.float64)[v[at] - -(-s * (self.m["size"] + 1) // self.m["shards"])]
         return out
 
     def log10(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -309,8 +339,8 @@ class Model:
         c = np.zeros(len(pairs), np.int64)
         shard = np.where((v >= 0) & (w >= 0), self.dealer.shard_of(np.maximum(v, 0), np.maximum(w, 0)), -1)
         for s in np.unique(shard[shard >= 0]).tolist():
-            keys, counts = self.bigrams.get(s, ((), ()))
-            if len(keys):
+            if s in self.bigrams:
+                keys, counts = (self.shelf.array(f"{x}-{s}", np.int64) for x in ("bigrams", "bigram-counts"))
                 here = np.flatnonzero(shard == s)
                 wanted = v[here].astype(np.uint64) << np.uint64(32) | w[here].astype(np.uint64)
                 at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)

@@ -285,3 +285,29 @@ def test_url_filters_on_empty_tables(spark):
 
 def test_schema_of_the_small_corpora():
     assert len(rows()[0]) == len(SCHEMA.split(","))
+
+
+def test_kneser_ney_with_few_open_files(spark, monkeypatch):
+    """Hundreds of shards and at most six of them mapped at once: equal scores, and no more descriptors than that."""
+    monkeypatch.setattr(kneser_ney, "SHARD_WORDS", 2)
+    monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", 20)
+    monkeypatch.setattr(kneser_ney, "BUFFER", 150)
+    docs = frame(spark, rows())
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    whole = sorted((r["doc_id"], r["score"]) for r in kneser_ney.scored(docs, held).collect())
+    monkeypatch.setattr(kneser_ney, "OPEN", 6)
+    few = sorted((r["doc_id"], r["score"]) for r in kneser_ney.scored(docs, held).collect())
+    assert few == whole
+
+
+def test_a_shelf_closes_what_is_longest_unused(tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(kneser_ney, "OPEN", 6)
+    for i in range(200):
+        kneser_ney.save_array(str(tmp_path), f"words-{i}", np.arange(i + 1))
+    shelf, before = kneser_ney.Shelf(str(tmp_path)), len(os.listdir("/proc/self/fd"))
+    assert [int(shelf.array(f"words-{i % 200}", np.int64)[-1]) for i in range(400)] == [i % 200 for i in range(400)]
+    assert len(os.listdir("/proc/self/fd")) <= before + 7
+    with pytest.raises(FileNotFoundError):
+        shelf.array("words-900", np.int64)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.plans import cut, work_dir
-from ..operators import voxel
-from ..sources import scans
+from ..operators import colours, voxel
+from ..operators.neighbors import face_adjacency
+from ..sources import meshes, scans
 from ..sources.fixtures import POINTS, cloud, points, table
+from .neighbours import edges, edges_sql
 from .voxels import MAJORITY, WIDE, cells_sql
 
 PALETTE = [(255, 0, 0), (0, 255, 0), (0, 0, 255), (255, 255, 0)]
@@ -86,7 +89,37 @@ def scene_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.read_scenes(spark, path, containing="area_2").select("scene", "point_idx", F.round("x", 6).alias("x"), "sp")
 
 
-QUERIES = {f.__name__: f for f in (object_text_files, label_files, polygon_files, outdoor_scan, segment_annotations, label_map_table, scene_split)}
+def embedding_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of all embeddings by their whole vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    return colours.embedding_colours(e.select("vec_id", "embedding"), "embedding").select("vec_id", *colours.NAMES)
+
+
+def error_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Right and wrong classes of points, class 0 being unknown."""
+    p = points(spark, sf_dir).withColumns({c: (F.col("point_idx") * m % 256).cast("int") for c, m in zip(colours.NAMES, (7, 11, 13), strict=True)})
+    return colours.error_colours(p, "sem", "noisy").select("scene", "point_idx", *colours.NAMES)
+
+
+def mesh_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Superpoints that meet in a face of mesh files: every point with its two nearest is a face, written and read again."""
+    path = work_dir(spark, "meshes")
+    place = (F.row_number().over(W.partitionBy("scene").orderBy("point_idx")) - 1).cast("long")
+    p = cut(points(spark, sf_dir).withColumn("vertex", place))
+    at = p.select("scene", F.col("point_idx").alias("dst"), F.col("vertex").alias("corner"))
+    near = edges(spark, sf_dir, 2).select("scene", "src", "dst", "rank").join(at, ["scene", "dst"])
+    own = p.select("scene", F.col("point_idx").alias("src"), F.col("vertex").alias("face"))
+    faces = near.groupBy("scene", "src").agg(F.sort_array(F.collect_list(F.struct("rank", "corner"))).alias("two")).join(own, ["scene", "src"])
+    faces = faces.select("scene", "face", F.concat(F.array("face"), F.transform("two", lambda t: t["corner"])).alias("corners"))
+    meshes.write_mesh(p.select("scene", F.col("vertex").alias("point_idx"), *"xyz"), faces, path)
+    vertices, read = meshes.mesh(spark, f"{path}/scene=*/part-*")
+    scene = F.regexp_extract("path", r"scene=([^/]*)/", 1).cast("int").alias("scene")
+    groups = vertices.select(scene, "path", "point_idx").join(p.select("scene", F.col("vertex").alias("point_idx"), "sp"), ["scene", "point_idx"])
+    groups = groups.select("path", "point_idx", F.concat_ws(":", F.col("scene").cast("string"), F.col("sp").cast("string")).alias("group"))
+    return face_adjacency(meshes.face_groups(read, groups))
+
+
+QUERIES = {f.__name__: f for f in (object_text_files, label_files, polygon_files, outdoor_scan, segment_annotations, label_map_table, scene_split, embedding_colours, error_colours, mesh_adjacency)}
 
 _LINE = "row_number() OVER (PARTITION BY scene ORDER BY point_idx) - 1"
 _COLOUR = ", ".join(f"CAST(CASE WHEN sp = 7 THEN 128 ELSE [{', '.join(str(c[i]) for c in PALETTE)}][sp % 4 + 1] END AS DOUBLE) AS {n}" for i, n in enumerate(("red", "green", "blue")))
@@ -103,4 +136,10 @@ ORACLES = {
         SELECT 's' || v.scene AS scene, vertex, 'class' || sem AS label, ordinal FROM v JOIN b ON b.scene = v.scene AND b.segment = v.sp""",
     "label_map_table": "SELECT s_suppkey, CASE WHEN n_nationkey % 3 <> 1 THEN r_name ELSE 'unannotated' END AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "scene_split": f"WITH {POINTS} SELECT 'area_' || scene % 3 || '_room_' || scene AS scene, point_idx, round(x, 6) AS x, sp FROM points WHERE scene % 3 = 2",
+    "error_colours": f"""WITH {POINTS}, c AS (SELECT *, point_idx * 7 % 256 AS r, point_idx * 11 % 256 AS g, point_idx * 13 % 256 AS b FROM points),
+        h AS (SELECT *, greatest(r, g, b) / CAST(255 AS DOUBLE) AS high, least(r, g, b) / CAST(255 AS DOUBLE) AS low FROM c), s AS (SELECT *, least(CASE WHEN high > 0 THEN (high - low) / high ELSE 0 END + CAST(0.3 AS DOUBLE), 1) AS strong, least(high + CAST(0.1 AS DOUBLE), 1) AS light FROM h),
+        d AS (SELECT *, light * (1 - strong) AS dark, sem = noisy OR sem = 0 AS good FROM s)
+        SELECT scene, point_idx, CAST(floor(255 * CASE WHEN good THEN dark ELSE light END) AS INT) AS red, CAST(floor(255 * CASE WHEN good THEN light ELSE dark END) AS INT) AS green, CAST(floor(255 * dark) AS INT) AS blue FROM d""",
+    "mesh_adjacency": f"""WITH {POINTS}, {edges_sql(2)}, f AS (SELECT point_idx AS face, point_idx AS corner FROM points UNION ALL SELECT src, dst FROM edges), g AS (SELECT DISTINCT f.face, p.scene || ':' || p.sp AS g FROM f JOIN points p ON p.point_idx = f.corner)
+        SELECT DISTINCT a.g AS src, b.g AS dst FROM g a JOIN g b ON a.face = b.face AND a.g <> b.g""",
 }

@@ -89,6 +89,12 @@ def scene_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.read_scenes(spark, path, containing="area_2").select("scene", "point_idx", F.round("x", 6).alias("x"), "sp")
 
 
+def repeated_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that several groups of a file name; files are customers' segments, groups their orders' months, segments the days."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("file"), F.month("o_orderdate").alias("ordinal"), (F.col("o_orderkey") % 97).alias("segment"))
+    return scans.repeated_segments(o.filter("ordinal <= 2 or segment % 3 = 0"))
+
+
 def embedding_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours of all embeddings by their whole vectors."""
     e = table(spark, sf_dir, "embeddings")
@@ -119,7 +125,7 @@ def mesh_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return face_adjacency(meshes.face_groups(read, groups))
 
 
-QUERIES = {f.__name__: f for f in (object_text_files, label_files, polygon_files, outdoor_scan, segment_annotations, label_map_table, scene_split, embedding_colours, error_colours, mesh_adjacency)}
+QUERIES = {f.__name__: f for f in (object_text_files, label_files, polygon_files, outdoor_scan, segment_annotations, label_map_table, scene_split, embedding_colours, error_colours, mesh_adjacency, repeated_segments)}
 
 _LINE = "row_number() OVER (PARTITION BY scene ORDER BY point_idx) - 1"
 _COLOUR = ", ".join(f"CAST(CASE WHEN sp = 7 THEN 128 ELSE [{', '.join(str(c[i]) for c in PALETTE)}][sp % 4 + 1] END AS DOUBLE) AS {n}" for i, n in enumerate(("red", "green", "blue")))
@@ -142,4 +148,6 @@ ORACLES = {
         SELECT scene, point_idx, CAST(floor(255 * CASE WHEN good THEN dark ELSE light END) AS INT) AS red, CAST(floor(255 * CASE WHEN good THEN light ELSE dark END) AS INT) AS green, CAST(floor(255 * dark) AS INT) AS blue FROM d""",
     "mesh_adjacency": f"""WITH {POINTS}, {edges_sql(2)}, f AS (SELECT point_idx AS face, point_idx AS corner FROM points UNION ALL SELECT src, dst FROM edges), g AS (SELECT DISTINCT f.face, p.scene || ':' || p.sp AS g FROM f JOIN points p ON p.point_idx = f.corner)
         SELECT DISTINCT a.g AS src, b.g AS dst FROM g a JOIN g b ON a.face = b.face AND a.g <> b.g""",
+    "repeated_segments": """SELECT o_custkey % 50 AS file, o_orderkey % 97 AS segment, count(DISTINCT month(o_orderdate)) AS groups FROM orders
+        WHERE month(o_orderdate) <= 2 OR o_orderkey % 97 % 3 = 0 GROUP BY ALL HAVING count(DISTINCT month(o_orderdate)) > 1""",
 }

@@ -53,7 +53,7 @@ def sp_knn_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
 def radius_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges up to a radius that the narrow graph doesn't have, at most five for a point."""
     p = ids(points(spark, sf_dir))
-    found = neighbors.capped(neighbors.within(p, p, 0.15), neighbors.knn(p, p, 3, other=True), 5)
+    found = neighbors.near_beyond(p, cut(neighbors.knn(p, p, 3, other=True).select("scene", "src", "dst")), 5, 0.15)
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 

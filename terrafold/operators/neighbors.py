@@ -44,16 +44,19 @@ CROWD, HALVINGS = 6, 16
 def _first_width(right: DataFrame, k: int, farthest: float) -> tuple[float, float]:
     """A cell width at which a cell has about k points in the middle scene, halved until no cell is crowded; and a width with which all that is asked for is found.
 
-    All widths are counted in one pass, so that a dense scene or object doesn't make pairs of all its points.
+    The widths are searched by halves, a count of cells each, so that a dense scene or object doesn't make pairs of all its points.
     """
     per = right.groupBy("scene").agg(F.count(F.lit(1)).alias("n"), F.greatest(*[F.max(c) - F.min(c) for c in "xyz"]).alias("side"))
     row = per.agg(F.percentile_approx(F.col("side") * F.pow(k / F.col("n"), 1 / 3), 0.5).alias("h"), F.max("n").alias("most")).first()
     side = max(farthest, 1e-9)
     h = max(row["h"] or 0.0, side / 64)
     if (row["most"] or 0) > CROWD * k:
-        levels = right.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(HALVINGS)))).groupBy("level", "scene", *[F.floor(F.col(c) / h * F.pow(F.lit(2.0), F.col("level"))).alias(f"__c{c}") for c in "xyz"])
-        most = {r["level"]: r["most"] for r in levels.count().groupBy("level").agg(F.max("count").alias("most")).collect()}
-        h /= 2 ** min((i for i, n in most.items() if n <= CROWD * k), default=HALVINGS)
+        low, high = 0, HALVINGS  # the fullest cell only loses points when cells are halved
+        while low < high:
+            at = (low + high) // 2
+            cells = right.groupBy("scene", *[F.floor(F.col(c) / (h / 2**at)).alias(f"__c{c}") for c in "xyz"]).count()
+            low, high = (low, at) if (cells.agg(F.max("count")).first()[0] or 0) <= CROWD * k else (at + 1, high)
+        h /= 2**low
     return h, side
 
 
@@ -124,6 +127,15 @@ def capped(edges: DataFrame, known: DataFrame, k: int) -> DataFrame:
     return edges.join(known, ["scene", "src", "dst"], "left_anti").withColumn("rank", place).filter(F.col("rank") <= k).select("scene", "src", "dst", "rank")
 
 
+def near_beyond(points: DataFrame, known: DataFrame, k: int, radius: float) -> DataFrame:
+    """(scene, src, dst, rank): of each point the k nearest up to the radius that it has no edge (scene, src, dst) of `known` to, ties by id.
+
+    These are among its k + m nearest, m being the most known edges that a point has, so a crowd within the radius makes no pairs of all its points.
+    """
+    most = known.groupBy("scene", "src").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return capped(knn(points, points, k + most, other=True, farthest=radius).drop("rank"), known, k)
+
+
 def face_adjacency(corners: DataFrame) -> DataFrame:
     """(src, dst), both ways: groups that meet in a face, of rows (face, group); a face has few corners."""
     one = corners.select("face", F.col("group").alias("src")).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -145,6 +145,11 @@ def arrays(spark: SparkSession, paths: str, columns: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(rows, f"path string, point_idx long, {', '.join(f'{c} double' for c in columns)}")
 
 
+def labels_from_zero(label: Column, last: int = 14) -> Column:
+    """Labels of matrices that count from 0 with -1 for none: one more, and 0 for none and for what becomes `last`."""
+    return F.when(label + 1 == last, 0).otherwise(label + 1).cast("long")
+
+
 #: Fixed names of the types in the headers of polygon files, and what they are.
 PLY_TYPES = {
     "char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4",

@@ -27,8 +27,9 @@ def closed_windows(spark: SparkSession, path: str, folder: str, width: str = "1
     stream = spark.readStream.schema(schema).parquet(path)
     windowed(stream, width, late).writeStream.outputMode("append").format("parquet").option("path", f"{folder}/windows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     given = spark.read.schema("begin timestamp_ntz, event_type string, n long, total double").parquet(f"{folder}/windows")
-    last = given.agg(F.max("begin").alias("last"))
-    open_ = windowed(spark.read.parquet(path), width, late).join(F.broadcast(last), F.col("last").isNull() | (F.col("begin") > F.col("last"))).drop("last")
+    after = given.agg((F.max("begin") + F.expr(f"INTERVAL '{width}'")).alias("after")).first()["after"]
+    left = spark.read.schema(schema).parquet(path)
+    open_ = windowed(left if after is None else left.filter(F.col("ts") >= F.lit(after)), width, late)
     return given.unionByName(open_)
 
 

@@ -10,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafold.functions import plans
-from terrafold.operators import cluster, components, labels, metrics, neighbors, order, planes, prepare
+from terrafold.operators import cluster, components
+from terrafold.operators import graph as graphs
+from terrafold.operators import labels, metrics, neighbors, order, planes, prepare
 from terrafold.sources import scans
 from terrafold.streaming import windows
 
@@ -249,3 +251,39 @@ def test_late_events_are_dropped_and_state_goes_on(spark, tmp_path):
     assert run() == {("2024-01-01", 1.0), ("2024-01-09", 2.0)}
     day("2", ("2024-01-01 06:00:00", "a", 10.0), ("2024-01-10 05:00:00", "a", 4.0))
     assert run() == {("2024-01-01", 1.0), ("2024-01-09", 2.0), ("2024-01-10", 4.0)}
+
+
+def test_near_beyond_known_edges_in_a_crowd(spark):
+    """A crowd of 400 points within the radius, known edges of several numbers: the nearest five others of each, as of all pairs."""
+    rng = random.Random(12)
+    at = {i: [rng.random() * 0.1 for _ in range(3)] if i < 300 else [rng.random() for _ in range(3)] for i in range(400)}
+    known = {(i, j) for i in at for j in rng.sample(range(400), i % 5)}
+    points = spark.createDataFrame([(0, i, *map(float, v)) for i, v in at.items()], "scene int, id long, x double, y double, z double")
+    got = {(r["src"], r["dst"]): r["rank"] for r in neighbors.near_beyond(points, spark.createDataFrame([(0, *e) for e in known], "scene int, src long, dst long"), 5, 0.3).collect()}
+    expected = {}
+    for i in at:
+        order = sorted((math.dist(at[i], at[j]), j) for j in at if j != i and (i, j) not in known and math.dist(at[i], at[j]) <= 0.3)[:5]
+        expected |= {(i, j): k + 1 for k, (_, j) in enumerate(order)}
+    assert got == expected
+
+
+def test_random_subgraph_is_a_walk_by_layers(spark):
+    """Against a plain walk with the same hashes: layers, the layer that is cut, and new seeds."""
+    rng = random.Random(3)
+    edges = [(s, rng.randrange(30), rng.randrange(30)) for s in (0, 1) for _ in range(25)]
+    nodes = spark.createDataFrame([(s, i) for s in (0, 1) for i in range(30)], "scene int, id long")
+    h = {r["id"]: r["h"] for r in spark.range(30).select("id", F.xxhash64("id", F.lit(0)).alias("h")).collect()}
+    got = {(r["scene"], r["id"]): r["hops"] for r in graphs.random_subgraph(spark.createDataFrame(edges, "scene int, src long, dst long"), nodes, 14).collect()}
+    expected = {}
+    for s in (0, 1):
+        order, taken = sorted(range(30), key=lambda i: (h[i], i)), {}
+        layer = {order[0]: 0}
+        while layer:
+            taken |= layer
+            fresh = {b: min(layer[a] + 1 for x, a, c in edges if x == s and c == b and a in layer) for x, a, b in edges if x == s and a in layer and b not in taken}
+            room = 14 - len(taken)
+            layer = {b: fresh[b] for b in sorted(fresh, key=lambda b: (h[b], b))[: max(room, 0)]}
+            if not layer and room > 0:
+                layer = {next(i for i in order if i not in taken): 0}
+        expected |= {(s, i): d for i, d in taken.items()}
+    assert got == expected

@@ -3,6 +3,8 @@
 import json
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from terrafold.sources import scans
 
 
@@ -39,3 +41,8 @@ def test_label_files_round_trip(spark, tmp_path):
         (tmp_path / f"s{s}.txt").write_text(file.read_text())
     got = sorted(tuple(r) for r in scans.label_lines(spark, f"{tmp_path}/s*.txt").collect())
     assert got == data
+
+
+def test_labels_from_zero(spark):
+    rows = spark.createDataFrame([(float(i),) for i in (-1, 0, 12, 13)], "label double")
+    assert [r[0] for r in rows.select(scans.labels_from_zero(F.col("label"))).collect()] == [0, 1, 13, 0]

@@ -2,8 +2,8 @@
 
 Features are hashed 1- to 3-grams of characters, weighed by tf-idf and scaled to length 1; document frequencies are counted over
 all training texts.  The weights come from follow-the-regularised-leader with elastic-net penalties (L1 makes them sparse), on a bounded
-sample of the labelled rows: about `per_label` of each label, in SHARDS shards whose models are averaged.  A part of the sample
-is kept back for the temperature that calibrates the probabilities.  There is a weight per feature and label; with so many labels that
+sample of the labelled rows: about `per_label` of each label, in SHARDS shards, more with a sample of over SHARDS * SHARD_ROWS rows, whose models are averaged.  A part of the sample
+is kept back for the temperature that calibrates the probabilities: its losses are summed by tasks for a grid of temperatures, so only sums and the weights reach the driver.  There is a weight per feature and label; with so many labels that
 2^BITS features would give more than CELLS of them, features are hashed to fewer bits, so memory is bounded and no label is left out.
 Tasks get the model as a broadcast variable, whose size CELLS bounds.
 
@@ -14,7 +14,7 @@ rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,8 @@ from .common import bounded_batches, saved, work_dir
 from .words import slices
 
 BITS, GRAMS = 15, 3
-PER_LABEL, SHARDS, EPOCHS, CELLS = 2000, 4, 4, 1 << 24
+PER_LABEL, SHARDS, SHARD_ROWS, EPOCHS, CELLS = 2000, 4, 20_000, 4, 1 << 24
+GRID, PASSES = 65, 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.002, 0.0001
 UNDETERMINED = "und"
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -123,30 +124,55 @@ def leader(table: pa.Table, labels: list[str], idf: np.ndarray) -> pa.Table:
     return pa.table({"feature": pa.array(at), "label": pa.array(label), "weight": pa.array(w[at, label]), "rows": pa.array(np.full(len(at), len(rows)))})
 
 
-def logit_rows(batches: Iterable[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+def loss_rows(batches: Iterable[pa.RecordBatch], shared: Broadcast, labels: list[str], heats: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The summed cross entropy of a task's rows at each temperature."""
     weights, idf = shared.value
     bits = len(idf).bit_length() - 1
+    number, sums = {x: i for i, x in enumerate(labels)}, np.zeros(len(heats))
     for batch in batches:
+        target = [number[x] for x in batch.column(0).to_pylist()]
         for first, last, data, offsets in slices(batch.column(1)):
-            logits = [(v @ weights[at]).tolist() for found in text_counts(data, offsets, bits) for at, v in [tf_idf(*found, idf)]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(logits, pa.list_(pa.float64()))], names=["label", "logits"])
+            for i, found in zip(range(first, last), text_counts(data, offsets, bits), strict=True):
+                at, values = tf_idf(*found, idf)
+                p = softmax((values @ weights[at])[None, :] / heats[:, None])
+                sums -= np.log(np.maximum(p[:, target[i]], 1e-300))
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(heats))), pa.array(sums)], names=["heat", "loss"])
+
+
+def least_loss(losses: Callable[[np.ndarray], np.ndarray | None]) -> float:
+    """The temperature of least loss: a grid of logarithms first, then finer ones around the best; 1 where there is no loss."""
+    low, high = np.log(0.01), np.log(100.0)
+    for _ in range(PASSES):
+        grid = np.linspace(low, high, GRID)
+        found = losses(np.exp(grid))
+        if found is None:
+            return 1.0
+        best = grid[int(found.argmin())]
+        low, high = best - (grid[1] - grid[0]), best + (grid[1] - grid[0])
+    return float(np.exp(best))
 
 
 def temperature(logits: np.ndarray, target: np.ndarray) -> float:
-    """The temperature of least cross entropy, by a search on its logarithm."""
-    if not len(logits):
-        return 1.0
+    """The temperature of least cross entropy of rows of logits."""
 
-    def loss(log_t: float) -> float:
-        p = softmax(logits / np.exp(log_t))
-        return -np.log(np.maximum(p[np.arange(len(target)), target], 1e-300)).mean()
+    def losses(heats: np.ndarray) -> np.ndarray | None:
+        p = softmax(logits[None] / heats[:, None, None])[:, np.arange(len(target)), target] if len(logits) else None
+        return None if p is None else -np.log(np.maximum(p, 1e-300)).sum(axis=1)
 
-    low, high = np.log(0.01), np.log(100.0)
-    ratio = (np.sqrt(5) - 1) / 2
-    for _ in range(60):
-        a, b = high - ratio * (high - low), low + ratio * (high - low)
-        low, high = (low, b) if loss(a) <= loss(b) else (a, high)
-    return float(np.exp((low + high) / 2))
+    return least_loss(losses)
+
+
+def calibrated(kept: DataFrame, shared: Broadcast, labels: list[str]) -> float:
+    """The temperature of least cross entropy over the kept rows (label, text), whose losses are summed by tasks."""
+
+    def losses(heats: np.ndarray) -> np.ndarray | None:
+        rows = kept.mapInArrow(lambda x: loss_rows(x, shared, labels, heats), "heat long, loss double").groupBy("heat").agg(F.sum("loss").alias("loss")).collect()
+        found = np.zeros(len(heats))
+        for r in rows:
+            found[r["heat"]] = r["loss"]
+        return found if found.any() else None
+
+    return least_loss(losses)
 
 
 class Learned:
@@ -174,17 +200,19 @@ def learned(rows: DataFrame, per_label: int = PER_LABEL) -> Learned | None:
 
     share = F.element_at(F.create_map(*[F.lit(x) for label in labels for x in (label, min(1.0, per_label / found[label]))]), F.col("label"))
     order = F.xxhash64("key", F.lit(1))
-    sample = rows.filter(F.pmod(order, F.lit(1 << 30)) < share * (1 << 30)).withColumn("order", order).withColumn("shard", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(SHARDS + 1)))
+    parts = -(-sum(min(n, per_label) for n in found.values()) // (SHARDS * SHARD_ROWS))  # 1 up to SHARDS * SHARD_ROWS rows
+    part, kept = F.pmod(F.xxhash64("key", F.lit(2)), F.lit(SHARDS + 1)), SHARDS * parts
+    shard = F.when(part == SHARDS, kept).otherwise(part * parts + F.pmod(F.xxhash64("key", F.lit(3)), F.lit(parts)))
+    sample = rows.filter(F.pmod(order, F.lit(1 << 30)) < share * (1 << 30)).withColumn("order", order).withColumn("shard", shard)
     sample = saved(sample.select("label", "text", "order", "shard"), work_dir(spark, "language-sample"))
-    models = sample.filter(F.col("shard") < SHARDS).groupBy("shard").applyInArrow(lambda t: leader(t, labels, idf), "feature long, label long, weight double, rows long")
+    models = sample.filter(F.col("shard") < kept).groupBy("shard").applyInArrow(lambda t: leader(t, labels, idf), "feature long, label long, weight double, rows long")
     models = saved(models, work_dir(spark, "language-models"))
-    fitted = sample.filter(F.col("shard") < SHARDS).count()
+    fitted = sample.filter(F.col("shard") < kept).count()
     weights = np.zeros((1 << bits, len(labels)))
-    for r in models.groupBy("feature", "label").agg(F.sum(F.col("weight") * F.col("rows")).alias("weight")).collect():
-        weights[r["feature"], r["label"]] = r["weight"] / fitted
+    cells = models.groupBy((F.col("feature") * len(labels) + F.col("label")).cast("int").alias("cell")).agg(F.sum(F.col("weight") * F.col("rows")).alias("weight")).toArrow()
+    weights.ravel()[cells.column("cell").to_numpy()] = cells.column("weight").to_numpy() / max(1, fitted)
     shared = spark.sparkContext.broadcast((weights, idf))
-    kept = sample.filter(F.col("shard") == SHARDS).select("label", "text").mapInArrow(lambda x: logit_rows(x, shared), "label string, logits array<double>").collect()
-    heat = temperature(np.array([r["logits"] for r in kept]).reshape(-1, len(labels)), np.array([labels.index(r["label"]) for r in kept], np.int64))
+    heat = calibrated(sample.filter(F.col("shard") == kept).select("label", "text"), shared, labels)
     return Learned(labels, idf, weights, heat)
 
 

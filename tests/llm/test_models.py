@@ -311,3 +311,29 @@ def test_a_shelf_closes_what_is_longest_unused(tmp_path, monkeypatch):
     assert len(os.listdir("/proc/self/fd")) <= before + 7
     with pytest.raises(FileNotFoundError):
         shelf.array("words-900", np.int64)
+
+
+def test_losses_summed_by_tasks_give_the_same_temperature(spark):
+    """Against the rows' logits in one array, over several partitions, with many shards."""
+    rng = np.random.default_rng(4)
+    labels = ["x", "y"]
+    texts = [("x" if i % 2 else "y", " ".join(rng.choice(["aa", "ab", "ba"] if i % 2 else ["cc", "ab", "dc"], 6))) for i in range(60)]
+    weights, idf = rng.normal(size=(256, 2)) * 3, np.ones(256)
+    kept = spark.createDataFrame(texts, "label string, text string").repartition(3)
+    logits = []
+    for _, text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        [found] = language_id.text_counts(data, np.array([0, len(data)]), 8)
+        at, values = language_id.tf_idf(*found, idf)
+        logits.append(values @ weights[at])
+    expected = language_id.temperature(np.array(logits), np.array([labels.index(x) for x, _ in texts]))
+    assert language_id.calibrated(kept, spark.sparkContext.broadcast((weights, idf)), labels) == pytest.approx(expected, rel=1e-9)
+    assert language_id.calibrated(kept.limit(0), spark.sparkContext.broadcast((weights, idf)), labels) == 1.0
+
+
+def test_language_id_in_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SHARD_ROWS", 5)
+    rng = np.random.default_rng(2)
+    data = [(i, " ".join(rng.choice(["lorem", "ipsum", "dolor"] if i % 2 else ["und", "nicht", "auch"], 8)), "la" if i % 2 else "de", "s", 0) for i in range(160)]
+    got = collected(language_id.identified(frame(spark, data), F.crc32(F.col("doc_id").cast("string")) % 4 == 2))
+    assert sum(r["lang_pred"] == ("la" if d % 2 else "de") for d, r in got.items()) > 150

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,12 +19,15 @@ TINY = 1e-300
 class Fidelity:
     """cost(weight, value, centre) of a node; centre(weight, total), the cheapest for a region; loss(weight, total, weight, total) of a merge of two.
 
+    costs(weights, values, centre) and best(weight, total) are cost and centre on NumPy arrays, a row per node, for regions that fit into a task.
     corners: centres are labels (1 for one entry, 0 for the others), and a region is split between its two best.
     """
 
     cost: Callable[[Column, Column, Column], Column]
     centre: Callable[[Column, Column], Column]
     loss: Callable[[Column, Column, Column, Column], Column]
+    costs: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+    best: Callable[[float, np.ndarray], np.ndarray]
     corners: bool = False
 
 
@@ -56,7 +60,7 @@ def _apart_loss(wa: Column, ta: Column, wb: Column, tb: Column) -> Column:
 
 
 #: Half the squared distance.
-SQUARED = Fidelity(_apart, mean, _apart_loss)
+SQUARED = Fidelity(_apart, mean, _apart_loss, lambda w, y, c: 0.5 * w * ((y - c) ** 2).sum(axis=1), lambda w, t: t / w)
 
 
 def divergence(smoothing: float = 0.0) -> Fidelity:
@@ -76,7 +80,11 @@ def divergence(smoothing: float = 0.0) -> Fidelity:
         both = F.zip_with(ta, tb, lambda x, y: (x + y) / (wa + wb))
         return wa * apart(mean(wa, ta), both) + wb * apart(mean(wb, tb), both)
 
-    return Fidelity(lambda w, y, c: w * apart(y, c), mean, loss)
+    def costs(w: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
+        s, m = (smoothing / y.shape[1] + (1 - smoothing) * v for v in (y, c))
+        return w * np.where(s > 0, s * (np.log(np.maximum(s, TINY)) - np.log(np.maximum(m, TINY))), 0.0).sum(axis=1)
+
+    return Fidelity(lambda w, y, c: w * apart(y, c), mean, loss, costs, lambda w, t: t / w)
 
 
 #: Less the value's entry at the region's label.
@@ -84,5 +92,7 @@ LINEAR = Fidelity(
     lambda w, y, c: -w * added(F.zip_with(y, c, lambda a, b: a * b)),
     lambda w, t: best_label(t),
     lambda wa, ta, wb, tb: F.array_max(ta) + F.array_max(tb) - F.array_max(F.zip_with(ta, tb, lambda x, y: x + y)),
+    lambda w, y, c: -w * (y * c).sum(axis=1),
+    lambda w, t: np.eye(len(t))[int(t.argmax())],
     corners=True,
 )

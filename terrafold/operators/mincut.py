@@ -126,6 +126,16 @@ def discharged(nodes: pd.DataFrame, arcs: pd.DataFrame, limit: int, push: bool)
     return pd.DataFrame(rows, columns=["kind", "u", "v", "a", "b", "label"])
 
 
+def cut_sides(lean: np.ndarray, links: np.ndarray, capacity: np.ndarray) -> np.ndarray:
+    """Which nodes of a graph that fits into a task are far, as in minimum_cut; links are pairs of places."""
+    top = max(float(np.abs(lean).max(initial=0)), float(capacity.max(initial=0)), 1e-300)
+    units = lambda c: np.round(c / top * UNITS).astype(np.int64)
+    nodes = pd.DataFrame({"id": np.arange(len(lean)), "excess": units(np.maximum(lean, 0)), "room": units(np.maximum(-lean, 0)), "label": 0})
+    arcs = pd.DataFrame({"u": links[:, 0], "v": links[:, 1], "forth": units(capacity), "back": units(capacity), "label": np.nan})
+    found = discharged(nodes, arcs, 1, True)
+    return found.loc[found["kind"] == 0, "label"].to_numpy() >= 1
+
+
 def minimum_cut(nodes: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataFrame:
     """(scene, id, far): far nodes lie on the source's side of the minimum cut: those that can't reach the sink any more.
 
@@ -152,11 +162,11 @@ def minimum_cut(nodes: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataF
     limit = border.select("scene", F.col("u").alias("id")).unionByName(border.select("scene", F.col("v").alias("id"))).distinct().count() + 1
     schema = f"scene {kind}, block long, {OUT}"
 
-    def turn(state: DataFrame, inner: DataFrame, border: DataFrame, push: bool) -> DataFrame:
+    def turn(state: DataFrame, inner: DataFrame, border: DataFrame, push: bool, every: bool = False) -> DataFrame:
         labels = state.select("scene", F.col("id").alias("v"), "label")
         there = border.select("scene", F.col("ub").alias("block"), "u", "v", "forth", "back").unionByName(border.select("scene", F.col("vb").alias("block"), F.col("v").alias("u"), F.col("u").alias("v"), F.col("back").alias("forth"), F.col("forth").alias("back")))
         arcs = inner.withColumn("label", F.lit(None).cast("double")).unionByName(there.join(labels, ["scene", "v"]).select("scene", "block", "u", "v", "forth", "back", F.col("label").cast("double").alias("label")))
-        if push:
+        if push and not every:
             busy = state.filter((F.col("excess") > 0) & (F.col("label") < limit)).select("scene", "block").distinct()
             state, arcs = state.join(busy, ["scene", "block"], "left_semi"), arcs.join(busy, ["scene", "block"], "left_semi")
 
@@ -168,6 +178,12 @@ def minimum_cut(nodes: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataF
 
         return state.groupBy("scene", "block").cogroup(arcs.groupBy("scene", "block")).applyInPandas(work, schema)
 
+    if limit == 1:  # no edge leaves its block: one turn is all
+        found = turn(state, inner, border, True, every=True).filter("kind = 0").select("scene", F.col("u").alias("id"), (F.col("label") >= limit).alias("far"))
+        result = saved(found, work_dir(spark, "cut-sides"))
+        dropped(spark, folder)
+        return result
+
     def labelled(state: DataFrame, step: int) -> DataFrame:
         state, total, pass_ = state.withColumn("label", F.lit(limit).cast("long")), None, 0
         while True:
@@ -175,7 +191,7 @@ def minimum_cut(nodes: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataF
             found = turn(state, inner, border, False).filter("kind = 0").select("scene", F.col("u").alias("id"), "block", F.col("a").alias("excess"), F.col("b").alias("room"), "label")
             state = saved(found, f"{folder}/labels-{step}-{pass_}")
             before, total = total, state.agg(F.sum("label")).first()[0]
-            if limit == 1 or total == before:
+            if total == before:
                 return state
 
     step = 0
@@ -189,18 +205,17 @@ def minimum_cut(nodes: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataF
         met = found.filter("kind = 0").select("scene", F.col("u").alias("id"), "block", F.col("a").alias("excess"), F.col("b").alias("room"), "label")
         state = met.unionByName(state.join(busy, ["scene", "block"], "left_anti"))
         inner = saved(found.filter("kind = 1").select("scene", "block", "u", "v", F.col("a").alias("forth"), F.col("b").alias("back")).unionByName(inner.join(busy, ["scene", "block"], "left_anti")), f"{folder}/inner-{step}")
-        if limit > 1:
-            crossing = found.filter("kind = 2").select("scene", "u", "v", "a")
-            ends = [state.select("scene", F.col("id").alias(e), F.col("label").alias(f"{e}_label")) for e in "uv"]
-            moved = border.join(crossing.withColumnRenamed("a", "uv"), ["scene", "u", "v"], "left").join(crossing.select("scene", F.col("u").alias("v"), F.col("v").alias("u"), F.col("a").alias("vu")), ["scene", "u", "v"], "left")
-            moved = moved.join(ends[0], ["scene", "u"]).join(ends[1], ["scene", "v"]).fillna(0, ["uv", "vu"])
-            moved = moved.withColumns({"uv_goes": F.col("v_label") <= F.col("u_label") + 1, "vu_goes": F.col("u_label") <= F.col("v_label") + 1})
-            moved = saved(moved.select("scene", "u", "ub", "v", "vb", "forth", "back", "uv", "vu", "uv_goes", "vu_goes"), f"{folder}/moved-{step}")
-            gets = lambda end, own, goes, other, comes: moved.filter(f"{own} > 0 and not {goes} or {other} > 0 and {comes}").select("scene", F.col(end).alias("id"), (F.when(~F.col(goes), F.col(own)).otherwise(0) + F.when(F.col(comes), F.col(other)).otherwise(0)).alias("more"))
-            more = gets("u", "uv", "uv_goes", "vu", "vu_goes").unionByName(gets("v", "vu", "vu_goes", "uv", "uv_goes")).groupBy("scene", "id").agg(F.sum("more").alias("more"))
-            net = F.when(F.col("uv_goes"), F.col("uv")).otherwise(0) - F.when(F.col("vu_goes"), F.col("vu")).otherwise(0)
-            border = saved(moved.select("scene", "u", "ub", "v", "vb", (F.col("forth") - net).alias("forth"), (F.col("back") + net).alias("back")), f"{folder}/border-{step}")
-            state = state.join(more, ["scene", "id"], "left").withColumn("excess", F.col("excess") + F.coalesce("more", F.lit(0))).drop("more")
+        crossing = found.filter("kind = 2").select("scene", "u", "v", "a")
+        ends = [state.select("scene", F.col("id").alias(e), F.col("label").alias(f"{e}_label")) for e in "uv"]
+        moved = border.join(crossing.withColumnRenamed("a", "uv"), ["scene", "u", "v"], "left").join(crossing.select("scene", F.col("u").alias("v"), F.col("v").alias("u"), F.col("a").alias("vu")), ["scene", "u", "v"], "left")
+        moved = moved.join(ends[0], ["scene", "u"]).join(ends[1], ["scene", "v"]).fillna(0, ["uv", "vu"])
+        moved = moved.withColumns({"uv_goes": F.col("v_label") <= F.col("u_label") + 1, "vu_goes": F.col("u_label") <= F.col("v_label") + 1})
+        moved = saved(moved.select("scene", "u", "ub", "v", "vb", "forth", "back", "uv", "vu", "uv_goes", "vu_goes"), f"{folder}/moved-{step}")
+        gets = lambda end, own, goes, other, comes: moved.filter(f"{own} > 0 and not {goes} or {other} > 0 and {comes}").select("scene", F.col(end).alias("id"), (F.when(~F.col(goes), F.col(own)).otherwise(0) + F.when(F.col(comes), F.col(other)).otherwise(0)).alias("more"))
+        more = gets("u", "uv", "uv_goes", "vu", "vu_goes").unionByName(gets("v", "vu", "vu_goes", "uv", "uv_goes")).groupBy("scene", "id").agg(F.sum("more").alias("more"))
+        net = F.when(F.col("uv_goes"), F.col("uv")).otherwise(0) - F.when(F.col("vu_goes"), F.col("vu")).otherwise(0)
+        border = saved(moved.select("scene", "u", "ub", "v", "vb", (F.col("forth") - net).alias("forth"), (F.col("back") + net).alias("back")), f"{folder}/border-{step}")
+        state = state.join(more, ["scene", "id"], "left").withColumn("excess", F.col("excess") + F.coalesce("more", F.lit(0))).drop("more")
         state = saved(state.select("scene", "id", "block", "excess", "room", "label"), f"{folder}/nodes-{step}")
     result = saved(state.select("scene", "id", (F.col("label") >= limit).alias("far")), work_dir(spark, "cut-sides"))
     dropped(spark, folder)

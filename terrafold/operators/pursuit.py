@@ -2,7 +2,7 @@
 
 The energy is what the nodes cost at their regions' centres (`fidelity`) plus strength times the weights of the edges between regions.  A region is split by the best labelling
 of its nodes with one of two centres: these start from the two values that lie far apart and some rounds of two means, then centres and labelling follow each other, the labelling
-being a minimum cut (`mincut`).  What hangs together on either side becomes a region, if that lowers the energy.  Then regions are merged as long as a merge lowers the
+being a minimum cut (`mincut`).  Regions of at most a block's nodes are split in a task each, larger ones by joins and the cut of all their blocks, by the same rules.  What hangs together on either side becomes a region, if that lowers the energy.  Then regions are merged as long as a merge lowers the
 energy (`cluster.merged_regions`).  Regions that neither changed are left alone from then on; it ends when no region is left or after so many rounds.  So the energy never rises.
 """
 
@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from ..functions.plans import cut, small
 from .cluster import merged_regions
 from .components import merged_small, scene_components
 from .fidelity import SQUARED, Fidelity, best_label, second_label
-from .mincut import BLOCK, minimum_cut
+from .mincut import BLOCK, cut_sides, minimum_cut
 
 MEANS, FLOWS, ROUNDS = 3, 2, 10
 LEAST_GAIN = 1e-9
@@ -105,9 +107,68 @@ def split_regions(links: DataFrame, values: DataFrame, regions: DataFrame, stren
 
     decay: the fidelity counts decay^(step - flows) in each of the `flows` steps, so that early cuts follow it more if decay is below 1.
     """
-    size, key = _width(values), ["scene", "region"]
+    key = ["scene", "region"]
     nodes = cut(values.join(regions, ["scene", "id"]).select("scene", "region", "id", "weight", "value"), "split-nodes")
     inner = cut(_ends(links, regions).filter("a = b").select("scene", "src", "dst", "weight", F.col("a").alias("region")), "split-links")
+    counts = cut(nodes.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "split-counts")
+    few, many = small(counts.filter(f"n between 2 and {block}").select(*key)), small(counts.filter(F.col("n") > block).select(*key))
+    here, between = nodes.join(few, key, "left_semi"), inner.join(few, key, "left_semi")
+    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
+    work = lambda k, a, b: _split_in_task(a, b, strength, fidelity, flows, decay)
+    found = here.groupBy(*key).cogroup(between.groupBy(*key)).applyInPandas(work, f"scene {kinds['scene']}, id {kinds['id']}, region {kinds['region']}, part {kinds['id']}")
+    if not many.isEmpty():
+        found = found.unionByName(_split_large(nodes.join(many, key, "left_semi"), inner.join(many, key, "left_semi"), strength, fidelity, flows, decay, block))
+    parts = found.select("scene", "id", "part")
+    return nodes.join(parts, ["scene", "id"], "left").select("scene", "id", "region", F.coalesce("part", "region").alias("part"))
+
+
+def _split_in_task(nodes: pd.DataFrame, links: pd.DataFrame, strength: float, fidelity: Fidelity, flows: int, decay: float) -> pd.DataFrame:
+    """split_regions of one region of at most a block's nodes."""
+    nodes = nodes.sort_values("id")
+    ids, w, y = nodes["id"].to_numpy(), nodes["weight"].to_numpy(float), np.array(nodes["value"].tolist(), float)
+    ends = np.stack([np.searchsorted(ids, links[c].to_numpy()) for c in ("src", "dst")], axis=1)
+    lengths = strength * links["weight"].to_numpy(float)
+    centre = lambda rows: fidelity.best(float(w[rows].sum()), (w[rows, None] * y[rows]).sum(axis=0))
+    whole = np.ones(len(ids), bool)
+    before = fidelity.costs(w, y, centre(whole))
+    if fidelity.corners:
+        total = (w[:, None] * y).sum(axis=0)
+        first = int(total.argmax())
+        second = int(np.where(np.arange(len(total)) == first, -np.inf, total).argmax())
+        c = [np.eye(len(total))[i] for i in (first, second)]
+    else:
+        c = [y[int(before.argmax())]]
+        c.append(y[int(fidelity.costs(w, y, c[0]).argmax())])
+    sided = lambda: fidelity.costs(w, y, c[1]) < fidelity.costs(w, y, c[0])
+    side = sided()
+    for step in range(-MEANS, (1 if fidelity.corners else flows)):
+        if not fidelity.corners:
+            if side.all() or not side.any():
+                break
+            c = [centre(~side), centre(side)]
+        if step < 0:
+            side = sided()
+        else:
+            lean = (fidelity.costs(w, y, c[0]) - fidelity.costs(w, y, c[1])) * float(decay) ** (step + 1 - flows)
+            side = cut_sides(lean, ends, lengths)
+    part = np.arange(len(ids))  # the lowest place of what hangs together on a side
+    inside = ends[side[ends[:, 0]] == side[ends[:, 1]]]
+    while True:
+        low = part.copy()
+        np.minimum.at(low, inside[:, 0], part[inside[:, 1]])
+        np.minimum.at(low, inside[:, 1], part[inside[:, 0]])
+        low = low[low]
+        if (low == part).all():
+            break
+        part = low
+    after = sum(float(fidelity.costs(w[part == k], y[part == k], centre(part == k)).sum()) for k in np.unique(part)) + float(lengths[part[ends[:, 0]] != part[ends[:, 1]]].sum())
+    better = after < before.sum() - LEAST_GAIN * (1 + abs(before.sum()))
+    return pd.DataFrame({"scene": nodes["scene"].to_numpy(), "id": ids, "region": nodes["region"].to_numpy(), "part": ids[part] if better else nodes["region"].to_numpy()})
+
+
+def _split_large(nodes: DataFrame, inner: DataFrame, strength: float, fidelity: Fidelity, flows: int, decay: float, block: int) -> DataFrame:
+    """split_regions of regions of any size, all at once: aggregations, joins and one minimum cut over all of them per step."""
+    size, key = _width(nodes), ["scene", "region"]
     sided = cut(_two_means(nodes, size, fidelity), "split-sides")
     weight, value = F.col("weight"), F.col("value")
     for step in range(1, (1 if fidelity.corners else flows) + 1):

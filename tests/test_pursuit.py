@@ -161,6 +161,7 @@ def test_steps_of_a_noisy_signal(spark):
     found = pursuit.cut_pursuit(links, values, 1.0, block=16)
     got = {(r["scene"], r["id"]): r["region"] for r in found.collect()}
     assert got == {**{(0, i): 0 if i < 25 else 25 if i < 45 else 45 for i in range(60)}, (0, 99): 99, (1, 0): 0, (1, 1): 0}
+    assert got == {(r["scene"], r["id"]): r["region"] for r in pursuit.cut_pursuit(links, values, 1.0).collect()}  # whole regions in tasks
     energy = lambda parts: pursuit.energies(links, values, parts, 1.0).filter("scene = 0").first()["energy"]
     assert energy(found) <= energy(cluster.merged_regions(links, values, 1.0)) + 1e-9
     small = pursuit.cut_pursuit(links, values, 1.0, block=16, smallest=18)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.plans import cut
+from ..functions.plans import cut, small
 
 STEPS = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 
@@ -61,42 +63,115 @@ def _first_width(right: DataFrame, k: int, farthest: float) -> tuple[float, floa
 
 
 def _few_of_a_place(right: DataFrame, k: int) -> DataFrame:
-    """The k rows of the lowest ids of each place: no point has more of its nearest there.  Tasks keep k of a place before the shuffle."""
+    """The k rows of the lowest ids of each place: no point has more of its nearest there.  Spark keeps k of a place in each task before the shuffle."""
     place = ["scene", *"xyz"]
-    near = right.withColumn("__part", F.spark_partition_id())
-    near = near.withColumn("__k", F.row_number().over(W.partitionBy(*place, "__part").orderBy("id"))).filter(F.col("__k") <= k)
-    return near.withColumn("__k", F.row_number().over(W.partitionBy(*place).orderBy("id"))).filter(F.col("__k") <= k).select(*place, "id")
+    return right.withColumn("__k", F.row_number().over(W.partitionBy(*place).orderBy("id"))).filter(F.col("__k") <= k).select(*place, "id")
+
+
+#: Cells of a tile along an axis, pairs that a task looks at at once, and about how many candidates a group has at most.
+TILE, PAIRS, CANDIDATES = 8, 1 << 20, 1 << 16
+
+
+def _nearest(places: np.ndarray, found: np.ndarray, ids: np.ndarray, h: float, k: int, farthest: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each place the k nearest of `found` in the cells of width h that touch its own, ties by id: how many there are, and all their numbers and distances in a row."""
+    cells, own = (np.floor(x / h).astype(np.int64) for x in (found, places))
+    low = np.minimum(cells.min(axis=0, initial=1 << 62), own.min(axis=0, initial=1 << 62)) - 1
+    wide = np.maximum(cells.max(axis=0, initial=-(1 << 62)), own.max(axis=0, initial=-(1 << 62))) - low + 2
+    code = lambda c: ((c[:, 0] - low[0]) * wide[1] + (c[:, 1] - low[1])) * wide[2] + (c[:, 2] - low[2])
+    order = np.argsort(code(cells), kind="stable")
+    codes, found, rank, number = code(cells)[order], found[order], np.unique(ids, return_inverse=True)[1][order], order
+    steps = np.array([(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    mid = code(own)[:, None] + (steps[:, 0] * wide[1] + steps[:, 1]) * wide[2]
+    first, last = np.searchsorted(codes, mid - 1, "left"), np.searchsorted(codes, mid + 1, "right")
+    sizes = (last - first).sum(axis=1)
+    counts, numbers, dists = np.zeros(len(places), np.int64), [np.zeros(0, np.int64)], [np.zeros(0)]
+    upto, at = np.cumsum(sizes), 0
+    while at < len(places):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        n, begin = (last - first)[at:end].ravel(), first[at:end].ravel()
+        to = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        of = np.repeat(np.arange(at, end), sizes[at:end])
+        d = places[of] - found[to]
+        far = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
+        if farthest is not None:
+            of, to, far = of[far <= farthest], to[far <= farthest], far[far <= farthest]
+        sort = np.lexsort((rank[to], far, of))
+        of, to, far = of[sort], to[sort], far[sort]
+        kept = np.arange(len(of)) - np.searchsorted(of, of, "left") < k
+        counts[at:end] = np.bincount(of[kept] - at, minlength=end - at)
+        numbers.append(number[to[kept]])
+        dists.append(far[kept])
+        at = end
+    return counts, np.concatenate(numbers), np.concatenate(dists)
+
+
+def _tiles(h: float, halo: int) -> list[Column]:
+    """The tiles that see a row: its own, or with a halo also those of the cells next to its own."""
+    cell = {c: F.floor(F.col(c) / h) for c in "xyz"}
+    tile = lambda c, by: F.floor((cell[c] + by) / TILE)
+    return [F.sequence(tile(c, -halo), tile(c, halo)).alias(f"__t{c}") if halo else tile(c, 0).alias(f"__t{c}") for c in "xyz"]
+
+
+def _searched(places: DataFrame, right: DataFrame, h: float, k: int, farthest: float | None) -> DataFrame:
+    """places (scene, x, y, z) with near, up to k structs (dist, dst) of the nearest of right in the cells that touch its own, ties by id.
+
+    Tasks search tiles of TILE cells a side, which also get the rows of right in the cells around them.  Where a tile would see more than CANDIDATES rows, they are
+    dealt into parts by their ids, and the nearest of the parts are put together, so that no group grows with a scene.
+    """
+    tile = ["scene", "__tx", "__ty", "__tz"]
+    asked = places.select("scene", *"xyz", *_tiles(h, 0))
+    dealt = right.select("scene", *"xyz", "id", *_tiles(h, 1))
+    for c in "xyz":
+        dealt = dealt.withColumn(f"__t{c}", F.explode(f"__t{c}"))
+    dealt = dealt.join(small(asked.select(*tile).distinct(), 100_000), tile, "left_semi")
+    most = dealt.groupBy(*tile).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = -(-most // CANDIDATES) or 1
+    dealt = dealt.withColumn("__part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    asked = asked.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    kinds = {f.name: f.dataType.simpleString() for f in right.schema.fields}
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        at, of = (np.stack([t.column(c).to_numpy() for c in "xyz"], axis=1) for t in (a, b))
+        counts, numbers, dists = _nearest(at, of, b.column("id").to_numpy(), h, k, farthest)
+        dst = b.column("id").combine_chunks().take(pa.array(numbers))
+        near = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.StructArray.from_arrays([pa.array(dists), dst], ["dist", "dst"]))
+        return pa.table([*(a.column(c) for c in ("scene", *"xyz")), near], names=["scene", *"xyz", "near"])
+
+    schema = f"scene {kinds['scene']}, x double, y double, z double, near array<struct<dist: double, dst: {kinds['id']}>>"
+    found = asked.groupBy(*tile, "__part").cogroup(dealt.groupBy(*tile, "__part")).applyInArrow(search, schema)
+    if parts == 1:
+        return found
+    return found.groupBy("scene", *"xyz").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
 
 def knn(left: DataFrame, right: DataFrame, k: int, other: bool = False, farthest: float | None = None) -> DataFrame:
     """(scene, src, dst, dist, rank): for each row of left its k nearest of right (scene, id, x, y, z), ties by id.
 
-    other: rows of equal id are not neighbours.  The candidates of a point are exact once its k-th distance is
-    within the cell width; the points for which it isn't go on with cells twice as wide, so the number of rounds is the logarithm of
+    other: rows of equal id are not neighbours; then each place is asked for one more, as its rows leave out themselves.  A place is searched once, however many rows lie there.  What is found is exact once the last distance is
+    within the cell width; the places for which it isn't go on with cells twice as wide, so the number of rounds is the logarithm of
     the extent.  A scene with fewer than k other points gives all it has.  farthest: neighbours beyond it aren't asked for.
     """
-    left = cut(left.select("scene", "id", *"xyz"), "knn-left")
-    right = cut(_few_of_a_place(right.select("scene", "id", *"xyz"), k + other), "knn-right")
-    reach = left.select("x", "y", "z").unionByName(right.select("x", "y", "z")).agg(*[F.max(F.abs(c)) for c in "xyz"]).first()
+    axes = [F.col(c).cast("double").alias(c) for c in "xyz"]
+    left, n = left.select("scene", "id", *axes), k + other
+    asked = places = cut(left.select("scene", *"xyz").dropna().distinct(), "knn-places")
+    right = cut(_few_of_a_place(right.select("scene", "id", *axes).dropna(), n), "knn-right")
+    reach = places.select(*"xyz").unionByName(right.select(*"xyz")).agg(*[F.max(F.abs(c)) for c in "xyz"]).first()
     all_of_it = 4 * max(x or 0.0 for x in reach)
     h, side = _first_width(right, k + 1, all_of_it if farthest is None else min(all_of_it, farthest))
     done = None
     while True:
         h = h if h * 2 < side else side
-        near = near_pairs(left, right, h)
-        near = near.filter("src != dst") if other else near
-        near = near if farthest is None else near.filter(F.col("dist") <= farthest)
-        ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("scene", "src").orderBy("dist", "dst"))).filter(F.col("rank") <= k)
-        ranked = cut(ranked, "knn")
-        if h >= side:
-            return ranked if done is None else done.unionByName(ranked)
-        full = ranked.filter((F.col("rank") == k) & (F.col("dist") <= h)).select("scene", F.col("src").alias("id"))
-        settled = ranked.join(full.withColumnRenamed("id", "src"), ["scene", "src"], "left_semi")
+        full = F.lit(h >= side) | (F.size("near") == n) & (F.col("near")[n - 1]["dist"] <= h)
+        found = cut(_searched(asked, right, h, n, farthest).withColumn("full", F.coalesce(full, F.lit(False))), "knn")
+        settled = found.filter("full").select("scene", *"xyz", "near")
         done = settled if done is None else done.unionByName(settled)
-        left = cut(left.join(full, ["scene", "id"], "left_anti"), "knn-left")
-        if left.isEmpty():
-            return done
+        asked = found.filter("not full").select("scene", *"xyz")
+        if h >= side or asked.isEmpty():
+            break
         h *= 2
+    near = F.filter("near", lambda to: to["dst"] != F.col("id")) if other else F.col("near")
+    rows = left.join(done, ["scene", *"xyz"]).select("scene", F.col("id").alias("src"), F.posexplode(F.slice(near, 1, k)).alias("rank", "to"))
+    return rows.select("scene", "src", "to.dst", "to.dist", (F.col("rank") + 1).alias("rank"))
 
 
 def nearest_of_class(left: DataFrame, right: DataFrame, farthest: float) -> DataFrame:

@@ -287,3 +287,21 @@ def test_random_subgraph_is_a_walk_by_layers(spark):
                 layer = {next(i for i in order if i not in taken): 0}
         expected |= {(s, i): d for i, d in taken.items()}
     assert got == expected
+
+
+def test_neighbours_in_small_parts_of_tiles(spark, monkeypatch):
+    """Tiles of two cells whose candidates are dealt into parts of four rows: copies of a place, a far point, a small scene and a row without a place give what a plain loop gives."""
+    monkeypatch.setattr(neighbors, "TILE", 2)
+    monkeypatch.setattr(neighbors, "CANDIDATES", 4)
+    rng = random.Random(5)
+    spots = [tuple(rng.choice([-1.0, 1.0]) * rng.random() for _ in range(3)) for _ in range(60)] + [(0.5, 0.5, 0.5)] * 25 + [(40.0, -3.0, 2.0), (0.0, -0.0, 0.0)]
+    rows = [("s", i, *p) for i, p in enumerate(spots)] + [("t", 500, 1.0, 1.0, 1.0), ("t", 501, 1.0, 2.0, 1.0)]
+    p = spark.createDataFrame([*rows, ("s", 900, None, 0.0, 0.0)], "scene string, id long, x double, y double, z double")
+    got = {}
+    for r in neighbors.knn(p, p, 3, other=True).collect():
+        got.setdefault((r["scene"], r["src"]), {})[r["rank"]] = r["dst"], r["dist"]
+    for scene, i, *at in rows:
+        far = sorted((math.dist(at, to), j) for s, j, *to in rows if s == scene and j != i)[:3]
+        assert [got[scene, i][k + 1][0] for k in range(len(far))] == [j for _, j in far] and len(got[scene, i]) == len(far)
+        assert [got[scene, i][k + 1][1] for k in range(len(far))] == pytest.approx([d for d, _ in far])
+    assert len(got) == len(rows)

@@ -4,19 +4,56 @@ The distance of two clusters is the mean of the distances between their leaves,
 weights of pairs add up when clusters merge, so that a merge is an aggregation.  In a round all clusters merge that are each other's nearest: for average linkage over
 all pairs that gives the tree of the loop that merges the nearest two at a time, because a merge brings no cluster nearer to a third.  With fewer pairs, such as those of near neighbours,
 clusters without a pair between them stay apart until one comes up, and the rounds define the tree.
+Scenes don't meet, so the rounds of a scene that has few pairs left are gone through in a task, by the same rules; late rounds merge few clusters each, and there are many of them.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.plans import cut, dropped, saved, work_dir
+from ..functions.plans import cut, dropped, saved, small, work_dir
 from .order import running
 from .vectors import inner_product
 
 LEAST_POINTS = 50
+#: A scene with at most so many pairs left is merged in a task.
+FEW_PAIRS = 1 << 16
+
+
+def _merged_in_task(clusters: pd.DataFrame, links: pd.DataFrame, step: int) -> pd.DataFrame:
+    """The merges of one scene after the round `step`, round by round: (step, into, old, height, last0, last1, count, score)."""
+    clusters = clusters.sort_values("id")
+    ids, count, last = clusters["id"].to_numpy(), clusters["count"].to_numpy(np.int64).copy(), clusters["last"].to_numpy(np.int64).copy()
+    total = None if clusters["total"].isna().any() else np.array(clusters["total"].tolist(), float)
+    a, b = (np.searchsorted(ids, links[c].to_numpy()) for c in "ab")
+    w, s, out = links["w"].to_numpy(float), links["s"].to_numpy(float), []
+    while len(a):
+        step += 1
+        u, v, far = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(np.round(s / w, 12), 2)
+        order = np.lexsort((v, far, u))
+        first = order[np.flatnonzero(np.diff(u[order], prepend=-1))]
+        best = np.full(len(ids), -1)
+        best[u[first]] = v[first]
+        met = first[(best[v[first]] == u[first]) & (u[first] < v[first])]
+        into, old = u[met], v[met]
+        score = None if total is None else ((total[into] / count[into, None]) * (total[old] / count[old, None])).sum(axis=1)
+        out.append(pd.DataFrame({"step": step, "into": ids[into], "old": ids[old], "height": far[met], "last0": last[into], "last1": last[old], "count": count[into] + count[old], "score": score}))
+        count[into] += count[old]
+        last[into] = step
+        if total is not None:
+            total[into] += total[old]
+        to = np.arange(len(ids))
+        to[old] = into
+        a, b = to[a], to[b]
+        apart = a != b
+        pairs, at = np.unique(np.minimum(a, b)[apart] * len(ids) + np.maximum(a, b)[apart], return_inverse=True)
+        w, s = (np.bincount(at, x[apart], len(pairs)) for x in (w, s))
+        a, b = pairs // len(ids), pairs % len(ids)
+    return pd.concat(out) if out else pd.DataFrame(columns=["step", "into", "old", "height", "last0", "last1", "count", "score"])
 
 
 def merge_tree(pairs: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -37,7 +74,24 @@ def merge_tree(pairs: DataFrame, leaves: DataFrame) -> DataFrame:
     counts = [clusters.select("scene", F.col("id").alias(e), F.col("count").alias(f"n{e}")) for e in "ab"]
     links = once.join(counts[0], ["scene", "a"]).join(counts[1], ["scene", "b"]).select("scene", "a", "b", (F.col("na") * F.col("nb")).cast("double").alias("w"), (F.col("dist") * F.col("na") * F.col("nb")).alias("s"))
     links, merges, step = saved(links, f"{folder}/links-0"), None, 0
+    kind = leaves.schema["scene"].dataType.simpleString()
+    rows = f"scene {kind}, step int, into long, old long, height double, last0 int, last1 int, count long, score double"
+
+    def finish(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = _merged_in_task(a, b, int(b["step"].iloc[0])) if len(b) else _merged_in_task(a, pd.DataFrame(columns=["a", "b", "w", "s"]), 0)
+        found.insert(0, "scene", key[0])
+        return found
+
     while not links.isEmpty():
+        few = small(saved(links.groupBy("scene").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= FEW_PAIRS).select("scene"), f"{folder}/few-{step}"))
+        if not few.isEmpty():
+            pairs_left = links.join(few, "scene", "left_semi").withColumn("step", F.lit(step))
+            met = clusters.join(few, "scene", "left_semi").groupBy("scene").cogroup(pairs_left.groupBy("scene")).applyInPandas(finish, rows)
+            met = saved(met, f"{folder}/finished-{step}")
+            merges = met if merges is None else merges.unionByName(met)
+            links = saved(links.join(few, "scene", "left_anti"), f"{folder}/links-left-{step}")
+            if links.isEmpty():
+                break
         step += 1
         far = F.round(F.col("s") / F.col("w"), 12).alias("far")
         ways = links.select("scene", F.col("a").alias("id"), F.col("b").alias("other"), far).unionByName(links.select("scene", F.col("b").alias("id"), F.col("a").alias("other"), far))
@@ -52,7 +106,7 @@ def merge_tree(pairs: DataFrame, leaves: DataFrame) -> DataFrame:
             inner_product(*mean).alias("score"), F.zip_with("total0", "total1", lambda x, y: x + y).alias("total"),
         )
         met = saved(met, f"{folder}/merges-{step}")
-        merges = met if merges is None else merges.unionByName(met)
+        merges = met.drop("total") if merges is None else merges.unionByName(met.drop("total"))
         gone = met.select("scene", F.col("old").alias("id"), "into")
         grown = met.select("scene", F.col("into").alias("id"), F.col("count").alias("new_count"), F.col("total").alias("new_total"), F.col("step").alias("new_last"))
         left = clusters.join(gone, ["scene", "id"], "left_anti").join(grown, ["scene", "id"], "left")
@@ -63,7 +117,7 @@ def merge_tree(pairs: DataFrame, leaves: DataFrame) -> DataFrame:
     if merges is None:
         return leaves.limit(0).select("scene", *[F.lit(0).cast("long").alias(c) for c in ("node", "left", "right")], F.lit(0.0).alias("height"), F.lit(0).cast("long").alias("count"), F.lit(0.0).alias("score"))
     top = leaves.groupBy("scene").agg(F.max("id").alias("largest"))
-    numbered = cut(running(merges.drop("total"), ["scene"], ["height", "step", "into"], []).join(top, "scene").withColumn("node", F.col("largest") + F.col("place")), "tree-nodes")
+    numbered = cut(running(merges, ["scene"], ["height", "step", "into"], []).join(top, "scene").withColumn("node", F.col("largest") + F.col("place")), "tree-nodes")
     name = lambda leaf, last, out: numbered.select("scene", F.col("into").alias(leaf), F.col("step").alias(last), F.col("node").alias(out))
     named = numbered.join(name("into", "last0", "l"), ["scene", "into", "last0"], "left").join(name("old", "last1", "r"), ["scene", "old", "last1"], "left")
     result = cut(named.select("scene", "node", F.coalesce("l", "into").alias("left"), F.coalesce("r", "old").alias("right"), "height", "count", "score"), "tree")

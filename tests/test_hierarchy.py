@@ -103,3 +103,18 @@ def test_a_sparse_graph_and_none(spark):
     got = {(r["left"], r["right"], r["height"], r["score"]) for r in hierarchy.merge_tree(pairs, leaves).collect()}
     assert got == {(0, 1, 1.0, None), (5, 6, 2.0, None), (7, 2, 4.0, None)}
     assert hierarchy.merge_tree(pairs.limit(0), leaves).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 20])
+def test_rounds_in_tasks_equal_rounds_by_joins(spark, tree, monkeypatch, few):
+    """A scene whose pairs fit a task from the start, from a later round, or never has the same tree; equal distances included."""
+    monkeypatch.setattr(hierarchy, "FEW_PAIRS", few)
+    _, found = tree
+    made = data()
+    pairs = spark.createDataFrame([(s, a, b, d) for s, (pairs, _, _) in made.items() for (a, b), d in pairs.items()] + [("grid", i, i + k, 1.0) for i in range(16) for k in (1, 4) if i + k < 16], PAIRS)
+    leaves = spark.createDataFrame([(s, i, n, soft[i]) for s, (_, count, soft) in made.items() for i, n in count.items()] + [("grid", i, 1, [0.5, 0.5]) for i in range(16)], LEAVES)
+    flat = lambda df: sorted((r["scene"], r["node"], r["left"], r["right"], round(r["height"], 9), r["count"], round(r["score"], 9)) for r in df.collect())
+    got = flat(hierarchy.merge_tree(pairs, leaves))
+    assert [r for r in got if r[0] != "grid"] == flat(found)
+    monkeypatch.setattr(hierarchy, "FEW_PAIRS", 1 << 16)
+    assert [r for r in got if r[0] == "grid"] == flat(hierarchy.merge_tree(pairs.filter("scene = 'grid'"), leaves.filter("scene = 'grid'")))

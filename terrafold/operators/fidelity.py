@@ -19,7 +19,7 @@ TINY = 1e-300
 class Fidelity:
     """cost(weight, value, centre) of a node; centre(weight, total), the cheapest for a region; loss(weight, total, weight, total) of a merge of two.
 
-    costs(weights, values, centre) and best(weight, total) are cost and centre on NumPy arrays, a row per node, for regions that fit into a task.
+    costs(weights, values, centre), best(weight, total) and losses(weights, totals, weights, totals) are cost, centre and loss on NumPy arrays, a row per node or pair, for what fits into a task.
     corners: centres are labels (1 for one entry, 0 for the others), and a region is split between its two best.
     """
 
@@ -28,6 +28,7 @@ class Fidelity:
     loss: Callable[[Column, Column, Column, Column], Column]
     costs: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
     best: Callable[[float, np.ndarray], np.ndarray]
+    losses: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
     corners: bool = False
 
 
@@ -60,7 +61,7 @@ def _apart_loss(wa: Column, ta: Column, wb: Column, tb: Column) -> Column:
 
 
 #: Half the squared distance.
-SQUARED = Fidelity(_apart, mean, _apart_loss, lambda w, y, c: 0.5 * w * ((y - c) ** 2).sum(axis=1), lambda w, t: t / w)
+SQUARED = Fidelity(_apart, mean, _apart_loss, lambda w, y, c: 0.5 * w * ((y - c) ** 2).sum(axis=1), lambda w, t: t / w, lambda wa, ta, wb, tb: 0.5 * wa * wb / (wa + wb) * ((ta / wa[:, None] - tb / wb[:, None]) ** 2).sum(axis=1))
 
 
 def divergence(smoothing: float = 0.0) -> Fidelity:
@@ -84,7 +85,11 @@ def divergence(smoothing: float = 0.0) -> Fidelity:
         s, m = (smoothing / y.shape[1] + (1 - smoothing) * v for v in (y, c))
         return w * np.where(s > 0, s * (np.log(np.maximum(s, TINY)) - np.log(np.maximum(m, TINY))), 0.0).sum(axis=1)
 
-    return Fidelity(lambda w, y, c: w * apart(y, c), mean, loss, costs, lambda w, t: t / w)
+    def losses(wa: np.ndarray, ta: np.ndarray, wb: np.ndarray, tb: np.ndarray) -> np.ndarray:
+        both = (ta + tb) / (wa + wb)[:, None]
+        return costs(wa, ta / wa[:, None], both) + costs(wb, tb / wb[:, None], both)
+
+    return Fidelity(lambda w, y, c: w * apart(y, c), mean, loss, costs, lambda w, t: t / w, losses)
 
 
 #: Less the value's entry at the region's label.
@@ -94,5 +99,6 @@ LINEAR = Fidelity(
     lambda wa, ta, wb, tb: F.array_max(ta) + F.array_max(tb) - F.array_max(F.zip_with(ta, tb, lambda x, y: x + y)),
     lambda w, y, c: -w * (y * c).sum(axis=1),
     lambda w, t: np.eye(len(t))[int(t.argmax())],
+    lambda wa, ta, wb, tb: ta.max(axis=1) + tb.max(axis=1) - (ta + tb).max(axis=1),
     corners=True,
 )

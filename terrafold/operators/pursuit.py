@@ -2,7 +2,7 @@
 
 The energy is what the nodes cost at their regions' centres (`fidelity`) plus strength times the weights of the edges between regions.  A region is split by the best labelling
 of its nodes with one of two centres: these start from the two values that lie far apart and some rounds of two means, then centres and labelling follow each other, the labelling
-being a minimum cut (`mincut`).  Regions of at most a block's nodes are split in a task each, larger ones by joins and the cut of all their blocks, by the same rules.  What hangs together on either side becomes a region, if that lowers the energy.  Then regions are merged as long as a merge lowers the
+being a minimum cut (`mincut`).  Regions of at most WHOLE nodes are split in a task each, larger ones by joins and the cut of all their blocks, by the same rules.  What hangs together on either side becomes a region, if that lowers the energy.  Then regions are merged as long as a merge lowers the
 energy (`cluster.merged_regions`).  Regions that neither changed are left alone from then on; it ends when no region is left or after so many rounds.  So the energy never rises.
 """
 
@@ -23,6 +23,8 @@ from .mincut import BLOCK, cut_sides, minimum_cut
 
 MEANS, FLOWS, ROUNDS = 3, 2, 10
 LEAST_GAIN = 1e-9
+#: A region of at most so many nodes is split in a task, unless a size of blocks is given.
+WHOLE = 1 << 16
 
 
 def linked(edges: DataFrame) -> DataFrame:
@@ -102,7 +104,7 @@ def _centres(sided: DataFrame, size: int, fidelity: Fidelity) -> DataFrame:
     return both.filter("c0 is not null and c1 is not null")
 
 
-def split_regions(links: DataFrame, values: DataFrame, regions: DataFrame, strength: float, fidelity: Fidelity = SQUARED, flows: int = FLOWS, decay: float = 1.0, block: int = BLOCK) -> DataFrame:
+def split_regions(links: DataFrame, values: DataFrame, regions: DataFrame, strength: float, fidelity: Fidelity = SQUARED, flows: int = FLOWS, decay: float = 1.0, block: int | None = None) -> DataFrame:
     """(scene, id, region, part): the regions (scene, id, region) with the part of its region that each node would be in after a split; equal to region where that lowers no energy.
 
     decay: the fidelity counts decay^(step - flows) in each of the `flows` steps, so that early cuts follow it more if decay is below 1.
@@ -111,19 +113,19 @@ def split_regions(links: DataFrame, values: DataFrame, regions: DataFrame, stren
     nodes = cut(values.join(regions, ["scene", "id"]).select("scene", "region", "id", "weight", "value"), "split-nodes")
     inner = cut(_ends(links, regions).filter("a = b").select("scene", "src", "dst", "weight", F.col("a").alias("region")), "split-links")
     counts = cut(nodes.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "split-counts")
-    few, many = small(counts.filter(f"n between 2 and {block}").select(*key)), small(counts.filter(F.col("n") > block).select(*key))
+    few, many = small(counts.filter(f"n between 2 and {block or WHOLE}").select(*key)), small(counts.filter(F.col("n") > (block or WHOLE)).select(*key))
     here, between = nodes.join(few, key, "left_semi"), inner.join(few, key, "left_semi")
     kinds = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
     work = lambda k, a, b: _split_in_task(a, b, strength, fidelity, flows, decay)
     found = here.groupBy(*key).cogroup(between.groupBy(*key)).applyInPandas(work, f"scene {kinds['scene']}, id {kinds['id']}, region {kinds['region']}, part {kinds['id']}")
     if not many.isEmpty():
-        found = found.unionByName(_split_large(nodes.join(many, key, "left_semi"), inner.join(many, key, "left_semi"), strength, fidelity, flows, decay, block))
+        found = found.unionByName(_split_large(nodes.join(many, key, "left_semi"), inner.join(many, key, "left_semi"), strength, fidelity, flows, decay, block or BLOCK))
     parts = found.select("scene", "id", "part")
     return nodes.join(parts, ["scene", "id"], "left").select("scene", "id", "region", F.coalesce("part", "region").alias("part"))
 
 
 def _split_in_task(nodes: pd.DataFrame, links: pd.DataFrame, strength: float, fidelity: Fidelity, flows: int, decay: float) -> pd.DataFrame:
-    """split_regions of one region of at most a block's nodes."""
+    """split_regions of one region that fits into a task."""
     nodes = nodes.sort_values("id")
     ids, w, y = nodes["id"].to_numpy(), nodes["weight"].to_numpy(float), np.array(nodes["value"].tolist(), float)
     ends = np.stack([np.searchsorted(ids, links[c].to_numpy()) for c in ("src", "dst")], axis=1)
@@ -161,7 +163,9 @@ def _split_in_task(nodes: pd.DataFrame, links: pd.DataFrame, strength: float, fi
         if (low == part).all():
             break
         part = low
-    after = sum(float(fidelity.costs(w[part == k], y[part == k], centre(part == k)).sum()) for k in np.unique(part)) + float(lengths[part[ends[:, 0]] != part[ends[:, 1]]].sum())
+    order = np.argsort(part, kind="stable")
+    rows = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
+    after = sum(float(fidelity.costs(w[r], y[r], centre(r)).sum()) for r in rows) + float(lengths[part[ends[:, 0]] != part[ends[:, 1]]].sum())
     better = after < before.sum() - LEAST_GAIN * (1 + abs(before.sum()))
     return pd.DataFrame({"scene": nodes["scene"].to_numpy(), "id": ids, "region": nodes["region"].to_numpy(), "part": ids[part] if better else nodes["region"].to_numpy()})
 
@@ -192,12 +196,12 @@ def _split_large(nodes: DataFrame, inner: DataFrame, strength: float, fidelity:
 
 
 def cut_pursuit(
-    edges: DataFrame, values: DataFrame, strength: float, fidelity: Fidelity = SQUARED, rounds: int = ROUNDS, flows: int = FLOWS, decay: float = 1.0, smallest: int = 0, block: int = BLOCK
+    edges: DataFrame, values: DataFrame, strength: float, fidelity: Fidelity = SQUARED, rounds: int = ROUNDS, flows: int = FLOWS, decay: float = 1.0, smallest: int = 0, block: int | None = None
 ) -> DataFrame:
     """(scene, id, region): a partition of low energy; region is the lowest id in it.
 
     edges: (scene, src, dst, weight), taken both ways; values: (scene, id, value array) and, if nodes count differently, weight.  It starts from what hangs together.
-    smallest: regions of fewer nodes go to the largest region that an edge leads to at the end, whatever that costs.  block: the nodes of a minimum cut's blocks.
+    smallest: regions of fewer nodes go to the largest region that an edge leads to at the end, whatever that costs.  block: the most nodes of a region that is split in a task, and those of a minimum cut's blocks.
     """
     links, obs = cut(linked(edges), "pursuit-links"), cut(weighed(values), "pursuit-values")
     start = scene_components(links.select("scene", "src", "dst")).select("scene", F.col("node").alias("id"), "component")

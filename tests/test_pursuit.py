@@ -167,3 +167,18 @@ def test_steps_of_a_noisy_signal(spark):
     small = pursuit.cut_pursuit(links, values, 1.0, block=16, smallest=18)
     assert {r["region"] for r in small.filter("scene = 0 and id < 60").collect()} == {0, 25}
     assert math.isfinite(energy(small))
+
+
+def test_merges_in_tasks_equal_merges_by_joins(spark, monkeypatch):
+    """By two fidelities that share one table: all scenes in tasks, the smaller one, or none give the same regions."""
+    rng = random.Random(3)
+    sizes = {0: 20, 1: 9}
+    share = lambda: [a := rng.random(), 1 - a]
+    values = spark.createDataFrame([(s, i, share()) for s, n in sizes.items() for i in range(n)], VALUES)
+    links = spark.createDataFrame([(s, i, j, rng.random()) for s, n in sizes.items() for i in range(n) for j in range(i + 1, n) if rng.random() < 0.2], LINKS)
+    for kind in (fidelity.divergence(0.1), fidelity.LINEAR):
+        got = []
+        for few in (1 << 16, 0):
+            monkeypatch.setattr(cluster, "FEW_PAIRS", few)
+            got.append(sorted(map(tuple, cluster.merged_regions(links, values, 0.1, kind).collect())))
+        assert got[0] == got[1] and len({r[2] for r in got[0]}) < len(got[0])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -32,10 +36,46 @@ def _near(plane: Column, threshold: float) -> Column:
     return F.abs(plane["a"] * F.col("x") + plane["b"] * F.col("y") + plane["c"] * F.col("z") + plane["d"]) < threshold
 
 
+#: Points of a scene that are held against its planes at once.
+CHUNK = 4096
+
+
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(scene, x, y, z): rows of one scene side by side, as arrays of at most CHUNK entries."""
+    for batch in batches:
+        scene = batch.column("scene").dictionary_encode()
+        at = scene.indices.fill_null(len(scene.dictionary)).to_numpy(zero_copy_only=False)
+        order = np.argsort(at, kind="stable")
+        edge = np.flatnonzero(np.diff(at[order], prepend=-1))
+        starts = [k for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(at)], strict=True) for k in range(a, b, CHUNK)]
+        ends = pa.array([*starts, len(at)], pa.int32())
+        arrays = [pa.ListArray.from_arrays(ends, batch.column(c).take(pa.array(order))) for c in "xyz"]
+        yield pa.RecordBatch.from_arrays([batch.column("scene").take(pa.array(order[starts])), *arrays], names=["scene", *"xyz"])
+
+
+def near_counts(points: DataFrame, hypothesised: DataFrame, threshold: float) -> DataFrame:
+    """(scene, at, points): how many points (scene, x, y, z) are nearer to each of their scene's planes (scene, planes) than the threshold; planes without any are left out."""
+    kind = points.schema["scene"].dataType.simpleString()
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x, y, z = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in "xyz")
+                planes = batch.column("planes")[row].values
+                a, b, c, d = (planes.field(n).to_numpy(zero_copy_only=False)[:, None] for n in "abcd")
+                found = (np.abs(a * x + b * y + c * z + d) < threshold).sum(axis=1)
+                at = np.flatnonzero(found)
+                yield pa.RecordBatch.from_arrays([batch.column("scene").take(pa.array(np.full(len(at), row))), pa.array(at, pa.int32()), pa.array(found[at], pa.int64())], names=["scene", "at", "points"])
+
+    packed = points.select("scene", *[F.col(c).cast("double").alias(c) for c in "xyz"]).mapInArrow(_packed, f"scene {kind}, " + ", ".join(f"{c} array<double>" for c in "xyz"))
+    found = packed.join(hypothesised, "scene").mapInArrow(count, f"scene {kind}, at int, points long")
+    return found.groupBy("scene", "at").agg(F.sum("points").alias("points"))
+
+
 def walls(points: DataFrame, threshold: float, most: int, least_points: int, n: int = 200) -> DataFrame:
     """(scene, wall, a, b, c, d, points): up to `most` planes per scene, each with the points that it takes from the rest.
 
-    A round counts the points near each of the scene's n hypotheses; a point gives only those that it is near to, and they are summed
+    A round counts the points near each of the scene's n hypotheses, an array of points at a time, and the counts are summed
     before the shuffle.  The best one's points leave.  A scene goes on while it has at least least_points points.
     """
     rest, found = cut(points.select("scene", *"xyz")), None
@@ -45,9 +85,7 @@ def walls(points: DataFrame, threshold: float, most: int, least_points: int, n:
             break
         rest = rest.join(enough.select("scene"), "scene", "left_semi")
         hypothesised = cut(hypotheses(rest, n, wall), "planes")
-        planned = rest.join(hypothesised, "scene")
-        near_to = F.filter(F.transform("planes", lambda plane, i: F.when(_near(plane, threshold), i)), lambda i: i.isNotNull())
-        counted = planned.select("scene", F.explode(near_to).alias("at")).groupBy("scene", "at").agg(F.count(F.lit(1)).alias("points"))
+        counted = near_counts(rest, hypothesised, threshold)
         best = counted.groupBy("scene").agg(F.max(F.struct("points", (-F.col("at")).alias("at"))).alias("best"))
         chosen = best.join(hypothesised, "scene").withColumn("plane", F.get("planes", -F.col("best.at")))
         chosen = cut(chosen.select("scene", F.lit(wall).alias("wall"), *[F.col(f"plane.{c}").alias(c) for c in "abcd"], F.col("best.points").alias("points")))

@@ -305,3 +305,15 @@ def test_neighbours_in_small_parts_of_tiles(spark, monkeypatch):
         assert [got[scene, i][k + 1][0] for k in range(len(far))] == [j for _, j in far] and len(got[scene, i]) == len(far)
         assert [got[scene, i][k + 1][1] for k in range(len(far))] == pytest.approx([d for d, _ in far])
     assert len(got) == len(rows)
+
+
+def test_points_near_planes_are_counted_in_chunks(spark, monkeypatch):
+    """Chunks of three points of mixed scenes, a point without a place and one of no scene: as many as a plain loop counts."""
+    monkeypatch.setattr(planes, "CHUNK", 3)
+    rng = random.Random(2)
+    rows = [(rng.choice("uv"), *[rng.random() for _ in range(3)]) for _ in range(40)]
+    p = spark.createDataFrame([*rows, ("u", None, 0.5, 0.5), (None, 0.5, 0.5, 0.5)], "scene string, x double, y double, z double")
+    through = {s: [(k, 0.6, 0.0, 0.8, -0.2 * k) for k in range(5)] + [(5, 0.0, 0.0, 1.0, 90.0)] for s in "uv"}
+    h = spark.createDataFrame([(s, t) for s, t in through.items()], "scene string, planes array<struct<number: long, a: double, b: double, c: double, d: double>>")
+    expected = {(s, i): n for s in "uv" for i, (_, a, b, c, d) in enumerate(through[s]) if (n := sum(abs(a * x + b * y + c * z + d) < 0.3 for t, x, y, z in rows if t == s))}
+    assert {(r["scene"], r["at"]): r["points"] for r in planes.near_counts(p, h, 0.3).collect()} == expected and len(expected) > 4

@@ -68,3 +68,46 @@ def test_union_with_nearest(spark):
     nearest = spark.createDataFrame([("s", 0, 1), ("s", 2, 0)], "scene string, src long, dst long")
     got = {(r["src"], r["dst"]) for r in delaunay.with_nearest(edges, nearest, 2.0).collect()}
     assert got == {(0, 1), (1, 0), (2, 0)}
+
+
+def test_steps_grow_with_the_points(monkeypatch):
+    """Four times as many points in the same tile take less than six times as many steps, and parts of any size find the same tetrahedra."""
+    rng, steps, whole = np.random.default_rng(5), [], delaunay.apexes
+    monkeypatch.setattr(delaunay, "apexes", lambda p, faces, sides: (steps.append(len(p) * len(faces)), whole(p, faces, sides))[1])
+    taken = []
+    for n in (1500, 6000):
+        steps.clear()
+        delaunay.owned(rng.normal(size=(n, 3)) * 0.12, 0.8, 0.2, 16)
+        taken.append(sum(steps))
+    assert taken[1] < 6 * taken[0]
+    p = np.concatenate([rng.normal(size=(250, 3)) * 0.05, rng.random((30, 3))]) + 0.2
+    found = []
+    for few in (1 << 20, 60, 10):
+        monkeypatch.setattr(delaunay, "FEW", few)
+        corners, radii = delaunay.owned(p, 0.8, 0.2, 16)
+        found.append({(*sorted(t), round(r, 9)) for t, r in zip(corners.tolist(), radii.tolist(), strict=True)})
+    assert found[0] == found[1] == found[2] and len(found[0]) > 500
+
+
+def test_points_of_a_sphere_are_not_split(monkeypatch):
+    """All parts near the centre would see all points, so the tile stays as it is as soon as parts don't help."""
+    monkeypatch.setattr(delaunay, "FEW", 50)
+    v = np.random.default_rng(2).normal(size=(300, 3))
+    p = v / np.linalg.norm(v, axis=1)[:, None] * 0.1 + 0.4
+    assert sum(len(seen) ** 2 for seen, _, _ in delaunay.tiles(p, 0.8, 0.2, 16)) <= len(p) ** 2
+
+
+def test_split_tiles_find_the_same_edges(spark, monkeypatch):
+    """Tiles that see many points are split by rounds of jobs, more than once where points are dense; each edge and its radius stay."""
+    rng, widths, split = np.random.default_rng(4), [], delaunay._split
+    p = rng.normal(size=(3000, 3)) * 0.12
+    points = spark.createDataFrame([("s", i, *map(float, v)) for i, v in enumerate(p)], POINTS)
+    monkeypatch.setattr(delaunay, "_split", lambda rows, width, radius: (widths.append(width), split(rows, width, radius))[1])
+    found = []
+    for seen in (1 << 15, 300):
+        monkeypatch.setattr(delaunay, "SEEN", seen)
+        found.append({(r["src"], r["dst"]): (r["length"], r["radius"]) for r in delaunay.delaunay_edges(points, 0.2).collect()})
+    assert len(widths) > 1 and widths[0] == 0.8
+    assert set(found[0]) == set(found[1]) and len(found[0]) > 5000
+    for k, v in found[0].items():
+        assert found[1][k] == pytest.approx(v, abs=1e-6)

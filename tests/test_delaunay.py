@@ -70,6 +70,12 @@ def test_union_with_nearest(spark):
     assert got == {(0, 1), (1, 0), (2, 0)}
 
 
+def test_short_edges_alone(spark):
+    """Without nearest neighbours no search for them is needed."""
+    edges = spark.createDataFrame([("s", 0, 1, 1.0, 1.0), ("s", 1, 2, 3.0, 1.0)], "scene string, src long, dst long, length double, radius double")
+    assert {(r["src"], r["dst"]) for r in delaunay.with_nearest(edges, None, 2.0).collect()} == {(0, 1), (1, 0)}
+
+
 def test_steps_grow_with_the_points(monkeypatch):
     """Four times as many points in the same tile take less than six times as many steps, and parts of any size find the same tetrahedra."""
     rng, steps, whole = np.random.default_rng(5), [], delaunay.apexes

@@ -117,3 +117,21 @@ def test_split_tiles_find_the_same_edges(spark, monkeypatch):
     assert set(found[0]) == set(found[1]) and len(found[0]) > 5000
     for k, v in found[0].items():
         assert found[1][k] == pytest.approx(v, abs=1e-6)
+
+
+def test_both_ways_take_the_edges_once(spark):
+    """The tiles are wrapped once in the plan of the edges both ways, without counting on Spark to find equal parts of it."""
+    points = spark.createDataFrame([("s", i, *map(float, v)) for i, v in enumerate(np.random.default_rng(6).random((40, 3)))], POINTS)
+    both = delaunay.with_nearest(delaunay.delaunay_edges(points, 0.3), None, 0.25)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
+
+
+def test_cells_of_split_tiles_go_to_all_tasks(spark, monkeypatch):
+    """The search of how far parts see is dealt to as many tasks as a shuffle has, however few bytes the cells take."""
+    parts, cut = {}, delaunay.cut
+    monkeypatch.setattr(delaunay, "cut", lambda df, name="cut": (parts.update({name: df.rdd.getNumPartitions()}) if name == "delaunay-parts" else None, cut(df, name))[1])
+    rng = np.random.default_rng(7)
+    rows = [(s, i, *map(float, v)) for s in "abcdefgh" for i, v in enumerate(rng.random((60, 3)) * 0.4)]
+    monkeypatch.setattr(delaunay, "SEEN", 50)
+    delaunay.delaunay_edges(spark.createDataFrame(rows, POINTS), 0.2)
+    assert parts == {"delaunay-parts": int(spark.conf.get("spark.sql.shuffle.partitions"))}
